@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, exact, langid, packing, simhash
+from lodestar.llm import decontaminate, exact, langid, licenses, packing, pii, quality, simhash, tokens, warc
 from lodestar.llm.common import remainder_of_id, table
 
 
@@ -17,6 +17,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    found = quality.scored(docs, model)
+    return found.select("doc_id", (remainder_of_id("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,24 +36,59 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return decontaminate.passage_digests(found)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
     return found.select("doc_id", (remainder_of_id("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score: 1 with an exact phrase, else the best notice's 1 / (1 + edits), else 0."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base, other = F.filter("hits", lambda x: x["base"]), F.filter("hits", lambda x: ~x["base"])
+    starts = F.transform(base, lambda x: x["first_word"])
+
+    def names(hits):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["label"]))), ",")
+
+    best = F.array_max(F.transform(other, lambda x: 1.0 / (1.0 + x["edits"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("hits")).alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_quality": op2_quality,
+        "op3_token_counts": op3_token_counts,
         "op4_packing": op4_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_warc": op6_warc,
         "op7_decontaminate": op7_decontaminate,
+        "op8_personal_data": op8_personal_data,
         "op9_language_id": op9_language_id,
+        "op10_licenses": op10_licenses,
     }
 
 
