@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
+
+from lodestar.plans import registry
+
+MODULES = ("text_queries", "knowledge_queries")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"lodestar.plans.{name}")
+
 
 def entry(spark):
-    raise NotImplementedError
+    """The flagship query on the smallest tables: the twenty best co-occurrence edges."""
+    _load()
+    return registry.QUERIES["top_edges"](spark, "/root/testdata/sf0.001")
 
 
 def queries():
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    _load()
+    return dict(registry.ORACLES)
