@@ -40,12 +40,46 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def features(word: str) -> np.ndarray:
-    """Hashed affix, n-gram and lexicon features of a lower-case word."""
-    edged = f"^{word}$"
-    names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3, 4)), *(f"s{word[-k:]}" for k in (1, 2, 3, 4))]
-    names += [f"n{edged[i : i + k]}" for k in (1, 2, 3) for i in range(len(edged) - k + 1)]
-    return np.unique(np.fromiter((zlib.crc32(n.encode()) for n in names), "i8", len(names)) % FEATURES)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) pairs of lower-case words: hashed prefixes and suffixes of up to four letters, n-grams of up to three with the edges, and the word.
+
+    All words are hashed together, as arrays of code points; a run of letters
+    hashes to the same feature wherever it stands, by kind and length.
+    """
+    edged = [f"^{w}$" for w in words]
+    size = np.fromiter(map(len, edged), "i8", len(edged))
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    code = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(code)) - start[owner]
+    owners, hashes = [], []
+    power = np.uint64(0x9E3779B97F4A7C15)
+
+    def add(kind: int, at: np.ndarray, length: int) -> None:
+        with np.errstate(over="ignore"):
+            value = np.full(len(at), kind, "u8")
+            for k in range(length):
+                value = value * power + code[at + k]
+            hashes.append(_mix(value))
+        owners.append(owner[at])
+
+    for n in (1, 2, 3):
+        add(n, np.flatnonzero(place + n <= size[owner]), n)
+    for n in (1, 2, 3, 4):
+        long = np.flatnonzero(size >= n + 2)
+        add(10 + n, start[long] + 1, n)
+        add(20 + n, start[long] + size[long] - 1 - n, n)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, power, "u8"))
+        whole = np.add.reduceat(code * powers[place], start) if len(words) else np.empty(0, "u8")
+        hashes.append(_mix(whole ^ np.uint64(99)))
+    owners.append(np.arange(len(words)))
+    return np.concatenate(owners), (np.concatenate(hashes) >> np.uint64(20)).astype("i8") % FEATURES
 
 
 class Chain:
@@ -95,22 +129,21 @@ def train(texts: list[tuple[str, str]], seed: int = 7, rounds: int = 4) -> Chain
     number = {label: k for k, label in enumerate(labels)}
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
-    lists: list[np.ndarray] = []
     runs: list[tuple[list[int], int]] = []
     for text, label in texts:
         words = WORD.findall(text.lower())
         for at in range(0, len(words), CHAIN // 2):
             own = []
             for word in words[at : at + CHAIN // 2]:
-                if word not in known:
-                    known[word] = len(lists)
-                    lists.append(features(word))
-                own.append(known[word])
+                own.append(known.setdefault(word, len(known)))
             runs.append((own, number[label]))
     k = max(len(labels), 1)
     weights, moves, start = np.zeros((FEATURES, k), "f4"), np.zeros((k, k)), np.zeros(k)
     if not runs:
         return Chain(labels, weights, moves, start)
+    owners, hashed = features(list(known))
+    order = np.argsort(owners, kind="stable")
+    lists = np.split(hashed[order], np.cumsum(np.bincount(owners, minlength=len(known)))[:-1])
     square_w, square_m, square_s = np.full((FEATURES, k), 1e-6, "f4"), np.full((k, k), 1e-6), np.full(k, 1e-6)
     for _ in range(rounds):
         order = rng.permutation(len(runs))
@@ -172,9 +205,11 @@ class Labeller:
         need = len(self.known) + len(words)
         if need > len(self.scores):
             self.scores = np.concatenate([self.scores, np.empty((need, self.scores.shape[1]), "f4")])
-        for word in words:
-            self.scores[len(self.known)] = self.chain.weights[features(word)].sum(0)
-            self.known[word] = len(self.known)
+        owner, found = features(words)
+        first = len(self.known)
+        for k in range(self.scores.shape[1]):
+            self.scores[first:need, k] = np.bincount(owner, self.chain.weights[found, k], len(words))
+        self.known |= {word: first + k for k, word in enumerate(words)}
 
     def word_probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         """(word, language) probabilities for each list of lower-case words."""
