@@ -94,3 +94,23 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(50)}
     assert connected_components(links.where(F.lit(False)), "a", "b").count() == 0
+
+
+def test_similarity_of_eight_tenths_is_caught_and_less_is_not(spark, tmp_path):
+    rows = []
+    for g in range(12):
+        base = cases.prose(700 + g, 400)
+        rows += [(100 * g, base), (100 * g + 1, cases.near(base, g, 4)), (100 * g + 2, cases.near(base, g + 50, 40)), (100 * g + 3, cases.prose(900 + g, 400))]
+
+    def shingles(text):
+        return set(simhash.shingle_hashes(text.encode(), 5).tolist())
+
+    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    for d, text in rows:
+        base = dict(rows)[d - d % 100]
+        similar = len(shingles(text) & shingles(base)) / len(shingles(text) | shingles(base))
+        if similar >= 0.85:
+            assert got[d] == d - d % 100
+        if similar < 0.7:
+            assert got[d] == d
