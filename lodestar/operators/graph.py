@@ -158,13 +158,8 @@ def paths(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return out.select("source", "node", (F.size("path") - 1).cast("long").alias("hops"), "path")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(u, v, dependency): Brandes dependencies of nodes (u = v) and edges (u < v), summed over the stated sources.
-
-    The adjacency is broadcast only when it has at most ``most_edges`` edges;
-    a larger graph is refused.  Over all nodes as sources, halved, this is the
-    betweenness of an undirected graph.
-    """
+def neighbour_table(edges: DataFrame, most_edges: int) -> tuple:
+    """A broadcast of every node's sorted neighbours, and the number of nodes; more than ``most_edges`` edges are refused."""
     n = edges.count()
     if n > most_edges:
         raise ValueError(f"{n} edges do not fit a broadcast of at most {most_edges}")
@@ -172,7 +167,17 @@ def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_00
     for r in edges.select("src", "dst").toLocalIterator():
         near.setdefault(r.src, []).append(r.dst)
         near.setdefault(r.dst, []).append(r.src)
-    shared = edges.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in near.items()})
+    return edges.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in near.items()}), len(near)
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+    """(u, v, dependency): Brandes dependencies of nodes (u = v) and edges (u < v), summed over the stated sources.
+
+    The adjacency is broadcast only when it has at most ``most_edges`` edges;
+    a larger graph is refused.  Over all nodes as sources, halved, this is the
+    betweenness of an undirected graph.
+    """
+    shared, _ = neighbour_table(edges, most_edges)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         around, total = shared.value, {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar.operators import communities as C
 from lodestar.operators import graph as G
 from lodestar.operators import links as L
 from lodestar.plans.registry import query, table
@@ -129,3 +130,54 @@ def neighbour_link_prediction(spark, sf_dir):
     queries = edges.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
     out = L.neighbour_scores(edges, queries)
     return out.select("u", "v", "common", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("jaccard", 6).alias("jaccard"), "preferential")
+
+
+@query("greedy_modularity")
+def greedy_modularity(spark, sf_dir):
+    return C.greedy_modularity(_sparse(spark, sf_dir))
+
+
+@query("maximal_cliques", f"WITH {SPARSE_SQL} SELECT 2 AS size, least(src, dst) || ',' || greatest(src, dst) AS members FROM sparse")
+def maximal_cliques(spark, sf_dir):
+    """Parts and suppliers form no triangles: every edge is a maximal clique."""
+    return C.cliques(_sparse(spark, sf_dir), least=2)
+
+
+@query("spectral_scores")
+def spectral_scores(spark, sf_dir):
+    return C.spectral_scores(_sparse(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("closeness")
+def closeness(spark, sf_dir):
+    edges = _sparse(spark, sf_dir)
+    return C.closeness(edges, G.degrees(edges).select("node")).withColumn("closeness", F.round("closeness", 6))
+
+
+@query("cross_community_bridges")
+def cross_community_bridges(spark, sf_dir):
+    """The twenty best Adamic-Adar pairs of the query parts between communities of label propagation."""
+    edges = _sparse(spark, sf_dir)
+    queries = edges.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
+    scores = L.neighbour_scores(edges, queries).select("u", "v", F.round("adamic_adar", 6).alias("score"))
+    return C.bridges_between(scores, G.label_propagation(edges, rounds=2), 20)
+
+
+@query("topology_importance")
+def topology_importance(spark, sf_dir):
+    """Edges of the sparse graph by the weighted shares of betweenness, rank, core and support; it has no direction or time to weigh."""
+    edges = _sparse(spark, sf_dir)
+    nodes = G.degrees(edges).select("node")
+    between = G.betweenness(edges, nodes)
+    edge_b = between.where("u < v").select("u", "v", F.col("dependency").alias("edge_b"))
+    node_b = between.where("u = v").select(F.col("u").alias("node"), F.col("dependency").alias("node_b"))
+    facts = G.pagerank(edges).join(G.core_numbers(edges), "node").join(node_b, "node", "left").na.fill(0.0, ["node_b"])
+    both = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight").join(edge_b, ["u", "v"], "left").na.fill(0.0, ["edge_b"])
+    for end in ("u", "v"):
+        both = both.join(facts.select(F.col("node").alias(end), F.col("rank").alias(f"rank_{end}"), F.col("core").alias(f"core_{end}"), F.col("node_b").alias(f"node_b_{end}")), end)
+    parts = {"edge_b": F.col("edge_b"), "rank": F.col("rank_u") + F.col("rank_v"), "node_b": F.col("node_b_u") + F.col("node_b_v"), "core": F.col("core_u") + F.col("core_v"), "support": F.col("weight")}
+    rows = both.select("u", "v", *(p.cast("double").alias(k) for k, p in parts.items()))
+    most = rows.agg(*(F.max(k).alias(f"max_{k}") for k in parts))
+    share = lambda k: F.when(F.col(f"max_{k}") > 0, F.col(k) / F.col(f"max_{k}")).otherwise(0.0)
+    score = 0.28 * share("edge_b") + 0.18 * share("rank") + 0.14 * share("node_b") + 0.12 * share("core") + 0.10 * share("support")
+    return rows.crossJoin(F.broadcast(most)).select("u", "v", F.bround(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4).alias("importance"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates, keys, text
-from lodestar.operators import datasets, extraction, graph, links, matching, vectors
+from lodestar.operators import communities, datasets, extraction, graph, links, matching, vectors
 from lodestar.sources import bundles, papers, sinks
 from lodestar.streaming import events as streams
 
@@ -163,3 +163,21 @@ def test_stream_upserts(spark, tmp_path):
     rows.writeStream.foreachBatch(streams.upsert_into(out, ["user_id"], "event_id")).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{out}/v1")
     assert {(r.user_id, r.event_id) for r in last.collect()} == {(1, 1), (2, 10), (3, 11)}
+
+
+def test_communities(spark):
+    g = edges(spark, [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5), (10, 11)])
+    assert {r.node: r.community for r in communities.greedy_modularity(g).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 10: 10, 11: 10}
+    assert {r.members for r in communities.cliques(g).collect()} == {"0,1,2", "3,4,5"}
+    assert {r.members for r in communities.cliques(g, least=2).collect()} == {"0,1,2", "3,4,5", "2,3", "10,11"}
+    near = {r.node: r.closeness for r in communities.closeness(g, graph.degrees(g).select("node")).collect()}
+    assert abs(near[2] - 25 / (7 * 7)) < 1e-12 and abs(near[10] - 1 / 7) < 1e-12
+    scores = {(r.u, r.v): r.score for r in communities.spectral_scores(g, vectors=2).collect()}
+    assert len(scores) == 8 * 7 // 2 - 8 and all(abs(s) <= 1 + 1e-9 for s in scores.values())
+    for small in (communities.greedy_modularity, communities.cliques):
+        try:
+            small(g, most=3)
+        except ValueError as error:
+            assert "more than 3" in str(error)
+        else:
+            raise AssertionError("a large component must be refused")
