@@ -330,7 +330,7 @@ def identify(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 #: A document is rejected when no language has this mean probability.
-CERTAIN = 0.4
+CERTAIN = 0.3
 
 
 def drop_unidentified(docs: DataFrame, chain: Chain) -> DataFrame:

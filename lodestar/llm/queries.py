@@ -99,5 +99,29 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, g.text_s
 """
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+"""
+
+# Windows of each length against all runs of as many words of the documents.
+OP7_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
+s AS (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS pos FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, pos + 1, pos + size), ' ') AS run FROM s),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (SELECT doc_id, size, pos, array_to_string(list_slice(w, pos + 1, pos + size), ' ') AS run FROM (SELECT doc_id, w, size, unnest(range(0, greatest(len(w) - size + 1, 0))) AS pos FROM d, sizes)),
+hits AS (SELECT doc_id, r.size, r.pos, item_id FROM runs r JOIN windows x ON r.size = x.size AND r.run = x.run),
+n AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM hits) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_decontaminate": OP7_SQL}
