@@ -41,10 +41,10 @@ def rake_terms(papers: DataFrame, most: int = 25) -> DataFrame:
     the grouping, the join and the ranking share one partitioning.
     """
     found = papers.select("paper_id", F.posexplode(T.phrases("text")).alias("pos", "words"))
-    words = found.select("paper_id", F.explode("words").alias("word"), (F.size("words") - 1).alias("others"))
-    word_score = words.groupBy("paper_id", "word").agg(((F.sum("others") + F.count(F.lit(1))) / F.count(F.lit(1))).alias("word_score"))
-    firsts = found.groupBy("paper_id", F.array_join("words", " ").alias("term")).agg(F.min("pos").alias("first_pos"))
-    parts = firsts.select("paper_id", "term", "first_pos", F.explode(F.split("term", " ")).alias("word"))
+    firsts = found.groupBy("paper_id", F.array_join("words", " ").alias("term")).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+    parts = firsts.select("paper_id", "term", "first_pos", "n", F.split("term", " ").alias("words"))
+    parts = parts.select("paper_id", "term", "first_pos", "n", (F.col("n") * (F.size("words") - 1)).alias("others"), F.explode("words").alias("word"))
+    word_score = parts.groupBy("paper_id", "word").agg(((F.sum("others") + F.sum("n")) / F.sum("n")).alias("word_score"))
     scored = parts.join(word_score, ["paper_id", "word"]).groupBy("paper_id", "term", "first_pos").agg(F.sum("word_score").alias("raw"))
     scored = scored.withColumn("score", F.round(F.when(F.length("term") < 3, F.col("raw") * 0.5).otherwise(F.col("raw")), 6))
     rank = F.row_number().over(W.partitionBy("paper_id").orderBy(F.desc("score"), "first_pos"))

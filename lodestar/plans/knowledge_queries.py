@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import knowledge as G
+from lodestar.operators.tables import staged
 from lodestar.plans.registry import query, table
 from lodestar.plans.text_queries import STOP_SQL
 
@@ -41,9 +42,10 @@ def rake_terms(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
+    """Co-occurrences and terms; both are read several times, so they are written once."""
     papers = G.papers_of(table(spark, sf_dir, "documents"))
-    terms = G.rake_terms(papers)
-    return G.cooccurrences(papers, terms), terms
+    terms = staged(G.rake_terms(papers), "terms")
+    return staged(G.cooccurrences(papers, terms), "cooccurrences"), terms
 
 
 @query("cooccurrence_edges", f"WITH {EDGES_SQL} SELECT source, target, sum(n) AS total_count, count(DISTINCT paper_id) AS papers FROM pairs GROUP BY source, target")
