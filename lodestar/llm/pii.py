@@ -42,17 +42,33 @@ CORE = r"[0-9A-Za-z](?:[0-9A-Za-z_./+:@-]*[0-9A-Za-z])?"
 #: Seeds of the kind `secret`.
 SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}$"
 
+#: Matches whose positions are summed up together.
+STEP = 256
+
 SPAN = "struct<start:int,end:int,value:string>"
 FOUND = "struct<start:int,end:int,value:string,before:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def places(text: Column, pattern: str, context: bool = False) -> Column:
-    """All leftmost matches that do not overlap, with their code point spans (and the text before each)."""
+    """All leftmost matches that do not overlap, with their code point spans (and the text before each).
+
+    A span starts where the lengths before it add up to.  The sums run within
+    parts of :data:`STEP` matches and over the parts, so that a text of very
+    many matches costs little more than its length.
+    """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda piece, value: F.struct(piece.alias("piece"), value.alias("value")))
     kind = FOUND if context else SPAN
 
+    def length(x: Column) -> Column:
+        return F.length(x["piece"]) + F.length(x["value"])
+
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["piece"])
         end = start + F.length(x["value"])
@@ -61,8 +77,23 @@ def places(text: Column, pattern: str, context: bool = False) -> Column:
             fields.append(F.substring(x["piece"], -CONTEXT, CONTEXT).alias("before"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(*fields))).alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<{kind}>)").alias("out"))
-    return F.aggregate(pairs, empty, step, lambda state: state["out"])
+    def spans(part: Column, at: Column) -> Column:
+        empty = F.struct(at.alias("at"), F.expr(f"CAST(array() AS array<{kind}>)").alias("out"))
+        return F.aggregate(part, empty, step, lambda state: state["out"])
+
+    def starts(parts: Column) -> Column:
+        """Where each part starts, and where the last one ends."""
+        sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + length(x)))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+    def joined(parts: Column) -> Column:
+        return _let(starts(parts), lambda at: F.flatten(F.transform(parts, lambda part, k: spans(part, at[k]))))
+
+    def cut(all_pairs: Column) -> Column:
+        last = F.greatest(F.floor((F.size(all_pairs) - 1) / STEP).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_pairs, k * STEP + 1, F.lit(STEP)))
+
+    return _let(pairs, lambda all_pairs: _let(cut(all_pairs), joined))
 
 
 def luhn(digits: Column) -> Column:

@@ -61,3 +61,10 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert pii.digests(pii.find(cases.frame(spark, tmp_path / "d", rows=[]))).count() == 0
+
+
+def test_very_many_matches_in_one_text(spark, tmp_path):
+    text = " ".join(f"id{k} é 1.2.3.{k % 256} a{k}@b.org" for k in range(3000))
+    docs = cases.frame(spark, tmp_path / "d", [(1, text)], "doc_id long, text string")
+    row = pii.digests(pii.find(docs)).first()
+    assert row.n_ip == 3000 and row.n_email == 3000 and row.base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
