@@ -33,9 +33,9 @@ CHAIN = 48
 #: Feature weights per language.
 FEATURES = 1 << 17
 #: Words whose scores a worker remembers.
-CACHE_WORDS = 400_000
-#: Words labelled at once, about.
-AT_ONCE = 1 << 17
+CACHE_WORDS = 300_000
+#: Words labelled at once, about: a multiple of the chain.
+AT_ONCE = CHAIN * 2500
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -240,30 +240,33 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and its mean probability; ``und``, 0.0 for null and texts without a letter."""
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        if not self.chain.labels:
-            return out
+        total, count = np.zeros((len(texts), max(1, len(self.chain.labels)))), np.zeros(len(texts), "i8")
         own: list[int] = []
         lists: list[list[str]] = []
-        count = 0
-        for k, text in enumerate(texts):
+
+        def settle() -> None:
+            for k, likely in zip(own, self.word_probabilities(lists), strict=True):
+                total[k] += likely.sum(0)
+                count[k] += len(likely)
+            own.clear()
+            lists.clear()
+
+        held = 0
+        for k, text in enumerate(texts if self.chain.labels else ()):
             words = WORD.findall(text.lower()) if text else []
-            if words and (len(words) > 1 or any(c.isalpha() for c in words[0])):
+            if not any(c.isalpha() for w in words for c in w):
+                continue
+            for at in range(0, len(words), AT_ONCE):  # a very long text comes in parts
                 own.append(k)
-                lists.append(words)
-                count += len(words)
-            if lists and (count >= AT_ONCE or k == len(texts) - 1):
-                self._settle(out, own, lists)
-                own, lists, count = [], [], 0
-        if lists:
-            self._settle(out, own, lists)
-        return out
-
-    def _settle(self, out: list, own: list[int], lists: list[list[str]]) -> None:
-        for k, likely in zip(own, self.word_probabilities(lists), strict=True):
-            mean = likely.mean(0)
-            best = int(mean.argmax())
-            out[k] = (self.chain.labels[best], float(min(1.0, mean[best])))
+                lists.append(words[at : at + AT_ONCE])
+                held += len(lists[-1])
+                if held >= AT_ONCE:
+                    settle()
+                    held = 0
+        settle()
+        mean = total / np.maximum(count, 1)[:, None]
+        best = mean.argmax(1)
+        return [(self.chain.labels[best[k]], float(min(1.0, mean[k, best[k]]))) if count[k] else (UNKNOWN, 0.0) for k in range(len(texts))]
 
 
 _LABELLERS: dict[str, Labeller] = {}

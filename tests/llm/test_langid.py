@@ -76,3 +76,12 @@ def test_odd_rows(spark, tmp_path):
     empty = cases.frame(spark, tmp_path / "e", rows=[])
     assert langid.identify(empty, langid.learn(empty)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, langid.learn(empty)).collect()} == {"und"}
+
+
+def test_long_texts_are_labelled_in_parts(monkeypatch):
+    chain = langid.train([(t, label) for _, t, label, *_ in corpus()])
+    text = " ".join(ENGLISH * 30)
+    whole = langid.Labeller(chain).label([text, "x", None, " ".join(FRENCH)])
+    monkeypatch.setattr(langid, "AT_ONCE", langid.CHAIN * 2)
+    parts = langid.Labeller(chain).label([text, "x", None, " ".join(FRENCH)])
+    assert [p[0] for p in parts] == [w[0] for w in whole] and np.allclose([p[1] for p in parts], [w[1] for w in whole])
