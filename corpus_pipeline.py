@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontaminate, exact, langid, packing, simhash
-from lodestar.llm.common import staged, table
+from lodestar.llm.common import discard, scratch_discarded, scratch_path, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table.
+
+    What a stage wrote on its way goes when its result is written, and so does
+    the result before it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch_discarded(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        if before is not None:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

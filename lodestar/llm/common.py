@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder of any store that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_discarded(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside; what is to stay must have been written elsewhere."""
+    first = len(_MADE)
+    yield
+    for path in _MADE[first:]:
+        discard(spark, path)
+    del _MADE[first:]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
