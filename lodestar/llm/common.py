@@ -68,3 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder_of_id(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus`` (null ids: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it a column that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

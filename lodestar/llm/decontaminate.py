@@ -9,6 +9,7 @@ comparison confirms each of them.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.common import fresh
+
 #: Words of a window.
 WINDOW = 10
 #: Bytes of benchmark text that one pass over the documents searches for.
@@ -127,23 +130,23 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None,
         yield block
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``hit_spans`` (runs of hit words, from 0, end exclusive) and ``hit_items`` (sorted item ids).
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, spans: str = "hit_spans", items: str = "hit_items") -> DataFrame:
+    """``docs`` with two columns more: runs of hit words (from 0, end exclusive) and sorted item ids.
 
-    ``docs`` needs a text column and keeps all its columns; a clashing column
-    of these two names is replaced.  Null texts have no words.  Items without
+    ``docs`` needs a text column and keeps all its columns but those of the
+    two names ``spans`` and ``items``, which are replaced.  Null texts have no words.  Items without
     words match nothing, those without an id hit words but are not listed.
     The benchmark is searched in blocks of ``block_bytes``: each is a bounded
     broadcast and one more narrow pass over the documents.
     """
     spark = docs.sparkSession
-    out = docs.drop("hit_spans", "hit_items")
-    out = out.withColumn("hit_spans", F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")).withColumn("hit_items", F.expr("CAST(array() AS array<bigint>)"))
+    out = docs.drop(spans, items)
+    out = out.withColumn(spans, F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")).withColumn(items, F.expr("CAST(array() AS array<bigint>)"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
     for k, block in enumerate(_blocks(benchmark, block_bytes)):
-        items = spark.sparkContext.broadcast(block)
-        name = f"{spark.sparkContext.applicationId}-{items._jbroadcast.id() if items._jbroadcast else id(items)}-{k}"
-        out = out.mapInArrow(lambda it, name=name, items=items: _search_batches(it, name, items, window), schema)
+        held = spark.sparkContext.broadcast(block)
+        name = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}-{k}"
+        out = out.mapInArrow(lambda it, name=name, held=held: _search_batches(it, name, held, window), schema)
     return out
 
 
@@ -165,4 +168,5 @@ def passage_digests(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents in which a benchmark window occurs; keeps the columns."""
-    return find_passages(docs, benchmark, window).where(F.size("hit_spans") == 0).select(docs.columns)
+    spans, items = fresh(docs, "hit_spans"), fresh(docs, "hit_items")
+    return find_passages(docs, benchmark, window, spans=spans, items=items).where(F.size(spans) == 0).select(docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import staged
+from lodestar.llm.common import fresh, staged
 
 #: Bytes of different contents that a table may hold.
 TABLE_BYTES = 64 << 20
@@ -206,5 +206,6 @@ def duplicate_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """``docs`` (read from files) without the rows whose text an earlier document has; keeps the columns."""
-    gone = staged(duplicate_groups(docs.select("doc_id", "text"), budget).where("NOT kept").select(F.col("row").alias("__row")), "duplicates")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(docs.columns)
+    row = fresh(docs, "row")
+    gone = staged(duplicate_groups(docs.select("doc_id", "text"), budget).where("NOT kept").select(F.col("row").alias(row)), "duplicates")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(docs.columns)

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm.common import remainder_of_id
+from lodestar.llm.common import fresh, remainder_of_id
 
 #: Labelled documents to learn from, at most.
 TRAIN_ROWS = 2000
@@ -279,12 +280,12 @@ def _labeller(name: str, chain) -> Labeller:
     return _LABELLERS[name]
 
 
-def _label_batches(batches: Iterator[pa.RecordBatch], name: str, chain) -> Iterator[pa.RecordBatch]:
+def _label_batches(batches: Iterator[pa.RecordBatch], name: str, chain, columns: list[str]) -> Iterator[pa.RecordBatch]:
     labeller = _labeller(name, chain)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         found = labeller.label(texts)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, *columns])
 
 
 def _windows(text: str, most: int) -> str:
@@ -317,19 +318,17 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     return train(sorted((r.text, r.lang) for r in sample.limit(2 * rows).collect()))
 
 
-def identify(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` with lang_pred and score (replacing columns of these names); all rows and columns stay.
+def identify(docs: DataFrame, chain: Chain, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the language and its mean probability; all rows stay, and all columns but those of the two names, which are replaced.
 
     ``und`` with score 0 for null texts and texts without a letter.
     """
-    from pyspark.sql import types as T
-
     spark = docs.sparkSession
-    rest = docs.drop("lang_pred", "score")
+    rest = docs.drop(label, score)
     model = spark.sparkContext.broadcast(chain)
     name = f"{spark.sparkContext.applicationId}-{zlib.crc32(chain.weights.tobytes() + chain.moves.tobytes())}"
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rest.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rest.mapInArrow(lambda it: _label_batches(it, name, model), schema)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rest.schema), T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
+    return rest.mapInArrow(lambda it: _label_batches(it, name, model, [label, score]), schema)
 
 
 #: A document is rejected when no language has this mean probability.
@@ -338,5 +337,5 @@ CERTAIN = 0.3
 
 def drop_unidentified(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` without those that are ``und`` or of no certain language; keeps the columns."""
-    keep = identify(docs.drop("lang_pred", "score"), chain).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= CERTAIN))
-    return keep.select(docs.columns)
+    label, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    return identify(docs, chain, label, score).where((F.col(label) != UNKNOWN) & (F.col(score) >= CERTAIN)).select(docs.columns)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import remainder_of_id
+from lodestar.llm.common import fresh, remainder_of_id
 
 #: Labelled documents to learn from, at most; drawn by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -31,16 +31,17 @@ LASSO = 2e-3
 STATS = ("log_chars", "log_words", "word_length", "distinct_words", "letters", "capitals", "digits", "marks", "pipes", "long_words", "repeated_pairs", "lines", "distinct_lines", "ended_lines", "closings")
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct column ``__s`` of :data:`STATS`; a null text counts as empty, every value is finite."""
-    out = docs.withColumn("__t", F.coalesce("text", F.lit("")))
-    out = out.withColumn("__w", F.filter(F.split("__t", r"[\x20\x09-\x0D]+"), lambda w: w != "")).withColumn("__l", F.filter(F.split("__t", "\n"), lambda w: w != ""))
+def with_statistics(docs: DataFrame, name: str = "statistics") -> DataFrame:
+    """``docs`` with a struct column ``name`` of :data:`STATS`; a null text counts as empty, every value is finite."""
+    whole, own_words, own_lines = (fresh(docs, n) for n in ("__text", "__words", "__lines"))
+    out = docs.withColumn(whole, F.coalesce("text", F.lit("")))
+    out = out.withColumn(own_words, F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != "")).withColumn(own_lines, F.filter(F.split(whole, "\n"), lambda w: w != ""))
 
     def kept(keep: str) -> Column:
-        return F.length(F.regexp_replace("__t", f"[^{keep}]+", ""))
+        return F.length(F.regexp_replace(whole, f"[^{keep}]+", ""))
 
-    n, n_words, n_lines = F.length("__t").cast("double"), F.size("__w").cast("double"), F.size("__l").cast("double")
-    pairs = F.zip_with(F.slice("__w", 1, F.greatest(F.size("__w") - 1, F.lit(0))), F.slice("__w", 2, F.greatest(F.size("__w"), F.lit(1))), lambda a, b: (a == b).cast("int"))
+    n, n_words, n_lines = F.length(whole).cast("double"), F.size(own_words).cast("double"), F.size(own_lines).cast("double")
+    pairs = F.zip_with(F.slice(own_words, 1, F.greatest(F.size(own_words) - 1, F.lit(0))), F.slice(own_words, 2, F.greatest(F.size(own_words), F.lit(1))), lambda a, b: (a == b).cast("int"))
 
     def share(part: Column, of: Column) -> Column:
         return F.coalesce(part.cast("double") / F.greatest(of, F.lit(1.0)), F.lit(0.0))
@@ -49,20 +50,20 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "log_chars": F.log1p(n),
         "log_words": F.log1p(n_words),
         "word_length": share(n, n_words),
-        "distinct_words": share(F.size(F.array_distinct("__w")), n_words),
+        "distinct_words": share(F.size(F.array_distinct(own_words)), n_words),
         "letters": share(kept(r"\p{L}"), n),
         "capitals": share(kept(r"\p{Lu}"), n),
         "digits": share(kept("0-9"), n),
         "marks": share(kept(r"!#$%&*+<=>?@^_~\\"), n),
         "pipes": share(kept("|"), n),
-        "long_words": share(F.size(F.filter("__w", lambda w: F.length(w) > 15)), n_words),
+        "long_words": share(F.size(F.filter(own_words, lambda w: F.length(w) > 15)), n_words),
         "repeated_pairs": share(F.aggregate(pairs, F.lit(0), lambda a, x: a + x), n_words),
         "lines": share(n_lines, n_words),
-        "distinct_lines": share(F.size(F.array_distinct("__l")), n_lines),
-        "ended_lines": share(F.size(F.filter("__l", lambda w: w.rlike(r"[.!?]$"))), n_lines),
+        "distinct_lines": share(F.size(F.array_distinct(own_lines)), n_lines),
+        "ended_lines": share(F.size(F.filter(own_lines, lambda w: w.rlike(r"[.!?]$"))), n_lines),
         "closings": share(kept(".,;:"), n_words),
     }
-    return out.withColumn("__s", F.struct(*(values[k].alias(k) for k in STATS))).drop("__w", "__l", "__t")
+    return out.withColumn(name, F.struct(*(values[k].alias(k) for k in STATS))).drop(own_words, own_lines, whole)
 
 
 # -- growing rules --------------------------------------------------------------
@@ -152,11 +153,11 @@ class RuleModel:
     def __init__(self, intercept: float, rules: list[tuple[tuple[Condition, ...], float]]) -> None:
         self.intercept, self.rules = intercept, rules
 
-    def score(self, stats: str = "__s") -> Column:
+    def score(self, stats: str = "statistics") -> Column:
         """The probability of label 1 as a column expression over the struct of statistics."""
         terms = []
         for rule, weight in self.rules:
-            parts = [(F.col(f"{stats}.{STATS[k]}") > cut) if above else (F.col(f"{stats}.{STATS[k]}") <= cut) for k, above, cut in rule]
+            parts = [(F.col(f"`{stats}`.{STATS[k]}") > cut) if above else (F.col(f"`{stats}`.{STATS[k]}") <= cut) for k, above, cut in rule]
             terms.append(F.when(reduce(lambda a, b: a & b, parts), F.lit(weight)).otherwise(F.lit(0.0)))
         margin = reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
         return 1.0 / (1.0 + F.exp(-margin))
@@ -187,12 +188,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleMod
     drawn = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` pairs of numbers: a bounded broadcast.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
-    got = with_statistics(sample).select("doc_id", "quality", "__s.*").limit(2 * rows).toPandas().sort_values(["doc_id", "log_chars"])
+    got = with_statistics(sample).select("doc_id", "quality", "statistics.*").limit(2 * rows).toPandas().sort_values(["doc_id", "log_chars"])
     return fit(got[list(STATS)].to_numpy("f8"), got["quality"].to_numpy("f8"))
 
 
 def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score and predicted (replacing columns of these names); all rows and other columns stay."""
     rest = docs.drop("score", "predicted")
-    out = with_statistics(rest).withColumn("score", model.score())
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__s")
+    stats = fresh(rest, "statistics")
+    out = with_statistics(rest, stats).withColumn("score", model.score(stats))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(stats)

@@ -21,7 +21,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     found = quality.scored(docs, model)
-    return found.select("doc_id", (remainder_of_id("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(remainder_of_id("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
-    return found.select("doc_id", (remainder_of_id("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(remainder_of_id("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

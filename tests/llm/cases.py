@@ -50,7 +50,7 @@ def documents() -> list[tuple]:
     return [(d, t, "en" if d is None or d % 2 else "fr", "s", len(t or ""), 0.5, "x", 1, "y", 2.5, 3) for d, t in texts]
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, component_id long, hits string, row double, hash int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, component_id long, hit_spans string, row double, hit_items int"
 
 
 def frame(spark, path, rows=None, schema=SCHEMA, parts=3):

@@ -34,7 +34,8 @@ def test_digests_match_brute_force(spark, tmp_path):
         got = decontaminate.passage_digests(decontaminate.find_passages(docs, items, block_bytes=block)).collect()
         assert sorted((tuple(r) for r in got), key=str) == want
     kept = decontaminate.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
+    assert {(r.hit_spans, r.hit_items) for r in kept.collect()} == {("y", 3)}
+    assert kept.schema == docs.schema and kept.count() == sum(not w[-1] for w in want)
 
 
 def test_empty_tables(spark, tmp_path):

@@ -11,7 +11,7 @@ from . import cases
 
 def test_held_out_accuracy_and_odd_rows(spark, tmp_path):
     rows = [(k, cases.prose(k, 60) if k % 3 else "junk " * 60, 9.0, 7, "s") for k in range(300)] + [(None, "x", 1.0, 1, "s"), (900, None, 1.0, 1, "s"), (901, "", 1.0, 1, "s"), (902, "y" * 90_000, 1.0, 1, "s")]
-    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string, score double, predicted int, words string")
+    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string, score double, predicted int, statistics string")
     labels = spark.createDataFrame([(k, int(k % 3 > 0), None) for k in range(300)] + [(None, 1, 0), (3, None, 0), (5, 7, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.learn(docs, labels)
     got = {r.doc_id: r for r in quality.scored(docs, model).collect()}
@@ -32,7 +32,7 @@ def test_without_labels_or_rows(spark, tmp_path):
 
 def test_compiled_rules_equal_the_fitted_ones(spark, tmp_path):
     docs = cases.frame(spark, tmp_path / "d")
-    stats = quality.with_statistics(docs).select("__s.*").toPandas()
+    stats = quality.with_statistics(docs).select("statistics.*").toPandas()
     assert np.isfinite(stats.to_numpy("f8")).all()
     x = stats[list(quality.STATS)].to_numpy("f8")
     y = (x[:, 0] > np.median(x[:, 0])).astype("f8")
