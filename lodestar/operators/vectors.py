@@ -34,22 +34,25 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest other vectors of each query, ties by vec_id.
 
-    Queries are taken in blocks of ``block`` rows, each a broadcast of that
-    bound, against all vectors.  The rank filter is pushed into the window
-    (WindowGroupLimit), so every task keeps its own k best per query before
-    anything is shuffled.
+    Queries are taken in blocks of at most ``block`` rows (by a hash of their
+    id, counted first), each a broadcast of that bound, against all vectors.
+    The rank filter is pushed into the window (WindowGroupLimit), so every task
+    keeps its own k best per query before anything is shuffled.
     """
     numbered = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    ids = [r.query_id for r in numbered.select("query_id").orderBy("query_id").toLocalIterator()]
+    blocks, largest = 1, numbered.count()
+    while largest > block:
+        blocks = max(2 * blocks, -(-2 * largest // block))
+        largest = numbered.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks))).count().agg(F.max("count")).first()[0]
     out = None
-    for at in range(0, len(ids), block):
-        # At most `block` vectors are broadcast.
-        part = F.broadcast(numbered.where(F.col("query_id").between(ids[at], ids[min(at + block, len(ids)) - 1])))
+    for own in range(blocks):
+        # At most `block` vectors are broadcast: counted above.
+        part = F.broadcast(numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == own))
         near = vectors.join(part, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(similarity(metric, F.col("embedding"), F.col("q")), 6).alias("score"))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         best = near.withColumn("rank", rank).where(F.col("rank") <= k)
         out = best if out is None else out.union(best)
-    return out if out is not None else vectors.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return out
 
 
 def blend(a: Column, b: Column, share: float = 0.7) -> Column:
