@@ -239,6 +239,17 @@ class Labeller:
             out[place[real]] = likely[real]
         return np.split(out, ends[:-1]) if sizes else []
 
+    def runs(self, text: str | None) -> list[dict]:
+        """Runs of neighbouring words whose likeliest language is the same."""
+        words = WORD.findall(text.lower()) if text else []
+        if not words or not self.chain.labels:
+            return []
+        likely = np.concatenate([self.word_probabilities([words[at : at + AT_ONCE]])[0] for at in range(0, len(words), AT_ONCE)])
+        best = likely.argmax(1)
+        starts = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+        ends = np.r_[starts[1:], len(best)]
+        return [{"first_word": int(a), "last_word": int(b) - 1, "lang": self.chain.labels[best[a]], "score": float(likely[a:b, best[a]].mean())} for a, b in zip(starts, ends, strict=True)]
+
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and its mean probability; ``und``, 0.0 for null and texts without a letter."""
         total, count = np.zeros((len(texts), max(1, len(self.chain.labels)))), np.zeros(len(texts), "i8")
@@ -331,6 +342,28 @@ def identify(docs: DataFrame, chain: Chain, label: str = "lang_pred", score: str
     return rest.mapInArrow(lambda it: _label_batches(it, name, model, [label, score]), schema)
 
 
+RUN = "array<struct<first_word:int,last_word:int,lang:string,score:double>>"
+
+
+def _run_batches(batches: Iterator[pa.RecordBatch], name: str, chain) -> Iterator[pa.RecordBatch]:
+    labeller = _labeller(name, chain)
+    kind = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([labeller.runs(t) for t in batch.column(1).to_pylist()], kind)], ["doc_id", "runs"])
+
+
+def label_words(docs: DataFrame, chain: Chain) -> DataFrame:
+    """(doc_id, runs): the runs of words (from 0, both ends included) of one language each, with their mean probability.
+
+    Words are runs of letters.  Texts without letters, and null texts, have no
+    runs.
+    """
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(chain)
+    name = f"{spark.sparkContext.applicationId}-{zlib.crc32(chain.weights.tobytes() + chain.moves.tobytes())}"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _run_batches(it, name, model), f"doc_id long, runs {RUN}")
+
+
 #: A document is rejected when no language has this mean probability.
 CERTAIN = 0.3
 

@@ -139,22 +139,29 @@ class SumOfSquares:
         self.open = {}
 
 
-def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, packer = encoder(path), SumOfSquares(capacity)
     sequence = TaskContext.get().partitionId() << TASK_BITS
     out: list[tuple] = []
+    ids_out: list[np.ndarray] = []
 
     def emit(window: list[Piece]) -> None:
         nonlocal sequence
         offset = 0
         for p in window:
+            if with_ids:
+                ids_out.append(p.ids.astype("i4"))
             out.append((p.doc, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.doc_tokens, sequence, offset))
             offset += len(p.ids)
         sequence += 1
 
     def given() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], NAMES)
+        columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+        if with_ids:
+            columns.append(pa.array(ids_out, pa.list_(pa.int32())))
+        rows = pa.RecordBatch.from_arrays(columns, [*NAMES, "ids"] if with_ids else NAMES)
         out.clear()
+        ids_out.clear()
         return rows
 
     for batch in batches:
@@ -175,8 +182,11 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -
         yield given()
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if asked for.
+
+    A sequence is its pieces' ids by offset, padded to ``capacity`` unless its
+    length is a power of two.
 
     Null text is empty, which is the closing id alone; rows repeated under one
     doc_id are packed like any others; an empty table gives no rows.  Each
@@ -184,4 +194,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     computed again with the same result.  ``tokenizer`` is the path of a
     byte-level BPE file, the same on every machine.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _pack_batches(it, tokenizer, capacity), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _pack_batches(it, tokenizer, capacity, with_ids), SCHEMA + ", ids array<int>" * with_ids)

@@ -61,6 +61,9 @@ def test_held_out_documents_and_switched_words(spark, tmp_path):
     words = [w for w in ENGLISH[:10] + FRENCH[:10] if w.isalpha()]
     likely = langid.Labeller(chain).word_probabilities([words])[0]
     assert [chain.labels[k] for k in likely.argmax(1)] == ["en"] * 10 + ["fr"] * 10
+    mixed = cases.frame(spark, tmp_path / "m", [(1, " ".join(words), None, None, 0.0, None), (2, None, None, None, 0.0, None)], SCHEMA)
+    runs = {r.doc_id: [(x.first_word, x.last_word, x.lang) for x in r.runs] for r in langid.label_words(mixed, chain).collect()}
+    assert runs == {1: [(0, 9, "en"), (10, 19, "fr")], 2: []}
 
 
 def test_odd_rows(spark, tmp_path):

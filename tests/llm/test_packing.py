@@ -32,6 +32,8 @@ def test_pieces_cover_every_id_once(spark, tmp_path):
     for r in rows:
         ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts[r.doc_id]]
         assert r.ids_crc32 in {zlib.crc32(np.array(i[r.start : r.start + r.length], "<u4").tobytes()) for i in ids}
+    with_ids = packing.pack(docs, PATH, with_ids=True).collect()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in with_ids) and len(with_ids) == len(rows)
     windows = collections.defaultdict(list)
     for r in rows:
         windows[r.sequence_id].append((r.offset, r.length))
