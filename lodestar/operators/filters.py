@@ -35,6 +35,7 @@ GENERIC_ENTITIES = (
     "model method approach result results data features study paper analysis research experiment system process problem solution value values "
     "variable variables parameter parameters function performance information useful important significant different"
 ).split()
+# What numbers, formulas and references to parts of a paper look like, and thanks and notices in evidence.
 NOISE_ENTITY = (
     r"(?i)^([0-9][0-9.,/%\s]*$|[0-9.,]+\s*(percent|samples|decile)|∂.*[/=]|\(?[0-9]+\)?$|[a-z]\(\w\)|eq\.?\s*[0-9]|table\s*[0-9]"
     r"|figure\s*[0-9]|fig\.\s*[0-9]|appendix\s*[a-z]|p\s*[<>=]\s*[0-9.])"
