@@ -57,28 +57,50 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array([digest(run, SEED) for run in runs], dtype="<u8")
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Another 64 bits of each hash; word 0 is the hash itself."""
-    if not word:
-        return hashes
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` rows of 64 bits of each hash; the first row are the hashes themselves."""
     with np.errstate(over="ignore"):
-        x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = hashes + np.arange(words, dtype="u8")[:, None] * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    x[0] = hashes
+    return x
+
+
+#: The lowest bit of each byte of a word.
+LOW_BITS = np.uint64(0x0101010101010101)
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """(row, bit): in how many of a row's 64-bit numbers each bit is set.
+
+    Eight counters lie in one number, so 255 numbers are added up at a time
+    before a byte could overflow.
+    """
+    words, n = rows.shape
+    if rows.size <= 1024:  # too few to be worth the packing
+        return np.unpackbits(np.ascontiguousarray(rows).view("u1").reshape(words, n, 8), axis=2, bitorder="little").sum(1, dtype="i8")
+    whole = -(-n // 255) * 255
+    if whole != n:
+        rows = np.concatenate([rows, np.zeros((words, whole - n), "u8")], axis=1)
+    rows = rows.reshape(words, -1, 255)
+    out = np.empty((words, 8, 8), "i8")
+    for bit in range(8):
+        lanes = ((rows >> np.uint64(bit)) & LOW_BITS).sum(2, dtype="u8")
+        out[:, :, bit] = lanes.astype("<u8").view("u1").reshape(words, -1, 8).sum(1, dtype="i8")
+    return out.reshape(words, 64)
 
 
 def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
     """``words`` unsigned 64-bit words; a bit is set if it is in over half the hashes."""
     hashes = shingle_hashes(text, shingle)
-    out = []
-    for word in range(words):
-        counts = np.zeros(64, "i8")
-        for at in range(0, len(hashes), 8192):
-            part = _mixed(hashes[at : at + 8192], word)
-            counts += np.unpackbits(part.view("u1")).reshape(-1, 64).sum(0, dtype="i8")
-        out.append(int(np.packbits(2 * counts > len(hashes)).view("<u8")[0]))
-    return out
+    if not len(hashes):
+        return [0] * words
+    counts = np.zeros((words, 64), "i8")
+    for at in range(0, len(hashes), 16320):
+        counts += bit_counts(_mixed(hashes[at : at + 16320], words) if words > 1 else hashes[None, at : at + 16320])
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
