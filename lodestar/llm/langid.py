@@ -13,6 +13,7 @@ labelled at once; all words of a text count.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -90,8 +91,8 @@ class Chain:
         self.labels, self.weights, self.moves, self.start = labels, weights, moves, start
 
 
-def marginals(emit: np.ndarray, real: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over chains: label probabilities (chain, place, label) and expected moves.
+def marginals(emit: np.ndarray, real: np.ndarray, moves: np.ndarray, start: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over chains: label probabilities (chain, place, label) and, if ``count``, the expected moves.
 
     ``emit`` (chain, place, label) are scores, ``real`` (chain, place) marks the
     places in use, which come first.
@@ -114,9 +115,10 @@ def marginals(emit: np.ndarray, real: np.ndarray, moves: np.ndarray, start: np.n
     for t in range(size - 2, -1, -1):
         beyond = gain[:, t + 1] * back
         live = real[:, t + 1]
-        both = ahead[:, t, :, None] * step * beyond[:, None, :]
-        both /= both.sum((1, 2), keepdims=True)
-        expected += both[live].sum(0)
+        if count:
+            both = ahead[:, t, :, None] * step * beyond[:, None, :]
+            both /= both.sum((1, 2), keepdims=True)
+            expected += both[live].sum(0)
         new = beyond @ step.T
         back = np.where(live[:, None], new / new.sum(1, keepdims=True), back)
         now = ahead[:, t] * back
@@ -217,11 +219,11 @@ class Labeller:
         if len(self.known) > CACHE_WORDS:
             self._clear()
         known = self.known
-        fresh = {w for words in texts for w in words if w not in known}
+        fresh = set().union(*texts).difference(known)
         if fresh:
             self._add(sorted(fresh))
         sizes = [len(words) for words in texts]
-        ids = np.fromiter((known[w] for words in texts for w in words), "i8", sum(sizes))
+        ids = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(texts)), "i8", sum(sizes))
         out = np.empty((len(ids), len(self.chain.labels)))
         ends = np.cumsum(sizes)
         begins, lengths = [], []
@@ -235,7 +237,7 @@ class Labeller:
             place = b[:, None] + np.arange(n.max())
             real = np.arange(n.max()) < n[:, None]
             emit = self.scores[ids[np.where(real, place, 0)]].astype("f8")
-            likely, _ = marginals(emit, real, self.chain.moves, self.chain.start)
+            likely, _ = marginals(emit, real, self.chain.moves, self.chain.start, count=False)
             out[place[real]] = likely[real]
         return np.split(out, ends[:-1]) if sizes else []
 
