@@ -42,6 +42,9 @@ GATHER = 1 << 16
 LEAF = 64
 #: Leaf pairs compared at once.
 PAIRS = 1 << 20
+#: Documents, and characters, of candidates that a task holds against each other; more are cut into chunk pairs.
+CHECKED = 512
+CHARS = 1 << 24
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -92,9 +95,14 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
     return out.reshape(words, 64)
 
 
-def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
-    """``words`` unsigned 64-bit words; a bit is set if it is in over half the hashes."""
+def fingerprint(text: bytes, shingle: int, words: int, distinct: bool = False) -> list[int]:
+    """``words`` unsigned 64-bit words; a bit is set if it is in over half the hashes.
+
+    Repeated shingles count as often as they occur, or once if ``distinct``.
+    """
     hashes = shingle_hashes(text, shingle)
+    if distinct:
+        hashes = np.unique(hashes)
     if not len(hashes):
         return [0] * words
     counts = np.zeros((words, 64), "i8")
@@ -103,17 +111,17 @@ def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
     return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int, distinct: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
-        prints = np.array([fingerprint(t.as_py() or b"", shingle, words) for t in texts], "u8").reshape(-1, words).view("i8")
+        prints = np.array([fingerprint(t.as_py() or b"", shingle, words, distinct) for t in texts], "u8").reshape(-1, words).view("i8")
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k]) for k in range(words))], ["doc_id", *(f"w{k}" for k in range(words))])
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """(doc_id, w0, w1, ...): one row per row of ``docs``; null text is empty, no words give zeros."""
     schema = "doc_id long, " + ", ".join(f"w{k} long" for k in range(words))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _fingerprint_batches(it, shingle, words), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _fingerprint_batches(it, shingle, words, distinct), schema)
 
 
 # -- the walk over node pairs -------------------------------------------------
@@ -274,32 +282,112 @@ def near_links(nodes: DataFrame, words: int, budget: int, split: int = SPLIT) ->
     return dealt.repartition("trie").sortWithinPartitions("trie").mapInArrow(lambda it: _walk_batches(it, budget), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, words: int = 16, budget: int = 162, split: int = SPLIT) -> DataFrame:
+# -- exact similarity of candidates -------------------------------------------
+
+
+def similar_links(sets: list[np.ndarray], prints: np.ndarray, budget: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows that span the components of Jaccard similarity ``similarity`` or more.
+
+    ``sets`` are sorted and without repeats; only pairs whose fingerprints are
+    within ``budget`` bits are looked at, the nearest first, and none that are
+    linked already.
+    """
+    sizes = np.array([len(x) for x in sets], "i8")
+    label = np.arange(len(sets))
+    links = []
+    for i in range(1, len(sets)):
+        away = np.bitwise_count(prints[:i] ^ prints[i]).sum(1, dtype="i8")
+        fits = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])
+        near = np.flatnonzero(fits & (away <= budget))
+        for j in near[np.argsort(away[near], kind="stable")]:
+            if label[i] == label[j]:
+                continue
+            small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            shared = int((large[at] == small).sum()) if len(small) else 0
+            if shared >= similarity * (sizes[i] + sizes[j] - shared):
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+                links.append((i, int(j)))
+    return links
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, budget: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Batches (group, node, text, words) sorted by group: the links of each group."""
+    held: list[tuple] = []
+
+    def links() -> pa.RecordBatch:
+        found = similar_links([h[2] for h in held], np.stack([h[3] for h in held]), budget, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i, _ in found], "int64"), pa.array([held[j][1] for _, j in found], "int64")], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        prints = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]], axis=1).view("u8")
+        texts = batch.column(2).cast(pa.binary())
+        for k, (group, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if held and held[0][0] != group:
+                yield links()
+                held.clear()
+            held.append((group, node, np.unique(shingle_hashes(texts[k].as_py() or b"", shingle)), prints[k]))
+    if held:
+        yield links()
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, shingle: int, words: int, budget: int, similarity: float, split: int = CHECKED, chars: int = CHARS) -> DataFrame:
+    """(a, b): links that span the components of exact similarity within each component of ``candidates``.
+
+    The texts of a component meet in one task, where each pair within
+    ``budget`` bits that is not linked yet is held against each other; a
+    component of more than ``split`` documents or ``chars`` characters is cut
+    into salted chunks of which every pair is joined.
+    """
+    cols = [f"w{k}" for k in range(words)]
+    parts = connected_components(candidates, "a", "b")
+    named = nodes.join(parts, "node").select("node", "component", *cols)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(named, "node").select("component", "node", "text", *cols)
+    texts = staged(texts, "candidates")
+    sizes = texts.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("text")).alias("chars"))
+    chunks = F.ceil(F.greatest(F.col("members") / split, F.col("chars") / chars)).cast("int").alias("chunks")
+    crowded = staged(sizes.select("component", chunks).where("chunks > 1"), "crowded")
+    dealt = texts.join(crowded, "component", "left_anti").select(F.xxhash64("component").alias("group"), "node", "text", *cols)
+    again = texts.join(crowded, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    again = again.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.union(again.select(F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("group"), "node", "text", *cols))
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: _similar_batches(it, shingle, budget, similarity), "a long, b long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, words: int = 16, budget: int = 162, split: int = SPLIT, similarity: float = 0.8) -> DataFrame:
     """(doc_id, w0, ..., component_id): documents linked by near fingerprints.
 
-    The default is for near copies on five-word shingles: 1024 bits, of which
-    162 may differ.  Two texts of Jaccard similarity J differ in a share
-    arccos(2J / (1 + J)) / pi of the bits: 156 at J = 0.8, give or take 11.
-    Fingerprints of over four words are walked twice, first their first four
-    words with a wide budget, which leaves the few that have a neighbour, then
-    those with all words.  A pair agrees on one of the 20 blocks with a chance
-    of 0.92 at J = 0.8, 0.98 at 0.85 and over 0.99 from 0.9; members of a group
-    are mostly found by more than one pair.  ``words=1, budget=4`` finds every
-    link.
+    ``words=1, budget=4`` finds every link of fingerprints within four bits,
+    which count repeated shingles as often as they occur.
+
+    The default is for near copies: documents whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more.  Fingerprints of over four words
+    are of different shingles and only find candidates; each link is one of
+    exact similarity.  Two sets of similarity J differ in a share
+    arccos(2J / (1 + J)) / pi of the 1024 bits: 156 at J = 0.8, give or take
+    11.  Their first four words are walked with a wide budget; the components
+    of what that finds are held against each other exactly where all words
+    differ in ``budget`` bits at most.  A pair agrees on one of the 20 blocks
+    with a chance of 0.92 at J = 0.8, 0.98 at 0.85 and over 0.99 from 0.9;
+    members of a group are mostly found by more than one pair.
 
     component_id is the smallest doc_id reachable.  Null texts are empty;
     texts without words share the zero fingerprint; rows with a null doc_id
     get the component of their fingerprint, null if it has no doc_id.
     """
     cols = [f"w{k}" for k in range(words)]
-    prints = staged(fingerprints(docs, shingle, words), "fingerprints")
+    verify = words > BLOCK_WORDS
+    prints = staged(fingerprints(docs, shingle, words, distinct=verify), "fingerprints")
     nodes = staged(prints.groupBy(*cols).agg(F.min("doc_id").alias("node")), "nodes")
     walked = nodes.where("node IS NOT NULL")
-    if words > BLOCK_WORDS:
+    if verify:
         screened = near_links(walked.select("node", *cols[:BLOCK_WORDS]), BLOCK_WORDS, SCREEN, split)
-        near = staged(screened.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "screened")
-        walked = walked.join(near, "node", "left_semi")
-    links = near_links(walked, words, budget, split)
+        links = verified_links(docs, walked, screened, shingle, words, budget, similarity)
+    else:
+        links = near_links(walked, words, budget, split)
     parts = connected_components(links, "a", "b")
     named = nodes.join(parts, "node", "left").select(*cols, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, cols)

@@ -114,3 +114,34 @@ def test_similarity_of_eight_tenths_is_caught_and_less_is_not(spark, tmp_path):
             assert got[d] == d - d % 100
         if similar < 0.7:
             assert got[d] == d
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_documents_that_share_a_repeated_line_are_no_near_copies(spark, tmp_path):
+    line = " ".join(f"menu{k}" for k in range(18))
+    rows = [(d, " ".join(f"own{d}x{k}" for k in range(104)) + (" " + line) * 10) for d in range(8)]
+    rows += [(100, cases.near(rows[0][1], 1, 2))]
+    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string")
+    assert jaccard(rows[0][1], rows[1][1]) < 0.3 and jaccard(rows[0][1], rows[8][1]) >= 0.8
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()} == {d: d for d in range(8)} | {100: 0}
+
+
+def test_links_are_of_exact_similarity_also_across_chunks(spark, tmp_path):
+    rows = [(100 * g + k, cases.near(cases.prose(300 + g, 200), 7 * g + k, k)) for g in range(5) for k in range(12)]
+    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string")
+    prints = simhash.fingerprints(docs, 5, 16, distinct=True)
+    nodes = prints.select(F.col("doc_id").alias("node"), *(f"w{k}" for k in range(16)))
+    chain = spark.createDataFrame([(d, rows[0][0]) for d, _ in rows[1:]], "a long, b long")
+    union = cases.Union()
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if jaccard(x, y) >= 0.8:
+                union.link(a, b)
+    for split in (8, 512):
+        links = simhash.verified_links(docs, nodes, chain, 5, 16, 1024, 0.8, split=split)
+        got = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
+        assert {d: got.get(d, d) for d, _ in rows} == {d: union.root(d) for d, _ in rows}
