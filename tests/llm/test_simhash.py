@@ -145,3 +145,16 @@ def test_links_are_of_exact_similarity_also_across_chunks(spark, tmp_path):
         links = simhash.verified_links(docs, nodes, chain, 5, 16, 1024, 0.8, split=split)
         got = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
         assert {d: got.get(d, d) for d, _ in rows} == {d: union.root(d) for d, _ in rows}
+
+
+def test_isolated_pairs_of_eight_tenths_are_found(spark, tmp_path):
+    rows = []
+    for g in range(150):
+        own = [f"{g}x{k}" for k in range(184)]
+        copy = [*own[:90], *(f"{g}y{k}" for k in range(16)), *own[106:]]
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(copy))]
+    rows += [(900, "a b c d e f g h"), (901, "a b c d e f g h i")]
+    assert all(0.8 <= jaccard(rows[k][1], rows[k + 1][1]) < 0.82 for k in range(0, len(rows), 2))
+    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
