@@ -62,16 +62,16 @@ def best_match(cases: DataFrame, rows: DataFrame, gate: list[str], score: Column
 def token_pairs(rows: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs whose token Jaccard, or 0.9 of their containment, reaches ``threshold``.
 
-    Blocked by prefix: tokens are ordered from rare to frequent and only the
-    first size - ceil(threshold * size / 2) + 1 of a row can be what a pair must
-    share, so frequent tokens make no pairs.
+    Blocked by prefix: tokens are ordered from rare to frequent.  The smaller
+    row of a pair shares at least need = ceil(size * min(2t / (1 + t), t / 0.9))
+    of its tokens, so one of its first size - need + 1 is shared.
     """
     flat = rows.select(key, F.explode(F.array_distinct(tokens)).alias("t"))
     freq = flat.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     ordered = flat.join(freq, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
     ordered = ordered.select(key, F.transform("o", lambda x: x["t"]).alias("own"))
-    # Containment c >= threshold / 0.9 of the smaller row bounds what must be shared from below.
-    need = F.ceil(F.size("own") * min(1.0, threshold / 0.9)).cast("int")
+    # The lesser of what Jaccard and what containment ask of the smaller row; a product just above a whole number is that number.
+    need = F.ceil(F.size("own") * min(2 * threshold / (1 + threshold), threshold / 0.9) - 1e-9).cast("int")
     heads = ordered.select(key, "own", F.explode(F.slice("own", 1, F.size("own") - F.least(need, F.size("own")) + 1)).alias("t"))
     whole = ordered.select(F.col(key).alias("b"), F.col("own").alias("other"), F.explode("own").alias("t"))
     pairs = heads.select(F.col(key).alias("a"), "own", "t").join(whole, "t").where(F.size("own") <= F.size("other")).where("a <> b")

@@ -181,3 +181,20 @@ def test_communities(spark):
             assert "more than 3" in str(error)
         else:
             raise AssertionError("a large component must be refused")
+
+
+def test_token_pairs_of_long_rows_match_all_pairs(spark):
+    rows = []
+    for size in (*range(3, 31), 40):
+        shared = [f"s{size}x{i}" for i in range(size - 1)]
+        # The token of its own is the rarest of each row, the shared ones are in both.
+        rows += [(10 * size, [*shared, f"a{size}"]), (10 * size + 1, [*shared, f"b{size}"]), (10 * size + 2, [*shared, f"c{size}", f"d{size}", f"e{size}"])]
+    for threshold in (0.8, 0.85, 0.95):
+        want = set()
+        for i, (a, x) in enumerate(rows):
+            for b, y in rows[i + 1 :]:
+                both = len(set(x) & set(y))
+                if max(both / len(set(x) | set(y)), 0.9 * both / min(len(x), len(y))) >= threshold:
+                    want.add((a, b))
+        got = matching.token_pairs(spark.createDataFrame(rows, "k long, t array<string>"), "k", "t", threshold).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
