@@ -27,6 +27,12 @@ def _sparse(spark, sf_dir):
     return lines.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")).distinct().withColumn("weight", F.lit(1).cast("long"))
 
 
+def _shipped(spark, sf_dir):
+    """All parts and the suppliers that ship them."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")).distinct().withColumn("weight", F.lit(1).cast("long"))
+
+
 @query("copurchase_edges", f"WITH {BASKET_SQL} SELECT src, dst, weight FROM basket")
 def copurchase_edges(spark, sf_dir):
     return _basket(spark, sf_dir)
@@ -70,12 +76,12 @@ def triangles_and_clustering(spark, sf_dir):
 
 @query("core_numbers")
 def core_numbers(spark, sf_dir):
-    return G.core_numbers(_sparse(spark, sf_dir))
+    return G.core_numbers(_shipped(spark, sf_dir))
 
 
 @query("label_propagation_5")
 def label_propagation_5(spark, sf_dir):
-    return G.label_propagation(_sparse(spark, sf_dir), rounds=5)
+    return G.label_propagation(_shipped(spark, sf_dir), rounds=5)
 
 
 @query("modularity_of_brands", f"""WITH {BASKET_SQL}, own AS (SELECT p_partkey AS node, p_brand AS community FROM part), m AS (SELECT sum(weight) AS m FROM basket),
@@ -107,7 +113,7 @@ def directed_paths(spark, sf_dir):
 
 @query("betweenness")
 def betweenness(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _shipped(spark, sf_dir)
     nodes = G.degrees(edges).select("node")
     return G.betweenness(edges, nodes).select("u", "v", F.round(F.col("dependency") / 2, 6).alias("betweenness"))
 
@@ -134,7 +140,7 @@ def neighbour_link_prediction(spark, sf_dir):
 
 @query("greedy_modularity")
 def greedy_modularity(spark, sf_dir):
-    return C.greedy_modularity(_sparse(spark, sf_dir))
+    return C.greedy_modularity(_shipped(spark, sf_dir))
 
 
 @query("maximal_cliques", f"WITH {SPARSE_SQL} SELECT 2 AS size, least(src, dst) || ',' || greatest(src, dst) AS members FROM sparse")
@@ -145,19 +151,19 @@ def maximal_cliques(spark, sf_dir):
 
 @query("spectral_scores")
 def spectral_scores(spark, sf_dir):
-    return C.spectral_scores(_sparse(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return C.spectral_scores(_shipped(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("closeness")
 def closeness(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _shipped(spark, sf_dir)
     return C.closeness(edges, G.degrees(edges).select("node")).withColumn("closeness", F.round("closeness", 6))
 
 
 @query("cross_community_bridges")
 def cross_community_bridges(spark, sf_dir):
     """The twenty best Adamic-Adar pairs of the query parts between communities of label propagation."""
-    edges = _sparse(spark, sf_dir)
+    edges = _shipped(spark, sf_dir)
     queries = edges.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
     scores = L.neighbour_scores(edges, queries).select("u", "v", F.round("adamic_adar", 6).alias("score"))
     return C.bridges_between(scores, G.label_propagation(edges, rounds=2), 20)
@@ -165,8 +171,8 @@ def cross_community_bridges(spark, sf_dir):
 
 @query("topology_importance")
 def topology_importance(spark, sf_dir):
-    """Edges of the sparse graph by the weighted shares of betweenness, rank, core and support; it has no direction or time to weigh."""
-    edges = _sparse(spark, sf_dir)
+    """Edges by the weighted shares of betweenness, rank, core and support; it has no direction or time to weigh."""
+    edges = _shipped(spark, sf_dir)
     nodes = G.degrees(edges).select("node")
     between = G.betweenness(edges, nodes)
     edge_b = between.where("u < v").select("u", "v", F.col("dependency").alias("edge_b"))

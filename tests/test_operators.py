@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lodestar import catalogue
 from lodestar.functions import dates, keys, text
 from lodestar.operators import communities, datasets, extraction, graph, links, matching, vectors
 from lodestar.sources import bundles, papers, sinks
@@ -198,3 +199,21 @@ def test_token_pairs_of_long_rows_match_all_pairs(spark):
                     want.add((a, b))
         got = matching.token_pairs(spark.createDataFrame(rows, "k long, t array<string>"), "k", "t", threshold).collect()
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_graph_queries_without_sql_take_all_lines(spark, tmp_path):
+    """Two parts and two suppliers, of which each line has a small quantity and no discount, and one part apart."""
+    lines = [(1, 1), (1, 2), (2, 1), (2, 2), (40, 3), (1, 1)]
+    spark.createDataFrame([(p, s, 1.0, 0.0) for p, s in lines], "l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    run = lambda name: catalogue.queries()[name](spark, f"file://{tmp_path}").collect()
+    square, apart = {1, 2, -2, -3}, {40, -4}
+    assert {r.node: r.core for r in run("core_numbers")} == dict.fromkeys(square, 2) | dict.fromkeys(apart, 1)
+    assert {r.node for r in run("label_propagation_5")} == square | apart
+    assert {r.node: r.closeness for r in run("closeness")} == dict.fromkeys(square, 0.45) | dict.fromkeys(apart, 0.2)
+    # Two shortest paths join the ends of a diagonal: half a path for each node between, and two for each edge.
+    between = {(r.u, r.v): r.betweenness for r in run("betweenness")}
+    assert {k: v for k, v in between.items() if v} == {(v, v): 0.5 for v in square} | {(s, p): 2.0 for p in (1, 2) for s in (-2, -3)} | {(-4, 40): 1.0}
+    assert {r.node: r.community for r in run("greedy_modularity")}.keys() == square | apart
+    assert {(r.u, r.v) for r in run("topology_importance")} == {(s, p) for p in (1, 2) for s in (-2, -3)} | {(-4, 40)}
+    assert {(r.u, r.v) for r in run("spectral_scores")} >= {(1, 2), (-3, -2)}
+    assert run("cross_community_bridges") == []
