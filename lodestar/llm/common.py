@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,23 +15,30 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests on one machine, a local folder is made and set.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a local
+    folder is made and set if all runs on this machine, as in tests; a cluster
+    without it is an error, for its executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-_MADE: list[str] = []
+#: Scratch paths of the innermost :func:`scratch_discarded` of each thread.
+_OWN = threading.local()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    _MADE.append(f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{scratch_root(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    if getattr(_OWN, "paths", None) is not None:
+        _OWN.paths.append(path)
+    return path
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -41,12 +49,15 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch_discarded(spark: SparkSession) -> Iterator[None]:
-    """Removes the scratch tables made inside; what is to stay must have been written elsewhere."""
-    first = len(_MADE)
-    yield
-    for path in _MADE[first:]:
-        discard(spark, path)
-    del _MADE[first:]
+    """Removes the scratch tables that this thread makes inside, also after an error; what is to stay must have been written elsewhere."""
+    outer, mine = getattr(_OWN, "paths", None), []
+    _OWN.paths = mine
+    try:
+        yield
+    finally:
+        _OWN.paths = outer
+        for path in mine:
+            discard(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (with map-side combine) and one join on the
-node, so a hub with very many links is split by adaptive skew joins and no
-group of rows is gathered in a task.  Links stay in written tables.
+Every step is a grouped minimum (with map-side combine), a written table, and
+one join of the links with it on the node.  Both sides of the join are plain
+reads, so adaptive execution may broadcast the minima or split a hub with very
+many links; no group of rows is gathered in a task.  Links stay in written
+tables.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(both.select("v", "u"))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u_"), F.least("u", "m").alias("m"))
+    low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u_"), F.least("u", "m").alias("m")), "least")
     joined = both.join(low, both.u == low.u_)
     if large:
         out = joined.where("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
