@@ -31,6 +31,8 @@ TABLE_BYTES = 64 << 20
 FAN_BITS = 4
 #: Rows given out at once.
 OUT_ROWS = 4096
+#: Bytes that one more record of a content already seen counts against the budget.
+TAG_BYTES = 64
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 HEAD = struct.Struct("<QQI")
 LAST = 1 << 63
@@ -84,7 +86,7 @@ def _spilled(path: str) -> Iterator[tuple[int, bytes, int]]:
 def grace(records: Iterator[tuple[int, bytes, int]], budget: int = TABLE_BYTES, level: int = 0) -> Iterator[tuple[ContentTable, list[list[int]]]]:
     """Tables over all records (hash, content, tag) with the tags of each content; equal contents share an entry.
 
-    ``budget`` bounds the contents in memory (one content may exceed it alone).
+    ``budget`` bounds the contents and tags in memory (one content may exceed it alone).
     """
     content_table, tags = ContentTable(), []
     records = iter(records)
@@ -93,6 +95,7 @@ def grace(records: Iterator[tuple[int, bytes, int]], budget: int = TABLE_BYTES,
         if entry == len(tags):
             tags.append([])
         tags[entry].append(tag)
+        content_table.bytes += TAG_BYTES
         if content_table.bytes > budget and len(tags) > 1 and (level + 1) * FAN_BITS <= 64:
             break
     else:
@@ -187,25 +190,39 @@ def _whole_batches(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["rep", "keep", "keep_id", "group_size"])
 
 
+def _groups(numbered: DataFrame, budget: int) -> DataFrame:
+    """:func:`duplicate_groups` of rows (row, doc_id, text) whose numbers are their own."""
+    local = staged(numbered.mapInArrow(lambda it: _local_batches(it, budget), LOCAL), "grace")
+    firsts = local.where("copies IS NOT NULL").select("rep", "rep_doc", "copies", "hash", "content").repartition("hash")
+    whole = firsts.mapInArrow(lambda it: _whole_batches(it, budget), WHOLE)
+    kept = (F.col("copies").isNotNull() & (F.col("rep") == F.col("keep"))).alias("kept")
+    return local.select("row", "doc_id", "rep", "copies", "text_sha256").join(whole, "rep").select("row", "doc_id", "keep_id", "group_size", kept, "text_sha256")
+
+
 def duplicate_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """(row, doc_id, keep_id, group_size, kept, text_sha256): one row per row of ``docs``.
 
     Texts are equal when identical after each run of blanks is one space; null
     counts as empty.  The row with the smallest doc_id stays (a null doc_id
     only if the group has no other; of rows repeated under one doc_id, the
-    first).  ``row`` is the number Spark gives the row of ``docs``, which must
-    therefore be read from files.  ``budget``: bytes of text a task holds.
+    first).  ``row`` numbers the rows of this result and means nothing outside
+    it: it is given once, in the scan whose outcome is written.  ``budget``:
+    bytes of text a task holds.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    local = staged(numbered.mapInArrow(lambda it: _local_batches(it, budget), LOCAL), "grace")
-    firsts = local.where("copies IS NOT NULL").select("rep", "rep_doc", "copies", "hash", "content").repartition("hash")
-    whole = firsts.mapInArrow(lambda it: _whole_batches(it, budget), WHOLE)
-    kept = (F.col("copies").isNotNull() & (F.col("rep") == F.col("keep"))).alias("kept")
-    return local.select("row", "doc_id", "rep", "copies", "text_sha256").join(whole, "rep").select("row", "doc_id", "keep_id", "group_size", kept, "text_sha256")
+    return _groups(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), budget)
 
 
 def drop_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
-    """``docs`` (read from files) without the rows whose text an earlier document has; keeps the columns."""
+    """``docs`` without the rows whose text an earlier document has; keeps the columns.
+
+    Null texts are empty, and equal to each other; of repeated rows one stays;
+    an empty table gives an empty one.  The rows are numbered once, in a
+    written table that both the search and the result read: numbers given in
+    two scans agree only while both are split alike, which executors that come
+    and go change.
+    """
     row = fresh(docs, "row")
-    gone = staged(duplicate_groups(docs.select("doc_id", "text"), budget).where("NOT kept").select(F.col("row").alias(row)), "duplicates")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(docs.columns)
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = _groups(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), budget)
+    gone = staged(groups.where("NOT kept").select(F.col("row").alias(row)), "duplicates")
+    return numbered.join(gone, row, "left_anti").select(docs.columns)
