@@ -37,7 +37,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

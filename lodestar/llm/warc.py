@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import scratch_path
+from lodestar.llm.common import discard, scratch_path, staged
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 100
@@ -243,11 +243,18 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     Payloads below ``least`` bytes refer to nothing.  Null html is empty; a
     null page_id is never referred to and refers to nothing; rows repeated
     under one page_id are alike.
+
+    Payloads meet as digests: a payload that makes up a third of all pages is
+    first summed up to its smallest id, a written table, and the join with it
+    is one of ids and digests that adaptive execution may split.  Pages, with
+    their html, are joined by page_id and digest with what that gave, and short
+    ones are in neither table.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    own = own.withColumn("sha", F.sha2("html", 256))
-    firsts = own.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    return own.join(firsts, "sha", "left").select("page_id", "url", "html", F.expr("CASE WHEN page_id <> first THEN first END").alias("refers_to"))
+    long = staged(own.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", F.unhex(F.sha2("html", 256)).alias("sha")), "digests")
+    firsts = staged(long.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("sha", "refers_to"), "first-pages")
+    revisits = staged(long.join(firsts, "sha").where("page_id <> refers_to").distinct(), "revisits")
+    return own.withColumn("sha", F.unhex(F.sha2("html", 256))).join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_packages(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -264,9 +271,16 @@ def write_packages(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, pa
 
 def read_packages(manifest: DataFrame) -> DataFrame:
     """The records of all packages that ``manifest`` lists, a package per task."""
-    return manifest.select("uri").repartition("uri").mapInArrow(_read_batches, SCHEMA)
+    return manifest.select("uri").repartition(max(1, manifest.count())).mapInArrow(_read_batches, SCHEMA)
+
 
+def round_trip(spark: SparkSession, pages: DataFrame, columns: tuple[str, ...] = Read._fields) -> DataFrame:
+    """``columns`` of ``pages`` written to packages in the shared folder and read back.
 
-def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """``pages`` written to packages in the shared folder and read back."""
-    return read_packages(write_packages(pages, scratch_path(spark, "warc")))
+    What was read is a written table; the packages are removed.
+    """
+    folder = scratch_path(spark, "warc")
+    try:
+        return staged(read_packages(write_packages(pages, folder)).select(*columns), "pages")
+    finally:
+        discard(spark, folder)
