@@ -182,18 +182,24 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleMod
 
     Only numbers reach the driver: ``rows`` vectors of statistics.  Labels
     other than 0 and 1 and null ids are ignored; a document labelled twice
-    counts with its smaller label.
+    counts with its smaller label, and of rows repeated under one id the one
+    with the smallest statistics counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").where(remainder_of_id("doc_id", 5) != 0)
     drawn = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` pairs of numbers: a bounded broadcast.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
-    got = with_statistics(sample).select("doc_id", "quality", "statistics.*").limit(2 * rows).toPandas().sort_values(["doc_id", "log_chars"])
+    one = with_statistics(sample).groupBy("doc_id").agg(F.min("statistics").alias("statistics"), F.first("quality").alias("quality"))
+    got = one.select("doc_id", "quality", "statistics.*").toPandas().sort_values("doc_id")
     return fit(got[list(STATS)].to_numpy("f8"), got["quality"].to_numpy("f8"))
 
 
 def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score and predicted (replacing columns of these names); all rows and other columns stay."""
+    """``docs`` with score and predicted (replacing columns of these names); all rows and other columns stay.
+
+    A null text is scored as an empty one, whose statistics are all zero; very
+    long texts are scored whole; equal texts get equal scores.
+    """
     rest = docs.drop("score", "predicted")
     stats = fresh(rest, "statistics")
     out = with_statistics(rest, stats).withColumn("score", model.score(stats))
