@@ -1,7 +1,8 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Each word gets features of its affixes, its character n-grams and a learned
-lexicon; transitions between the languages of neighbouring words are learned
+lexicon, the words that several training documents use and nearly all of them
+in one language; transitions between the languages of neighbouring words are learned
 too, from training sequences that are spliced where languages switch.  The
 forward-backward algorithm gives every word a probability per language, so
 that code-switched text is labelled word by word; a document takes the
@@ -26,13 +27,15 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import fresh, remainder_of_id
 
-#: Labelled documents to learn from, at most.
-TRAIN_ROWS = 2000
-#: Words of each of them, at most: blocks from its whole length.
-TRAIN_WORDS = 192
+#: Labelled documents to learn from, at most; of each, all words.
+TRAIN_ROWS = 1000
+#: A word is in the lexicon of a language if so many training documents use it ...
+LEXICON_DOCS = 2
+#: ... and this share of them are in that language.
+LEXICON_SHARE = 0.9
 #: Words of a chain.
 CHAIN = 48
-#: Feature weights per language.
+#: Feature weights per language; the lexicons' features follow them.
 FEATURES = 1 << 17
 #: Words whose scores a worker remembers.
 CACHE_WORDS = 300_000
@@ -47,8 +50,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, feature) pairs of lower-case words: hashed prefixes and suffixes of up to four letters, n-grams of up to three with the edges, and the word.
+def features(words: list[str], lexicon: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) pairs of lower-case words: hashed prefixes and suffixes of up to four letters, n-grams of up to three with the edges, the word, and the language whose lexicon has it.
 
     All words are hashed together, as arrays of code points; a run of letters
     hashes to the same feature wherever it stands, by kind and length.
@@ -81,14 +84,34 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = np.add.reduceat(code * powers[place], start) if len(words) else np.empty(0, "u8")
         hashes.append(_mix(whole ^ np.uint64(99)))
     owners.append(np.arange(len(words)))
-    return np.concatenate(owners), (np.concatenate(hashes) >> np.uint64(20)).astype("i8") % FEATURES
+    slots = (np.concatenate(hashes) >> np.uint64(20)).astype("i8") % FEATURES
+    listed = [(k, FEATURES + lexicon[w]) for k, w in enumerate(words) if w in lexicon] if lexicon else []
+    if listed:
+        owners.append(np.array([k for k, _ in listed], "i8"))
+        slots = np.r_[slots, [f for _, f in listed]]
+    return np.concatenate(owners), slots
 
 
 class Chain:
-    """Weights of a trained field."""
+    """Weights of a trained field, and its lexicon: the number of the language of each word."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, moves: np.ndarray, start: np.ndarray) -> None:
-        self.labels, self.weights, self.moves, self.start = labels, weights, moves, start
+    def __init__(self, labels: list[str], weights: np.ndarray, moves: np.ndarray, start: np.ndarray, lexicon: dict[str, int] | None = None) -> None:
+        self.labels, self.weights, self.moves, self.start, self.lexicon = labels, weights, moves, start, lexicon or {}
+
+
+def lexicon_of(texts: list[tuple[list[str], int]]) -> dict[str, int]:
+    """The words that at least :data:`LEXICON_DOCS` texts (words, label number) use, :data:`LEXICON_SHARE` of them of one label, with that label."""
+    counts: dict[str, dict[int, int]] = {}
+    for words, label in texts:
+        for word in set(words):
+            own = counts.setdefault(word, {})
+            own[label] = own.get(label, 0) + 1
+    out = {}
+    for word, own in counts.items():
+        label, most = max(own.items(), key=lambda x: (x[1], -x[0]))
+        if sum(own.values()) >= LEXICON_DOCS and most >= LEXICON_SHARE * sum(own.values()):
+            out[word] = label
+    return out
 
 
 def marginals(emit: np.ndarray, real: np.ndarray, moves: np.ndarray, start: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -133,21 +156,23 @@ def train(texts: list[tuple[str, str]], seed: int = 7, rounds: int = 4) -> Chain
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
     runs: list[tuple[list[int], int]] = []
-    for text, label in texts:
-        words = WORD.findall(text.lower())
+    split = [(WORD.findall(text.lower()), label) for text, label in texts]
+    lexicon = lexicon_of([(words, number[label]) for words, label in split])
+    for words, label in split:
         for at in range(0, len(words), CHAIN // 2):
             own = []
             for word in words[at : at + CHAIN // 2]:
                 own.append(known.setdefault(word, len(known)))
             runs.append((own, number[label]))
     k = max(len(labels), 1)
-    weights, moves, start = np.zeros((FEATURES, k), "f4"), np.zeros((k, k)), np.zeros(k)
+    slots = FEATURES + len(labels)
+    weights, moves, start = np.zeros((slots, k), "f4"), np.zeros((k, k)), np.zeros(k)
     if not runs:
         return Chain(labels, weights, moves, start)
-    owners, hashed = features(list(known))
+    owners, hashed = features(list(known), lexicon)
     order = np.argsort(owners, kind="stable")
     lists = np.split(hashed[order], np.cumsum(np.bincount(owners, minlength=len(known)))[:-1])
-    square_w, square_m, square_s = np.full((FEATURES, k), 1e-6, "f4"), np.full((k, k), 1e-6), np.full(k, 1e-6)
+    square_w, square_m, square_s = np.full((slots, k), 1e-6, "f4"), np.full((k, k), 1e-6), np.full(k, 1e-6)
     for _ in range(rounds):
         order = rng.permutation(len(runs))
         pairs = [order[i : i + 2] for i in range(0, len(order), 2)]  # two runs, often of two languages, are one chain
@@ -190,7 +215,7 @@ def train(texts: list[tuple[str, str]], seed: int = 7, rounds: int = 4) -> Chain
             slope_s = wrong[:, 0].sum(0)
             square_s += slope_s**2
             start += 0.1 * slope_s / np.sqrt(square_s)
-    return Chain(labels, weights, moves, start)
+    return Chain(labels, weights, moves, start, lexicon)
 
 
 class Labeller:
@@ -208,7 +233,7 @@ class Labeller:
         need = len(self.known) + len(words)
         if need > len(self.scores):
             self.scores = np.concatenate([self.scores, np.empty((need, self.scores.shape[1]), "f4")])
-        owner, found = features(words)
+        owner, found = features(words, self.chain.lexicon)
         first = len(self.known)
         for k in range(self.scores.shape[1]):
             self.scores[first:need, k] = np.bincount(owner, self.chain.weights[found, k], len(words))
@@ -301,34 +326,20 @@ def _label_batches(batches: Iterator[pa.RecordBatch], name: str, chain, columns:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, *columns])
 
 
-def _windows(text: str, most: int) -> str:
-    """At most ``most`` words from all over a text, in three runs of neighbours."""
-    words = text.split()
-    if len(words) <= most:
-        return text
-    run = most // 3
-    starts = (0, (len(words) - run) // 2, len(words) - run)
-    return " ".join(w for s in starts for w in words[s : s + run])
-
-
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [_windows(t, TRAIN_WORDS) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "lang"])
-
-
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     """A field from at most ``rows`` documents with a lang whose crc32(doc_id) mod 3 is not 1, drawn by a hash of the id.
 
-    Of each, at most :data:`TRAIN_WORDS` words from its beginning, middle and
-    end reach the driver.
+    Their whole texts reach the driver.  Of rows repeated under one id the one
+    with the least text counts.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder_of_id("doc_id", 3) != 1))
-    drawn = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).agg(F.max("h").alias("h")).first()
-    if drawn is None or drawn.h is None:
+    key = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("id"))
+    last = labelled.select(key.alias("key")).orderBy("key").limit(rows).agg(F.max("key").alias("key")).first()
+    if last is None or last.key is None:
         return train([])
-    sample = labelled.where(F.xxhash64("doc_id") <= F.lit(drawn.h)).select("text", "lang").mapInArrow(_window_batches, "text string, lang string")
-    return train(sorted((r.text, r.lang) for r in sample.limit(2 * rows).collect()))
+    bound = F.struct(F.lit(last.key.h).cast("long").alias("h"), F.lit(last.key.id).cast("long").alias("id"))
+    one = labelled.where(key <= bound).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"))
+    return train(sorted((r.text, r.lang) for r in one.select("row.*").toLocalIterator()))
 
 
 def identify(docs: DataFrame, chain: Chain, label: str = "lang_pred", score: str = "score") -> DataFrame:
