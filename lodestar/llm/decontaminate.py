@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import fresh
+from lodestar.llm.common import fresh, staged
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of benchmark text that one pass over the documents searches for.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one pass over the documents searches for; its tables take some 50 times as much in a worker.
+BLOCK_BYTES = 4 << 20
 #: Every byte outside [0-9a-z] and the bytes of non-ASCII characters separates words; A-Z become a-z.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -32,47 +32,68 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Word windows of one length with the items that each belongs to."""
+    """Word windows of one length with the items that each belongs to.
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], set[int]]) -> None:
+    ``source`` is one list of words that all windows are slices of: a window is
+    its place there, and no table holds words of its own.
+    """
+
+    def __init__(self, length: int, source: list[bytes], windows: dict[int, tuple[int, ...]]) -> None:
         self.length, self.block = length, min(2, length)
         self.default = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], set[int]]]] = {}
-        for window, items in windows.items():
+        self.source, self.items = source, windows
+        self.shift: dict = {}
+        self.bucket: dict = {}
+        for place in windows:
             for end in range(self.block, length + 1):
-                block = window[end - self.block : end]
+                block = self._key(source, place + end)
                 self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.bucket.setdefault(window[-self.block :], []).append((window, items))
+            self.bucket.setdefault(self._key(source, place + length), []).append(place)
 
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
+    def _key(self, words: list[bytes], end: int):
+        return (words[end - 2], words[end - 1]) if self.block == 2 else words[end - 1]
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, ...]]]:
         """(start, items) of every occurrence, by start."""
-        at, n, length, size = self.length, len(words), self.length, self.block
-        shift, default = self.shift.get, self.default
+        at, n, length, two = self.length, len(words), self.length, self.block == 2
+        shift, default, source = self.shift.get, self.default, self.source
         while at <= n:
-            block = (words[at - 2], words[at - 1]) if size == 2 else (words[at - 1],)
+            block = (words[at - 2], words[at - 1]) if two else words[at - 1]
             jump = shift(block, default)
             if jump:
                 at += jump
                 continue
             start = at - length
-            for window, items in self.bucket[block]:
-                if words[start] == window[0] and tuple(words[start:at]) == window:
-                    yield start, items
+            for place in self.bucket[block]:
+                if words[start] == source[place] and words[start:at] == source[place : place + length]:
+                    yield start, self.items[place]
+                    break  # equal windows share one place
             at += 1
 
 
 def searchers(items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> list[WuManber]:
     """One searcher per window length; an item of fewer words is one window."""
-    found: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
+    source: list[bytes] = []
+    same: dict[bytes, bytes] = {}
+    places: dict[int, dict[bytes, int]] = {}
+    found: dict[int, dict[int, set[int]]] = {}
     for item, text in items:
-        words = words_of(text)
-        length = min(window, len(words))
+        words = [same.setdefault(w, w) for w in words_of(text)]
+        length, first = min(window, len(words)), len(source)
+        source += words
         for start in range(len(words) - length + 1 if length else 0):
-            own = found.setdefault(length, {}).setdefault(tuple(words[start : start + length]), set())
+            run = hashlib.blake2b(b" ".join(words[start : start + length]), digest_size=16).digest()
+            place = places.setdefault(length, {}).setdefault(run, first + start)
+            own = found.setdefault(length, {}).setdefault(place, set())
             if item is not None:
                 own.add(item)
-    return [WuManber(length, windows) for length, windows in sorted(found.items())]
+    del places, same
+    alike: dict[tuple[int, ...], tuple[int, ...]] = {}
+    out = []
+    for length in sorted(found):
+        windows = {place: alike.setdefault(key, key) for place, ids in found.pop(length).items() for key in (tuple(sorted(ids)),)}
+        out.append(WuManber(length, source, windows))
+    return out
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,7 +130,7 @@ def _search_batches(batches: Iterator[pa.RecordBatch], name: str, items, window:
                         hits[-1] = (hits[-1][0], max(hits[-1][1], start + table.length))
                     else:
                         hits.append((start, start + table.length))
-                    ids |= own
+                    ids.update(own)
             spans_out.append([{"start": a, "end": b} for a, b in _merged(hits)] if hits else [])
             items_out.append(sorted(ids))
         spans = pa.array(spans_out, batch.schema.field(batch.num_columns - 2).type)
@@ -136,14 +157,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     ``docs`` needs a text column and keeps all its columns but those of the
     two names ``spans`` and ``items``, which are replaced.  Null texts have no words.  Items without
     words match nothing, those without an id hit words but are not listed.
-    The benchmark is searched in blocks of ``block_bytes``: each is a bounded
-    broadcast and one more narrow pass over the documents.
+    Repeated rows get equal results; ties do not arise.  The benchmark is
+    searched in blocks of ``block_bytes``: each is a bounded broadcast and one
+    more narrow pass over the documents.  What a pass but the last gives is a
+    written table, so that a worker holds the tables of one block only.
     """
     spark = docs.sparkSession
     out = docs.drop(spans, items)
     out = out.withColumn(spans, F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")).withColumn(items, F.expr("CAST(array() AS array<bigint>)"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
     for k, block in enumerate(_blocks(benchmark, block_bytes)):
+        if k:
+            out = staged(out, "passages")
         held = spark.sparkContext.broadcast(block)
         name = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}-{k}"
         out = out.mapInArrow(lambda it, name=name, held=held: _search_batches(it, name, held, window), schema)
