@@ -33,7 +33,7 @@ TASK_BITS = 33
 #: Sequences of the second pass are numbered from here.
 CARRIED = 1 << 62
 #: Tokens of partially filled windows that one task of the second pass takes, about.
-CARRY_TOKENS = 1 << 24
+CARRY_TOKENS = 1 << 22
 OUT_ROWS = 8192
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
