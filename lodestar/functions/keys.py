@@ -68,3 +68,35 @@ def side(x: Column | str) -> Column:
     """A or B by the parity of the first eight hexadecimal digits of the SHA-256."""
     digit = F.conv(F.substring(F.sha2(_col(x), 256), 8, 1), 16, 10).cast("int")
     return F.when(digit % 2 == 0, "A").otherwise("B")
+
+
+def arxiv(x: Column | str) -> Column:
+    """The first arXiv identifier in a text that names arXiv or is nothing else, or an empty string."""
+    text = F.trim(_col(x))
+    named = F.regexp_extract(text, r"(?i)arxiv(?:\.org/(?:abs|pdf)/|[:\s]*)([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)", 1)
+    return F.when(named != "", named).otherwise(F.regexp_extract(text, r"^([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)$", 1))
+
+
+def openalex(x: Column | str) -> Column:
+    """The OpenAlex work in a text, or an empty string."""
+    return F.upper(F.regexp_extract(_col(x), r"(?i)(?:openalex(?:\.org/|:)|^)(W[0-9]{4,})", 1))
+
+
+def pmid(x: Column | str) -> Column:
+    """The PubMed number in a text, or an empty string."""
+    return F.regexp_extract(F.trim(_col(x)), r"(?i)^(?:pmid:?\s*)?([0-9]{5,9})$", 1)
+
+
+def pmcid(x: Column | str) -> Column:
+    """The PubMed Central number in a text, or an empty string."""
+    return F.upper(F.regexp_extract(_col(x), r"(?i)\b(PMC[0-9]+)\b", 1))
+
+
+def uuid5_url(x: Column | str) -> Column:
+    """The version-5 UUID of a text in the URL namespace; a text that is a UUID already stays."""
+    text = _col(x)
+    space = F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8"))
+    digest = F.sha1(F.concat(space, F.encode(text, "utf-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    made = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    return F.when(text.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lower(text)).otherwise(made)

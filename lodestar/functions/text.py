@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 # The stop words of the English term extractor.
 STOP_WORDS = (
-    "a an and are as at be but by for from has have in into is it its of on or that the their these this to was were with "
-    "we our they which can may might using use used based method methods result results study studies analysis data model models"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its",
+    "of", "on", "or", "that", "the", "their", "these", "this", "to", "was", "were", "with", "we", "our", "they", "which",
+    "can", "may", "might", "using", "use", "used", "based", "method", "methods", "result", "results", "study", "studies",
+    "analysis", "data", "model", "models",
+)
+
+# The stop words of the Russian term extractor.
+RUSSIAN_STOP_WORDS = (
+    "и", "а", "но", "что", "это", "как", "в", "во", "на", "по", "к", "у", "о", "об", "от", "до", "для", "из", "при", "без",
+    "с", "со", "же", "ли", "бы", "не", "нет", "мы", "вы", "они", "он", "она", "оно", "их", "наш", "ваш",
+)
 
 #: Letters, digits, underscore and hyphen, three or more.
 TOKEN = r"[\p{L}\p{N}_\-]{3,}"
@@ -37,7 +45,7 @@ def title_key(x: Column | str) -> Column:
 
 def tokens(x: Column | str) -> Column:
     """Tokens of three letters or more that are no stop words, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(_col(x)), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(_col(x)), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def sentences(x: Column | str, least: int = 20) -> Column:
@@ -71,10 +79,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def phrases(x: Column | str, longest: int = 4, least: int = 3) -> Column:
+def stop_words(language: str = "en") -> tuple[str, ...]:
+    return RUSSIAN_STOP_WORDS if language.lower().startswith("ru") else STOP_WORDS
+
+
+def phrases(x: Column | str, longest: int = 4, least: int = 3, language: str = "en") -> Column:
     """Runs of words between stop words and words shorter than ``least``, cut to ``longest`` words each."""
     words = F.regexp_extract_all(F.lower(_col(x)), F.lit(WORD), F.lit(0))
-    marked = F.transform(words, lambda w: F.when(w.isin(STOP_WORDS) | (F.length(w) < least), F.lit("|")).otherwise(w))
+    marked = F.transform(words, lambda w: F.when(w.isin(*stop_words(language)) | (F.length(w) < least), F.lit("|")).otherwise(w))
     runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r))
     return F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.slice(F.split(r, " "), 1, longest))
 

@@ -7,26 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestar.functions import text as T
+from lodestar.operators.order import running
 
 
 def group_split(rows: DataFrame, group: str, ratio: float, seed: str) -> DataFrame:
     """(group, n, split): whole groups go to eval, in the order of sha1(seed:group), until it has round(n * ratio) rows.
 
     The first group always does, unless it is the only one; a group that would
-    empty the training part is skipped.  Only one row per group is ordered.
+    empty the training part is skipped.  Groups are ordered, not rows, and not
+    in one task.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"))
-    order = W.orderBy(F.sha1(F.concat_ws(":", F.lit(seed), F.col(group).cast("string"))))
-    placed = sizes.withColumn("rank", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(total))
-    taken = ((F.col("before") < F.round(F.col("total") * ratio)) | (F.col("rank") == 1)) & (F.col("before") + F.col("n") < F.col("total"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("__h", F.sha1(F.concat_ws(":", F.lit(seed), F.col(group).cast("string"))))
+    placed = running(sizes, ["__h", group], "n")
+    total = sizes.agg(F.sum("n").alias("__total"))
+    placed = placed.crossJoin(F.broadcast(total))
+    taken = ((F.col("__before") < F.round(F.col("__total") * ratio)) | (F.col("__place") == 1)) & (F.col("__before") + F.col("n") < F.col("__total"))
     return placed.select(group, "n", F.when(taken, "eval").otherwise("train").alias("split"))
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, ratio: float, seed: str) -> DataFrame:
-    """(key, stratum, split): per stratum, keys whose hash is in the lowest ``ratio`` go to eval; no sort."""
-    part = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return rows.select(key, stratum, F.when(part < ratio, "eval").otherwise("train").alias("split"))
+    """(key, stratum, split): of every stratum round(n * ratio) keys go to eval, one at least and never all; of a stratum of one row none does.
+
+    They are the first in the order of sha1(seed:key).  Which they are is told
+    by their place in the order of all rows (stratum, hash), less the rows of
+    the strata before, so that a hot stratum is not sorted in one task.
+    """
+    own = rows.select(key, F.coalesce(F.col(stratum).cast("string"), F.lit("unknown")).alias("__stratum"), F.col(stratum).alias("__given"), F.sha1(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("__h"))
+    placed = running(own, ["__stratum", "__h", key])
+    sizes = placed.groupBy("__stratum").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    wanted = F.when(F.col("__n") > 1, F.least(F.greatest(F.lit(1), F.bround(F.col("__n") * ratio)), F.col("__n") - 1)).otherwise(0) if ratio > 0 else F.lit(0)
+    placed = placed.join(sizes, "__stratum")
+    return placed.select(key, F.col("__given").alias(stratum), F.when(F.col("__place") - F.col("__first") < wanted, "eval").otherwise("train").alias("split"))
 
 
 def chat_rows(turns: DataFrame) -> DataFrame:
@@ -44,10 +55,11 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 
 
 def hardness(a, b):
-    """0.7 token Jaccard + 0.3 length ratio."""
-    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    """0.7 token Jaccard + 0.3 ratio of the numbers of different tokens, to four places; 0 if a side has none."""
     words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(T.WORD), F.lit(0)))
-    return 0.7 * T.jaccard(words(a), words(b)) + 0.3 * F.when(longer > 0, shorter / longer).otherwise(0.0)
+    x, y = words(a), words(b)
+    some = (F.size(x) > 0) & (F.size(y) > 0)
+    return F.when(some, F.round(0.7 * T.jaccard(x, y) + 0.3 * F.least(F.size(x), F.size(y)) / F.greatest(F.size(x), F.size(y)), 4)).otherwise(0.0)
 
 
 def content_key(*columns):
@@ -62,10 +74,9 @@ def previous_context(turns: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
-    """The longest prefix of each group whose texts fit ``budget`` letters; the last row may be cut."""
-    w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
-    return rows.withColumn("__before", before).where(F.col("__before") < budget).withColumn(text, F.col(text).substr(F.lit(1), (F.lit(budget) - F.col("__before")).cast("int"))).drop("__before")
+    """The longest prefix of each group whose whole texts fit ``budget`` letters together: the first that does not fit ends it."""
+    upto = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("__upto", F.sum(F.coalesce(F.length(text), F.lit(0))).over(upto)).where(F.col("__upto") <= budget).drop("__upto")
 
 
 def robust_scores(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -56,3 +56,28 @@ def gates(metrics: DataFrame, bounds: dict[str, tuple[str, float]]) -> DataFrame
 def without_output(sources: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """(key, n): rows per source, 0 for those that gave none."""
     return sources.select(key).distinct().join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left").na.fill(0, ["n"])
+
+
+def agreement(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
+    """One row: confusion counts of two boolean columns, precision, recall, F1, accuracy and Cohen's kappa; 0 where a share has no base."""
+    p, a = F.col(predicted), F.col(actual)
+    c = rows.agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"), F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
+    tp, fp, fn, tn, n = (F.col(x) for x in ("tp", "fp", "fn", "tn", "n"))
+    share = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    seen, by_chance = (tp + tn) / n, ((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n)
+    return c.select("tp", "fp", "fn", "tn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2.0 * tp, 2 * tp + fp + fn).alias("f1"), seen.alias("accuracy"), F.when(by_chance < 1, (seen - by_chance) / (1 - by_chance)).otherwise(0.0).alias("kappa"))
+
+
+def evidence_recall(predicted: DataFrame, gold: DataFrame, case: str) -> DataFrame:
+    """(case, n_gold, n_found, recall): different pieces of gold evidence (case, source_id) that the answers cite."""
+    g = gold.select(case, "source_id").distinct()
+    found = g.join(predicted.select(case, "source_id").distinct().withColumn("hit", F.lit(1)), [case, "source_id"], "left")
+    return found.groupBy(case).agg(F.count(F.lit(1)).alias("n_gold"), F.count("hit").alias("n_found")).withColumn("recall", F.col("n_found") / F.col("n_gold"))
+
+
+def time_accuracy(predicted: DataFrame, gold: DataFrame, case: str) -> DataFrame:
+    """(case, n, same, accuracy): of the matched triplets with a time in the gold, those whose start and end are alike."""
+    times = [F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(c) for c in ("start", "end")]
+    p = _keyed(predicted, case, "start", "end").groupBy(case, "key").agg(F.min(F.struct(*times)).alias("got"))
+    g = _keyed(gold, case, "start", "end").where(F.coalesce("start", F.lit("")) != "").groupBy(case, "key").agg(F.min(F.struct(*times)).alias("want"))
+    return g.join(p, [case, "key"]).groupBy(case).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("got") == F.col("want")).alias("same")).withColumn("accuracy", F.col("same") / F.col("n"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from lodestar.operators.order import running
 
 #: Shares of the training and validation parts.
 TRAIN, VALID = 0.70, 0.85
@@ -27,20 +28,13 @@ def event_copies(edge_days: DataFrame) -> DataFrame:
 
 
 def chronological_split(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with split train, valid or test by position in the order of ``keys``.
-
-    Positions come from the row count of each first key and a running sum over
-    those counts, so that no window takes the whole table into one task.
-    """
-    first = keys[0]
-    sizes = rows.groupBy(first).agg(F.count(F.lit(1)).alias("__size"))
-    running = F.sum("__size").over(W.orderBy(first).rowsBetween(W.unboundedPreceding, -1))
-    before = sizes.select(first, F.coalesce(running, F.lit(0)).alias("__before"))
-    total = sizes.agg(F.sum("__size").alias("__n"))
-    placed = rows.join(before, first).crossJoin(F.broadcast(total)).withColumn("__rn", F.col("__before") + F.row_number().over(W.partitionBy(first).orderBy(*keys[1:])))
+    """``rows`` with split train, valid or test by position in the order of ``keys``, which no single task sorts."""
+    placed = running(rows, keys)
+    total = rows.agg(F.count(F.lit(1)).alias("__n"))
     train = F.greatest(F.lit(1), F.floor(F.col("__n") * TRAIN))
     valid = F.greatest(train, F.floor(F.col("__n") * VALID))
-    return placed.withColumn("split", F.when(F.col("__rn") <= train, "train").when(F.col("__rn") <= valid, "valid").otherwise("test")).drop("__before", "__n", "__rn")
+    split = F.when(F.col("__place") <= train, "train").when(F.col("__place") <= valid, "valid").otherwise("test")
+    return placed.crossJoin(F.broadcast(total)).withColumn("split", split).drop("__before", "__place", "__n")
 
 
 def apply_overrides(edges: DataFrame, overrides: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,8 +43,8 @@ def apply_overrides(edges: DataFrame, overrides: DataFrame, keys: list[str]) ->
     return edges.join(total, keys, "left").withColumn("expert_weight", F.coalesce("expert_weight", F.lit(0.0)))
 
 
-# Weights of verdicts.
-VERDICT_WEIGHTS = {"accept": 1.0, "reject": -1.0, "needs_time_fix": -0.25, "added": 0.75}
+# Weights of verdicts; others count 0.
+VERDICT_WEIGHTS = {"accept": 1.0, "accepted": 1.0, "reject": -1.0, "rejected": -1.0, "needs_time_fix": -0.25, "needs_evidence_fix": -0.25, "added": 0.75, "uncertain": 0.0}
 
 
 def verdict_weight(verdict):
@@ -60,14 +54,21 @@ def verdict_weight(verdict):
     return out
 
 
-def corrected(rows: DataFrame, corrections: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Old and new versions: a corrected row stays with status replaced and gets a successor that carries the new fields."""
-    new = corrections.select(F.col(key), *(F.col(f).alias(f"__{f}") for f in fields))
+def corrected(rows: DataFrame, corrections: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """Old and new versions: a corrected row stays with status replaced and gets one successor that carries the new fields.
+
+    A correction changes the fields that it gives; the others stay.  One that
+    gives none changes nothing.  Of several for one key the last by ``order``
+    counts (by their fields, if there is no order).
+    """
+    given = corrections.where(F.coalesce(*(F.col(f).cast("string") for f in fields)).isNotNull())
+    last = F.struct(*fields) if order is None else F.col(order)
+    new = given.groupBy(key).agg(F.max_by(F.struct(*fields), last).alias("__new"))
     joined = rows.join(new, key, "left")
-    changed = F.col(f"__{fields[0]}").isNotNull()
+    changed = F.col("__new").isNotNull()
     old = joined.withColumn("status", F.when(changed, "replaced").otherwise("current")).withColumn("version", F.lit(1))
-    after = joined.where(changed).withColumns({f: F.col(f"__{f}") for f in fields}).withColumn("status", F.lit("current")).withColumn("version", F.lit(2))
-    return old.unionByName(after).drop(*(f"__{f}" for f in fields))
+    after = joined.where(changed).withColumns({f: F.coalesce(F.col(f"__new.{f}"), F.col(f)) for f in fields}).withColumn("status", F.lit("current")).withColumn("version", F.lit(2))
+    return old.unionByName(after).drop("__new")
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

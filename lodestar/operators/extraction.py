@@ -1,11 +1,10 @@
-"""Rule-based triplets, lenient JSON and scorer training, where Spark has no expression for them."""
+"""Lenient JSON and scorer training, where Spark has no expression for them."""
 
 from __future__ import annotations
 
 import ast
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,59 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Relation verbs and the predicates they stand for, from the most to the least specific.
-RELATIONS = {
-    "leads_to": r"lead(?:s|ing)? to",
-    "results_in": r"result(?:s|ing|ed)? in",
-    "causes": r"caus(?:es|ed|ing|e)",
-    "depends_on": r"depend(?:s|ing)? on",
-    "increases": r"increas(?:es|ed|ing|e)",
-    "reduces": r"(?:reduc|decreas)(?:es|ed|ing|e)",
-    "improves": r"improv(?:es|ed|ing|e)",
-    "predicts": r"predict(?:s|ed|ing)?",
-    "uses": r"us(?:es|ed|ing)",
-}
-VERBS = re.compile("|".join(rf"(?P<{name}>\b(?:{verb})\b)" for name, verb in RELATIONS.items()), re.I)
-BEFORE = re.compile(r"[\w\- ]{1,80}$")
-AFTER = re.compile(r"\s+([\w\- ]{1,80}?)(?=\s+(?:in|by|after|before|when|and|which)\b|[,;:.!?]|$)", re.I)
-LEAD = re.compile(r"^(?:.*\b(?:and|which|that|when)\s+)?(?:the|an|a)?\s*", re.I)
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
-YEAR = re.compile(r"\b(19\d{2}|20\d{2})\b")
-RULE_CONFIDENCE = 0.62
-
-
-def rule_triplets(text: str | None, year: int | None = None) -> list[tuple]:
-    """(subject, predicate, object, confidence, time, quote) of each sentence; the first year in it, else ``year``."""
-    out = []
-    for sentence in SENTENCE.split(text or ""):
-        upto = 0
-        for verb in VERBS.finditer(sentence):
-            before, after = BEFORE.search(sentence, upto, verb.start()), AFTER.match(sentence, verb.end())
-            if not before or not after:
-                continue
-            s, o = (" ".join(LEAD.sub("", x, count=1).lower().split()) for x in (before[0].strip(), after[1]))
-            if len(s) >= 3 and len(o) >= 3 and s != o:
-                found = YEAR.search(sentence)
-                out.append((s, verb.lastgroup, o, RULE_CONFIDENCE, int(found[0]) if found else year, sentence[:200]))
-                upto = verb.end()
-    return out
-
-
-def extract_triplets(rows: DataFrame, key: str, text: str, year: str | None = None) -> DataFrame:
-    """(key, subject, predicate, object, confidence, time, quote): :func:`rule_triplets` of every row."""
-    names = ["subject", "predicate", "object", "confidence", "time", "quote"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(k, *t) for k, x, y in zip(batch["k"], batch["x"], batch["y"], strict=True) for t in rule_triplets(x, None if pd.isna(y) else int(y))]
-            frame = pd.DataFrame(out, columns=[key, *names])
-            frame["time"] = frame["time"].astype("Int64")
-            yield frame
-
-    own = rows.select(F.col(key).alias("k"), F.col(text).alias("x"), (F.col(year).cast("int") if year else F.lit(None).cast("int")).alias("y"))
-    return own.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, subject string, predicate string, object string, confidence double, time int, quote string")
-
-
 def repaired(text: str | None) -> str | None:
     """A JSON document from a reply: without fences, the first balanced block, control characters and stray escapes mended; Python literals too."""
     if not text:
@@ -104,10 +50,10 @@ def repair_json(texts: pd.Series) -> pd.Series:
 
 
 def train_scorer(rows: DataFrame, features: list[str], label: str, epochs: int = 500, rate: float = 0.01, l2: float = 0.01, most: int = 100_000) -> tuple[float, list[float]]:
-    """Bias and weights of a class-balanced logistic regression by full-batch gradient descent, computed on the executors.
+    """Bias and weights of a class-balanced logistic regression by full-batch gradient descent on the driver.
 
     Each epoch would cost a pass over the table, so at most ``most`` labelled
-    rows of numbers, drawn by a hash of their values, are fitted on the driver.
+    rows of numbers, drawn by a hash of their values, reach the driver.
     """
     picked = rows.select(*features, label).where(F.col(label).isNotNull()).orderBy(F.xxhash64(*features, label)).limit(most).toPandas()
     x, y = picked[features].to_numpy("f8"), picked[label].to_numpy("f8")

@@ -20,21 +20,25 @@ SPEC_KEYS = {
 }
 # Predicates that carry no or much scientific meaning, and entities too generic to mean anything.
 JUNK_PREDICATES = (
-    "is_estimated_to is_segmented_into consists_of was_carried_out_during was_destroyed_after_experiment calculated_at provide_comments "
-    "assist_research acknowledges thanks is_cited_by is_referenced_in is_described_in is_shown_in is_listed_in is_defined_as is_denoted_by "
-    "is_abbreviated_as is_equal_to is_written_as is_formatted_as"
-).split()
+    "is_estimated_to", "is_segmented_into", "consists_of", "was_carried_out_during", "was_destroyed_after_experiment",
+    "calculated_at", "provide_comments", "assist_research", "acknowledges", "thanks", "is_cited_by", "is_referenced_in",
+    "is_described_in", "is_shown_in", "is_listed_in", "is_defined_as", "is_denoted_by", "is_abbreviated_as", "is_equal_to",
+    "is_written_as", "is_formatted_as",
+)
 GOOD_PREDICATES = (
-    "causes leads_to results_in improves reduces increases decreases affects influences predicts estimates quantifies outperforms enables "
-    "prevents inhibits promotes mediates drives induces depends_on requires assumes violates supports contradicts extends generalizes refines "
-    "applied_to used_for combined_with compared_to uses incorporates measures involves allows are_used_for is_used_for used_in is_computed_from "
-    "is_determined_by is_measured_by arises_from rely_on relies_on manages maximizes minimizes affect reflects addresses accounts_for overcomes "
-    "mitigates captures leverages"
-).split()
+    "causes", "leads_to", "results_in", "improves", "reduces", "increases", "decreases", "affects", "influences",
+    "predicts", "estimates", "quantifies", "outperforms", "enables", "prevents", "inhibits", "promotes", "mediates",
+    "drives", "induces", "depends_on", "requires", "assumes", "violates", "supports", "contradicts", "extends",
+    "generalizes", "refines", "applied_to", "used_for", "combined_with", "compared_to", "uses", "incorporates", "measures",
+    "involves", "allows", "are_used_for", "is_used_for", "used_in", "is_computed_from", "is_determined_by",
+    "is_measured_by", "arises_from", "rely_on", "relies_on", "manages", "maximizes", "minimizes", "affect", "reflects",
+    "addresses", "accounts_for", "overcomes", "mitigates", "captures", "leverages",
+)
 GENERIC_ENTITIES = (
-    "model method approach result results data features study paper analysis research experiment system process problem solution value values "
-    "variable variables parameter parameters function performance information useful important significant different"
-).split()
+    "model", "method", "approach", "result", "results", "data", "features", "study", "paper", "analysis", "research",
+    "experiment", "system", "process", "problem", "solution", "value", "values", "variable", "variables", "parameter",
+    "parameters", "function", "performance", "information", "useful", "important", "significant", "different",
+)
 # What numbers, formulas and references to parts of a paper look like, and thanks and notices in evidence.
 NOISE_ENTITY = (
     r"(?i)^([0-9][0-9.,/%\s]*$|[0-9.,]+\s*(percent|samples|decile)|∂.*[/=]|\(?[0-9]+\)?$|[a-z]\(\w\)|eq\.?\s*[0-9]|table\s*[0-9]"
@@ -43,7 +47,7 @@ NOISE_ENTITY = (
 NOISE_EVIDENCE = r"(?i)(thank\w*\s+(the|our|my)|acknowledg|seminar\s+participant|workshop\s+participant|anonymous\s+referee|anonymous\s+reviewer|copyright\s*©|©\s*[0-9]{4})"
 #: Words of a predicate by which its family is known; the first that holds.
 FAMILIES = {
-    "cooccurrence": r"co-?occur|associated|related",
+    "cooccurrence": r"co-?occur",
     "causal": r"caus|lead|result|induce|trigger|drive|prevent|inhibit|promote|depend",
     "comparative": r"improve|reduce|increase|decrease|outperform|compare",
     "temporal": r"precede|follow|before|after|during",
@@ -104,17 +108,42 @@ def family(predicate: Column) -> Column:
     return out
 
 
-def hidden(predicate: Column, strength: Column, mode: str, threshold: float = 0.45) -> Column:
-    """Whether an edge is left out: co-occurrences in mode exclude_all, weak co-occurrences in mode hide_weak, none in mode all."""
-    weak = family(predicate) == "cooccurrence"
-    if mode == "all":
-        return F.lit(False)
-    return weak if mode == "exclude_all" else weak & (strength <= threshold)
+# Words of an edge that make it likely causal.
+CAUSAL_WORDS = (
+    "cause", "causes", "causal", "lead to", "leads to", "drives", "drive", "induces", "induce",
+    "promotes", "promote", "inhibits", "inhibit", "mediates", "mediate", "results in", "trigger", "triggered by",
+)
+
+
+def likely_causal(*texts: Column) -> Column:
+    """Whether any text of an edge has a causal word."""
+    whole = F.lower(F.concat_ws(" ", *texts))
+    return reduce(lambda a, b: a | b, (F.contains(whole, F.lit(w)) for w in CAUSAL_WORDS))
+
+
+def cooccurrence(*texts: Column) -> Column:
+    """Whether any text of an edge names a co-occurrence."""
+    return F.lower(F.concat_ws(" ", *texts)).rlike("co-?occur")
+
+
+def strength_of(*candidates: Column) -> Column:
+    """The first candidate between 0 and 1, rounded to six places, else 0."""
+    return F.coalesce(*(F.when(c.between(0.0, 1.0), F.round(c.cast("double"), 6)) for c in candidates), F.lit(0.0))
+
+
+def hidden(texts: list[Column], strength: Column, mode: str, threshold: float = 0.45) -> Column:
+    """Whether an edge is left out: co-occurrences in mode exclude_all; in mode hide_weak those that are weak and not likely causal; none in any other mode."""
+    weak = cooccurrence(*texts)
+    if mode in ("exclude_all", "drop_all", "only_non_cooccurrence"):
+        return weak
+    if mode in ("hide_weak", "weak_only"):
+        return weak & ~likely_causal(*texts) & (strength <= max(0.0, min(1.0, threshold)))
+    return F.lit(False)
 
 
 def noise_entity(entity: Column) -> Column:
     text = T.norm(entity)
-    return (F.length(text) < 2) | text.rlike(NOISE_ENTITY) | text.isin(GENERIC_ENTITIES) | text.rlike(r"^\p{L}{1,2}$")
+    return (F.length(text) < 2) | text.rlike(NOISE_ENTITY) | text.isin(*GENERIC_ENTITIES) | text.rlike(r"^\p{L}{1,2}$")
 
 
 def triage(rows: DataFrame) -> DataFrame:
@@ -130,12 +159,12 @@ def triage(rows: DataFrame) -> DataFrame:
     terms = [
         ("subject is noise", noise_entity(s), -2.0),
         ("object is noise", noise_entity(o), -2.0),
-        ("junk predicate", p.isin(JUNK_PREDICATES), -3.0),
+        ("junk predicate", p.isin(*JUNK_PREDICATES), -3.0),
         ("evidence is no science", noisy, -2.0),
         ("self-loop", s == o, -3.0),
         ("subject too long", F.length(s) > 80, -1.5),
         ("object too long", F.length(o) > 80, -1.5),
-        ("good predicate", p.isin(GOOD_PREDICATES), 2.0),
+        ("good predicate", p.isin(*GOOD_PREDICATES), 2.0),
         ("high importance", importance >= 0.3, 1.5),
         ("moderate importance", (importance >= 0.15) & (importance < 0.3), 0.5),
         ("substantive evidence", (F.length(snippet) > 30) & ~snippet.rlike(NOISE_EVIDENCE), 1.0),

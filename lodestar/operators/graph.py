@@ -1,14 +1,16 @@
 """Graph analytics over edge tables.
 
 Undirected graphs are tables of (src, dst, weight) with src < dst, one row per
-pair.  Iterations write their state, so a plan never grows with the rounds.
+pair.  Iterations write their state, so a plan never grows with the rounds, and
+what they join with is a plain read, which adaptive execution may broadcast or
+split at a hub.  Searches start from stated nodes and go level by level through
+all of them together; no task holds the adjacency.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +24,14 @@ def undirected(pairs: DataFrame) -> DataFrame:
     return pairs.where("src <> dst").groupBy(a.alias("src"), b.alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def simple(rows: DataFrame) -> DataFrame:
+    """(src, dst, weight, directed) from rows with a directed flag and a position: one edge that is not directed makes all undirected; of parallel edges the last counts."""
+    flag = rows.agg(F.coalesce(F.bool_and("directed"), F.lit(False)).alias("__all"))
+    own = rows.drop("directed").crossJoin(F.broadcast(flag))
+    ends = [F.when(F.col("__all"), F.col(c)).otherwise(f("src", "dst")).alias(c) for c, f in (("src", F.least), ("dst", F.greatest))]
+    return own.select(*ends, "weight", "pos", F.col("__all").alias("directed")).groupBy("src", "dst", "directed").agg(F.max_by("weight", "pos").alias("weight")).select("src", "dst", "weight", "directed")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
 
@@ -38,23 +48,63 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(n)).select("node", "degree", (F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1))).alias("centrality"))
 
 
+def directed_centrality(edges: DataFrame) -> DataFrame:
+    """(node, in_degree, out_degree, in_centrality, out_centrality) of directed edges without repeats; self-loops do not count."""
+    ends = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+    own = ends.groupBy(F.col("e.node").alias("node")).agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
+    n = own.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("n"))
+    return own.crossJoin(F.broadcast(n)).select("node", "in_degree", "out_degree", (F.col("in_degree") / F.col("n")).alias("in_centrality"), (F.col("out_degree") / F.col("n")).alias("out_centrality"))
+
+
 def summary(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, mean degree."""
     row = degrees(edges).agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges"))
     return row.select("n_nodes", "n_edges", (2 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).alias("density"), (2 * F.col("n_edges") / F.col("n_nodes")).alias("mean_degree"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, weighted: bool = True) -> DataFrame:
-    """(node, rank) after ``rounds`` power iterations from the uniform start; an undirected edge counts both ways."""
-    both = both_ways(edges).withColumn("weight", F.col("weight").cast("double") if weighted else F.lit(1.0))
-    out = both.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("total"))
-    links = staged(both.join(out, both.src == out.s).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "pagerank-links")
-    nodes = links.select(F.col("src").alias("node")).distinct()
-    n = nodes.count()
-    ranks = staged(nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), "pagerank")
+def structure(rows: DataFrame) -> DataFrame:
+    """One row over (src, dst) rows in either direction: nodes, edges, self-loops, components, the largest of them, mean clustering.
+
+    A node that only has a self-loop is a component of its own, without clustering.
+    """
+    edges = staged(undirected(rows), "structure")
+    loops = rows.where("src = dst").agg(F.countDistinct("src").alias("self_loops"))
+    alone = rows.where("src = dst").select(F.col("src").alias("node")).distinct().join(degrees(edges).select("node"), "node", "left_anti").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_components"), F.max("n").alias("largest"), F.sum("n").alias("n_nodes"))
+    mean = triangles(edges).agg(F.sum("clustering").alias("clustering"))
+    row = sizes.crossJoin(loops).crossJoin(alone).crossJoin(mean).crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges")))
+    n = F.coalesce("n_nodes", F.lit(0)) + F.col("alone")
+    largest = F.greatest(F.coalesce("largest", F.lit(0)), F.least("alone", F.lit(1)))
+    return row.select(n.alias("n_nodes"), "n_edges", "self_loops", (F.col("n_components") + F.col("alone")).alias("n_components"), largest.alias("largest_component"), (F.coalesce("clustering", F.lit(0.0)) / F.greatest(n, F.lit(1))).alias("average_clustering"))
+
+
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, weighted: bool = True, directed: bool = False, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): power iteration from the uniform start.
+
+    It ends after ``rounds``, or when the ranks change by less than
+    ``tolerance`` per node in all (0: never).  Nodes without outgoing edges give
+    their rank to all nodes alike.  An undirected edge counts both ways.
+    """
+    own = staged(edges.select("src", "dst", F.col("weight").cast("double") if weighted else F.lit(1.0).alias("weight")), "pagerank-edges")
+    ways = own if directed else own.select("src", "dst", "weight").union(own.select("dst", "src", "weight"))
+    out = ways.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("total"))
+    links = staged(ways.join(out, ways.src == out.s).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "pagerank-links")
+    nodes = own.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = staged(nodes.join(out.select(F.col("s").alias("node"), F.lit(False).alias("dangling")), "node", "left").na.fill(True, ["dangling"]), "pagerank-nodes")
+    n, open_ends = nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
+    ranks = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     for _ in range(rounds):
         given = links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        ranks = staged(given.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.col("got")).alias("rank")), "pagerank")
+        new = nodes.select("node").join(given, "node", "left")
+        spare = F.lit(0.0)
+        if open_ends:
+            lost = nodes.where("dangling").join(ranks, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            new, spare = new.crossJoin(F.broadcast(lost)), F.col("lost") / n
+        before, ranks = ranks, staged(new.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + spare)).alias("rank")), "pagerank")
+        if tolerance:
+            change = ranks.join(before.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if (change or 0.0) < n * tolerance:
+                break
     return ranks
 
 
@@ -80,7 +130,8 @@ def triangles(edges: DataFrame) -> DataFrame:
     Edges point from lower to higher degree, so a hub has few outgoing edges
     and its pairs of neighbours are not enumerated.
     """
-    deg = degrees(edges).select("node", "degree")
+    edges = staged(edges.select("src", "dst", "weight"), "triangle-edges")
+    deg = staged(degrees(edges).select("node", "degree"), "triangle-degrees")
     a = edges.join(deg.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src").join(deg.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst")
     up = F.struct("ds", "src") < F.struct("dd", "dst")
     directed = staged(a.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")), "oriented")
@@ -94,24 +145,18 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
-    """(node, core): peels nodes of too small a degree, level by level."""
-    left = staged(both_ways(edges).select("src", "dst"), "core")
-    out, level = None, 1
-    while not left.isEmpty():
-        deg = left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-        low = deg.agg(F.min("degree")).first()[0]
-        level = max(level, low)
-        gone = staged(deg.where(F.col("degree") <= level).select("node"), "peeled")
-        part = gone.withColumn("core", F.lit(level).cast("long"))
-        out = part if out is None else out.union(part)
-        rest = left.join(gone, left.src == gone.node, "left_anti")
-        rest = staged(rest.join(gone, rest.dst == gone.node, "left_anti"), "core")
-        peeled = gone.select(F.col("node").alias("src"))
-        # Nodes whose last neighbours went are peeled at this level too.
-        lonely = left.select("src").distinct().join(peeled, "src", "left_anti").join(rest.select("src").distinct(), "src", "left_anti")
-        out = out.union(staged(lonely.select(F.col("src").alias("node"), F.lit(level).cast("long").alias("core")), "peeled"))
-        left = rest
-    return out if out is not None else edges.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("core")).limit(0)
+    """(node, core): each node's number starts as its degree and sinks to the h-index of its neighbours' numbers until none changes."""
+    both = staged(both_ways(edges).select("src", "dst"), "core-links")
+    now = staged(both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core")), "core")
+    while True:
+        own, near = now.select(F.col("node").alias("src"), "core"), now.select(F.col("node").alias("dst"), F.col("core").alias("near"))
+        seen = both.join(near, "dst").groupBy("src", "near").agg(F.count(F.lit(1)).alias("n")).join(own, "src").groupBy("src", "core", F.least("near", "core").alias("value")).agg(F.sum("n").alias("n"))
+        reach = F.sum("n").over(W.partitionBy("src").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0))
+        new = seen.select("src", "core", F.least("value", reach).alias("h")).groupBy(F.col("src").alias("node")).agg(F.max("h").alias("core"), F.first("core").alias("before"))
+        new = staged(new, "core")
+        now = new.select("node", "core")
+        if new.where("core <> before").isEmpty():
+            return now
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -135,85 +180,98 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("strength") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
+def levels(edges: DataFrame, sources: DataFrame, hops: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Links both ways, and per distance from 0 the table (source, node, paths) of nodes that far from each stated source, with the number of shortest paths.
+
+    All sources search together: a level is one join with the links and one
+    anti-join with what was seen.
+    """
+    both = staged(both_ways(edges).select("src", "dst"), "links")
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    found = [staged(sources.select("node").distinct().join(nodes, "node", "left_semi").select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "level")]
+    while hops is None or len(found) <= hops:
+        seen = reduce(DataFrame.union, (level.select("source", "node") for level in found[-2:]))  # a neighbour is as far as the front, or one step less or more
+        step = found[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        new = staged(step.join(seen, ["source", "node"], "left_anti"), "level")
+        if new.isEmpty():
+            break
+        found.append(new)
+    return both, found
+
+
 def distances(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """(source, node, distance): shortest paths of at most ``hops`` edges from the stated sources."""
-    both = both_ways(edges).select("src", "dst")
-    seen = front = staged(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("distance")), "front")
-    for hop in range(1, hops + 1):
-        step = front.join(both, front.node == both.src).select("source", F.col("dst").alias("node")).distinct()
-        front = staged(step.join(seen, ["source", "node"], "left_anti").withColumn("distance", F.lit(hop).cast("long")), "front")
-        seen = seen.union(front)
-    return seen
-
-
-def paths(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
-    """(source, node, hops, path): directed paths of 1 to ``hops`` edges from stated sources that use no edge twice."""
-    links = edges.select("src", "dst")
-    walk = links.join(sources.select(F.col("node").alias("src")), "src").select(F.col("src").alias("source"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"), F.array(F.struct("src", "dst")).alias("used"))
-    out = walk
-    for _ in range(hops - 1):
-        step = walk.join(links, walk.node == links.src).where(~F.array_contains("used", F.struct("src", "dst")))
-        walk = step.select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("used", F.array(F.struct("src", "dst"))).alias("used"))
-        out = out.union(walk)
-    return out.select("source", "node", (F.size("path") - 1).cast("long").alias("hops"), "path")
-
-
-def neighbour_table(edges: DataFrame, most_edges: int) -> tuple:
-    """A broadcast of every node's sorted neighbours, and the number of nodes; more than ``most_edges`` edges are refused."""
-    n = edges.count()
-    if n > most_edges:
-        raise ValueError(f"{n} edges do not fit a broadcast of at most {most_edges}")
-    near: dict = {}
-    for r in edges.select("src", "dst").toLocalIterator():
-        near.setdefault(r.src, []).append(r.dst)
-        near.setdefault(r.dst, []).append(r.src)
-    return edges.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in near.items()}), len(near)
-
-
-def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+    _, found = levels(edges, sources, hops)
+    return reduce(DataFrame.union, (level.select("source", "node", F.lit(k).cast("long").alias("distance")) for k, level in enumerate(found)))
+
+
+def weighted_distances(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
+    """(source, node, distance): the least sum of weights over paths of at most ``hops`` edges from the stated sources."""
+    both = staged(both_ways(edges), "links")
+    best = staged(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")).distinct(), "reached")
+    for _ in range(hops):
+        step = best.join(both, best.node == both.src).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"))
+        best = staged(best.union(step).groupBy("source", "node").agg(F.min("distance").alias("distance")), "reached")
+    return best
+
+
+def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, most: int = 20) -> DataFrame:
+    """(source, target, place, hops, path): of each stated pair of ends, the first ``most`` directed paths of 1 to ``hops`` edges that use no edge twice, short ones first."""
+    links = staged(edges.select("src", "dst"), "path-links")
+    ends = targets.select(F.col("node").alias("target")).distinct()
+    walk = links.join(sources.select(F.col("node").alias("src")).distinct(), "src").select(F.col("src").alias("source"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
+    found = walk.join(ends, walk.node == ends.target)
+    for hop in range(2, hops + 1):
+        last = F.element_at("path", -1)
+        used = F.exists(F.sequence(F.lit(1), F.size("path") - 1), lambda k: (F.element_at("path", k) == last) & (F.element_at("path", k + 1) == F.col("dst")))
+        step = walk.join(links if hop < hops else links.join(ends, links.dst == ends.target, "left_semi"), walk.node == links.src).where(~used)
+        walk = step.select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        found = found.union(walk.join(ends, walk.node == ends.target))
+    length = (F.size("path") - 1).cast("long")
+    place = F.row_number().over(W.partitionBy("source", "target").orderBy(length, "path"))
+    return found.where("source <> target").select("source", "target", place.alias("place"), length.alias("hops"), "path").where(F.col("place") <= most)
+
+
+def dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(u, v, dependency): Brandes dependencies of nodes (u = v) and edges (u < v), summed over the stated sources.
 
-    The adjacency is broadcast only when it has at most ``most_edges`` edges;
-    a larger graph is refused.  Over all nodes as sources, halved, this is the
-    betweenness of an undirected graph.
+    The levels of all sources are walked back together: what a node hands to a
+    neighbour one step nearer is its share of the shortest paths.
     """
-    shared, _ = neighbour_table(edges, most_edges)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        around, total = shared.value, {}
-        for batch in batches:
-            for source in batch["node"]:
-                _dependencies(around, source, total)
-        if total:
-            yield pd.DataFrame([(u, v, d) for (u, v), d in total.items()], columns=["u", "v", "dependency"])
-
-    kind = dict(edges.dtypes)["src"]
-    parts = sources.select("node").repartition("node").mapInPandas(run, f"u {kind}, v {kind}, dependency double")
-    return parts.groupBy("u", "v").agg(F.sum("dependency").alias("dependency"))
-
-
-def _dependencies(around: dict, source, total: dict) -> None:
-    """Adds one source's dependencies (a breadth-first search and its way back)."""
-    if source not in around:
-        return
-    count, depth, order, before = {source: 1.0}, {source: 0}, [source], {source: []}
-    for u in order:
-        for v in around[u]:
-            if v not in depth:
-                depth[v], count[v], before[v] = depth[u] + 1, 0.0, []
-                order.append(v)
-            if depth[v] == depth[u] + 1:
-                count[v] += count[u]
-                before[v].append(u)
-    share = dict.fromkeys(order, 0.0)
-    for v in reversed(order):
-        for u in before[v]:
-            part = count[u] / count[v] * (1 + share[v])
-            share[u] += part
-            key = (u, v) if u < v else (v, u)
-            total[key] = total.get(key, 0.0) + part
-        if v != source:
-            total[v, v] = total.get((v, v), 0.0) + share[v]
+    both, found = levels(edges, sources)
+    parts = []
+    beyond = found[-1].withColumn("share", F.lit(0.0))
+    for depth in range(len(found) - 1, 0, -1):
+        nearer = found[depth - 1].select("source", F.col("node").alias("u"), F.col("paths").alias("pu"))
+        handed = beyond.join(both, F.col("node") == F.col("src")).select("source", F.col("node").alias("v"), F.col("dst").alias("u"), "paths", "share").join(nearer, ["source", "u"])
+        handed = staged(handed.select("source", "u", "v", (F.col("pu") / F.col("paths") * (1 + F.col("share"))).alias("part")), "handed")
+        parts.append(handed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("part").alias("dependency")))
+        if depth > 1:
+            got = handed.groupBy("source", F.col("u").alias("node")).agg(F.sum("part").alias("share"))
+            beyond = staged(found[depth - 1].join(got, ["source", "node"], "left").na.fill(0.0, ["share"]), "shares")
+            parts.append(beyond.select(F.col("node").alias("u"), F.col("node").alias("v"), F.col("share").alias("dependency")))
+    if not parts:
+        return found[0].select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("dependency")).limit(0)
+    return reduce(DataFrame.union, parts).groupBy("u", "v").agg(F.sum("dependency").alias("dependency"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(u, v, betweenness): of nodes (u = v) and edges (u < v), normalised, from stated sources and scaled to all nodes as sources."""
+    edges = staged(edges.select("src", "dst", "weight"), "betweenness-edges")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sizes = nodes.join(sources.select("node", F.lit(1).alias("own")).distinct(), "node", "left").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count("own").alias("k"))
+    pairs = F.when(F.col("u") == F.col("v"), (F.col("n") - 1) * (F.col("n") - 2)).otherwise(F.col("n") * (F.col("n") - 1))
+    scaled = F.when(pairs > 0, F.col("dependency") * F.col("n") / F.col("k") / pairs).otherwise(F.lit(0.0))
+    return dependencies(edges, sources).crossJoin(F.broadcast(sizes)).select("u", "v", scaled.alias("betweenness"))
+
+
+def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, closeness) of the stated nodes: (r - 1)² / ((n - 1) * sum of distances) with r nodes in reach."""
+    both, found = levels(edges, sources)
+    n = both.agg(F.countDistinct("src").alias("n"))
+    far = reduce(DataFrame.union, (level.groupBy("source").agg(F.count(F.lit(1)).alias("reach"), (F.count(F.lit(1)) * k).alias("far")) for k, level in enumerate(found)))
+    sums = far.groupBy(F.col("source").alias("node")).agg((F.sum("reach") - 1).alias("others"), F.sum("far").alias("far")).crossJoin(F.broadcast(n))
+    return sums.select("node", F.when(F.col("far") > 0, F.col("others") * F.col("others") / ((F.col("n") - 1) * F.col("far"))).otherwise(0.0).alias("closeness"))
 
 
 def yearly_snapshots(rows: DataFrame) -> DataFrame:
@@ -221,3 +279,78 @@ def yearly_snapshots(rows: DataFrame) -> DataFrame:
     per_year = rows.groupBy("src", "dst", "year").agg(F.count(F.lit(1)).alias("weight"))
     running = F.sum("weight").over(W.partitionBy("src", "dst").orderBy("year").rowsBetween(W.unboundedPreceding, 0))
     return per_year.withColumn("total", running)
+
+
+def snapshot_features(rows: DataFrame, recent: int = 3) -> DataFrame:
+    """(node, year, degree, recent_degree, year_degree, gap) for every node and every year of the table.
+
+    Distinct partners up to the year, in the last ``recent`` years and in the
+    year itself, and the years since the last contact (null before the first).
+    """
+    ways = rows.where("src <> dst").select("src", "dst", "year").union(rows.where("src <> dst").select("dst", "src", "year")).toDF("node", "other", "year")
+    per_year = staged(ways.distinct(), "contacts")
+    years = per_year.select("year").distinct()
+    grid = per_year.select("node").distinct().crossJoin(F.broadcast(years))  # years are calendar years: a bounded broadcast
+    firsts = per_year.groupBy("node", "other").agg(F.min("year").alias("year")).groupBy("node", "year").agg(F.count(F.lit(1)).alias("new"))
+    now = per_year.groupBy("node", "year").agg(F.count(F.lit(1)).alias("year_degree"))
+    late = per_year.select("node", "other", F.explode(F.sequence(F.col("year"), F.col("year") + recent - 1)).alias("year")).distinct().groupBy("node", "year").agg(F.count(F.lit(1)).alias("recent_degree"))
+    upto = W.partitionBy("node").orderBy("year").rowsBetween(W.unboundedPreceding, 0)
+    out = grid.join(firsts, ["node", "year"], "left").join(now, ["node", "year"], "left").join(late, ["node", "year"], "left").na.fill(0, ["new", "year_degree", "recent_degree"])
+    last = F.last(F.when(F.col("year_degree") > 0, F.col("year")), ignorenulls=True).over(upto)
+    return out.select("node", "year", F.sum("new").over(upto).alias("degree"), "recent_degree", "year_degree", (F.col("year") - last).alias("gap"))
+
+
+# Weights of the terms of an edge's importance.
+IMPORTANCE = {"edge_betweenness": 0.28, "pagerank": 0.18, "node_betweenness": 0.14, "core": 0.12, "flow": 0.10, "support": 0.10, "persistence": 0.05, "cross": 0.03}
+
+
+def importance(edges: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
+    """(src, dst, the terms, importance) of directed edges.
+
+    ``edges``: src, dst, total_count, papers_count, evidence_count and years, an
+    array.  Every metric is divided by its maximum over all edges; support and
+    persistence are means of three such shares, cross is 1 between communities
+    of ``labels`` (node, community).  Betweenness is from the stated sources.
+    """
+    own = staged(edges, "importance-edges")
+    weighted = own.select("src", "dst", F.lit(1).cast("long").alias("weight"))
+    plain = staged(undirected(weighted), "importance-graph")
+    between = staged(betweenness(plain, sources), "importance-betweenness")
+    nodes = pagerank(weighted, weighted=False, directed=True).join(core_numbers(plain), "node").join(directed_centrality(weighted), "node")
+    nodes = nodes.join(between.where("u = v").select(F.col("u").alias("node"), "betweenness"), "node", "left").na.fill(0.0, ["betweenness"]).join(labels, "node", "left")
+    nodes = staged(nodes.select("node", "rank", "core", "betweenness", "in_centrality", "out_centrality", "community"), "importance-nodes")
+    rows = own.withColumns({"u": F.least("src", "dst"), "v": F.greatest("src", "dst")}).join(between.where("u < v").select("u", "v", F.col("betweenness").alias("edge_betweenness")), ["u", "v"], "left").na.fill(0.0, ["edge_betweenness"])
+    for end in ("src", "dst"):
+        rows = rows.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in nodes.columns[1:])), end)
+    active, span = F.size("years"), F.array_max("years") - F.array_min("years") + 1
+
+    def mean(a: str, b: str):
+        return (F.col(f"{a}_src") + F.col(f"{b}_dst")) / 2
+
+    metrics = {
+        "edge_betweenness": F.col("edge_betweenness"),
+        "pagerank": mean("rank", "rank"),
+        "node_betweenness": mean("betweenness", "betweenness"),
+        "core": mean("core", "core"),
+        "flow": mean("out_centrality", "in_centrality"),
+        "total_count": F.col("total_count"),
+        "papers_count": F.col("papers_count"),
+        "evidence_count": F.col("evidence_count"),
+        "active_years": active,
+        "span": F.coalesce(span, F.lit(0)),
+        "density": F.coalesce(active / span, F.lit(0.0)),
+    }
+    cross = F.coalesce((F.col("community_src") != F.col("community_dst")).cast("double"), F.lit(0.0))
+    rows = staged(rows.select("src", "dst", *(m.cast("double").alias(k) for k, m in metrics.items()), cross.alias("cross")), "importance-metrics")
+    most = rows.agg(*(F.max(k).alias(f"max_{k}") for k in metrics))
+
+    def share(k: str):
+        return F.when(F.col(f"max_{k}") > 0, F.col(k) / F.col(f"max_{k}")).otherwise(0.0)
+
+    terms = {k: share(k) for k in ("edge_betweenness", "pagerank", "node_betweenness", "core", "flow")}
+    terms["support"] = (share("total_count") + share("papers_count") + share("evidence_count")) / 3
+    terms["persistence"] = (share("active_years") + share("span") + share("density")) / 3
+    terms["cross"] = F.col("cross")
+    out = rows.crossJoin(F.broadcast(most)).select("src", "dst", *(t.alias(k) for k, t in terms.items()))
+    score = reduce(lambda a, b: a + b, (w * F.col(k) for k, w in IMPORTANCE.items()))
+    return out.withColumn("importance", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))

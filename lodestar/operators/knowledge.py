@@ -15,12 +15,32 @@ COOCCURRENCE_CONFIDENCE = 0.4
 
 # Strengths of predicates; others count DEFAULT_STRENGTH.
 PREDICATE_STRENGTH = {
-    "causes": 1.0, "leads_to": 0.95, "results_in": 0.90, "prevents": 0.90, "inhibits": 0.90, "drives": 0.90,
-    "induces": 0.90, "triggers": 0.90, "promotes": 0.85, "improves": 0.85, "reduces": 0.85, "increases": 0.85,
-    "decreases": 0.85, "outperforms": 0.85, "affects": 0.80, "influences": 0.80, "depends_on": 0.75, "requires": 0.75,
-    "enables": 0.75, "assumes": 0.70, "predicts": 0.80, "precedes": 0.75, "follows": 0.75, "uses": 0.60, "used_for": 0.60,
-    "applied_to": 0.60, "associated_with": 0.10, "related_to": 0.10, "contradicts": 0.70, "supports": 0.65, "extends": 0.60,
-    "is_a": 0.20, "is_type_of": 0.20, "is_part_of": 0.25, "cooccurs_with": 0.05, "consists_of": 0.10,
+    "causes": 1.0, "leads_to": 0.95, "results_in": 0.90,
+    "prevents": 0.90, "inhibits": 0.90, "drives": 0.90,
+    "induces": 0.90, "triggers": 0.90, "promotes": 0.85,
+    "improves": 0.85, "reduces": 0.85, "increases": 0.85,
+    "decreases": 0.85, "outperforms": 0.85,
+    "affects": 0.80, "influences": 0.80,
+    "depends_on": 0.75, "requires": 0.75, "enables": 0.75,
+    "assumes": 0.70,
+    "predicts": 0.80, "precedes": 0.75, "follows": 0.75,
+    "uses": 0.60, "used_for": 0.60, "applied_to": 0.60,
+    "are_used_for": 0.60, "is_used_for": 0.60, "used_in": 0.60,
+    "combined_with": 0.55, "compared_to": 0.55,
+    "incorporates": 0.55, "leverages": 0.55, "captures": 0.55,
+    "measures": 0.50, "reflects": 0.50, "manages": 0.50,
+    "addresses": 0.50, "accounts_for": 0.50,
+    "is_computed_from": 0.45, "is_determined_by": 0.45,
+    "is_measured_by": 0.45, "arises_from": 0.45,
+    "involves": 0.40, "allows": 0.40,
+    "associated_with": 0.10, "related_to": 0.10,
+    "contradicts": 0.70, "supports": 0.65, "extends": 0.60,
+    "is_a": 0.20, "is_type_of": 0.20, "is_part_of": 0.25,
+    "cooccurs_with": 0.05,
+    "is_segmented_into": 0.05, "consists_of": 0.10,
+    "was_destroyed_after_experiment": 0.0, "calculated_at": 0.05,
+    "is_estimated_to": 0.05, "is_equal_to": 0.05,
+    "acknowledges": 0.0, "thanks": 0.0,
 }
 DEFAULT_STRENGTH = 0.40
 #: Weights and bias of the assertion scorer, in the order of :func:`assertion_features`.
@@ -33,20 +53,28 @@ def papers_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("paper_id"), (F.lit(2015) + F.col("doc_id") % 10).cast("int").alias("year"), "text")
 
 
-def rake_terms(papers: DataFrame, most: int = 25) -> DataFrame:
+def rake_terms(papers: DataFrame, most: int = 25, language: str = "en", boost: tuple[str, ...] = ()) -> DataFrame:
     """(paper_id, term, score, rank): key phrases by rapid automatic keyword extraction.
 
     A word scores (degree + frequency) / frequency, a phrase the sum of its
-    words; ties go to the phrase seen first.  Everything is keyed by paper, so
+    words; ties go to the phrase seen first.  A phrase of ``boost`` scores a
+    quarter more, and one that a paper only has inside other words joins it with
+    0.8, after all others.  Everything is keyed by paper, so
     the grouping, the join and the ranking share one partitioning.
     """
-    found = papers.select("paper_id", F.posexplode(T.phrases("text")).alias("pos", "words"))
+    found = papers.select("paper_id", F.posexplode(T.phrases("text", language=language)).alias("pos", "words"))
     firsts = found.groupBy("paper_id", F.array_join("words", " ").alias("term")).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
     parts = firsts.select("paper_id", "term", "first_pos", "n", F.split("term", " ").alias("words"))
     parts = parts.select("paper_id", "term", "first_pos", "n", (F.col("n") * (F.size("words") - 1)).alias("others"), F.explode("words").alias("word"))
     word_score = parts.groupBy("paper_id", "word").agg(((F.sum("others") + F.sum("n")) / F.sum("n")).alias("word_score"))
     scored = parts.join(word_score, ["paper_id", "word"]).groupBy("paper_id", "term", "first_pos").agg(F.sum("word_score").alias("raw"))
     scored = scored.withColumn("score", F.round(F.when(F.length("term") < 3, F.col("raw") * 0.5).otherwise(F.col("raw")), 6))
+    if boost:
+        named = F.array(*(F.lit(b.strip().lower()) for b in boost))
+        scored = scored.withColumn("score", F.when(F.array_contains(named, F.col("term")), F.round(F.col("score") * 1.25, 6)).otherwise(F.col("score")))
+        inside = papers.select("paper_id", F.posexplode(F.filter(named, lambda b: F.contains(F.lower("text"), b))).alias("place", "term")).distinct()
+        new = inside.join(scored.select("paper_id", "term"), ["paper_id", "term"], "left_anti").select("paper_id", "term", (F.lit(1 << 30) + F.col("place")).alias("first_pos"), F.lit(0.8).alias("score"))
+        scored = scored.select("paper_id", "term", "first_pos", "score").unionByName(new)
     rank = F.row_number().over(W.partitionBy("paper_id").orderBy(F.desc("score"), "first_pos"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("paper_id", "term", "score", "rank")
 
@@ -66,8 +94,8 @@ def cooccurrences(papers: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def edges_of(found: DataFrame) -> DataFrame:
-    """(source, target, total_count, papers, confidence): one row per edge."""
-    return found.groupBy("source", "target").agg(F.sum("n").alias("total_count"), F.countDistinct("paper_id").alias("papers"))
+    """(source, target, total_count, papers): one row per edge; ``found`` has one row per paper and pair."""
+    return found.groupBy("source", "target").agg(F.sum("n").alias("total_count"), F.count(F.lit(1)).alias("papers"))
 
 
 def yearly(found: DataFrame) -> DataFrame:
@@ -75,20 +103,22 @@ def yearly(found: DataFrame) -> DataFrame:
 
 
 def node_frequency(terms: DataFrame) -> DataFrame:
-    """(term, doc_freq): papers per term."""
-    return terms.groupBy("term").agg(F.countDistinct("paper_id").alias("doc_freq"))
+    """(term, doc_freq): papers per term; ``terms`` has one row per paper and term."""
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def scored_edges(found: DataFrame, terms: DataFrame, recent: int = 3) -> DataFrame:
     """Edges with pmi, trend, log_count and the linear score.
 
     The numbers of the corpus (papers, years, latest year) are one row.
+    ``found`` has one row per paper and pair, ``terms`` one per paper and term,
+    so papers are counted without a second grouping.
     """
     papers = terms.agg(F.greatest(F.lit(1), F.countDistinct("paper_id")).alias("n_docs"))
     years = found.agg(F.max("year").alias("max_year"), F.countDistinct("year").alias("n_years"))
     late = found.crossJoin(F.broadcast(years)).groupBy("source", "target").agg(
         F.sum("n").alias("total_count"),
-        F.countDistinct("paper_id").alias("papers"),
+        F.count(F.lit(1)).alias("papers"),
         F.sum(F.when(F.col("year") > F.col("max_year") - recent, F.col("n")).otherwise(0)).alias("recent"),
         F.max("n_years").alias("n_years"),
     )

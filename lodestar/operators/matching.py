@@ -6,12 +6,14 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from lodestar.operators.graph import components
+
 
 def merged(sources: list[DataFrame], key: str, prefer: list[str], longest: list[str] = (), largest: list[str] = ()) -> DataFrame:
     """One row per key from several sources: unions them with their position, then per column takes the first value that is not null.
@@ -52,13 +54,6 @@ def paired_by_rank(left: DataFrame, right: DataFrame, group: str, signature: str
     return exact.unionByName(rest_a.join(rest_b, [group, "place"]).select(group, "lrank", "rrank", F.lit("order").alias("how")))
 
 
-def best_match(cases: DataFrame, rows: DataFrame, gate: list[str], score: Column, case_key: str, row_key: str) -> DataFrame:
-    """(case_key, row_key, score): per case the row of the best score among those that agree on the gate columns; ties to the smaller key."""
-    found = cases.join(rows, gate).select(case_key, row_key, score.alias("score"))
-    best = found.groupBy(case_key).agg(F.max_by(F.struct(row_key, "score"), F.struct("score", -F.col(row_key))).alias("b"))
-    return best.select(case_key, f"b.{row_key}", "b.score")
-
-
 def token_pairs(rows: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs whose token Jaccard, or 0.9 of their containment, reaches ``threshold``.
 
@@ -83,8 +78,6 @@ def token_pairs(rows: DataFrame, key: str, tokens: str, threshold: float) -> Dat
 
 def canonical_names(pairs: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
     """(key, canonical): each row's most frequent partner of its group, ties to the smaller key."""
-    from lodestar.operators.graph import components
-
     links = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).cast("long").alias("weight"))
     groups = components(links)
     own = groups.join(frequency.select(F.col(key).alias("node"), "n"), "node")
@@ -92,6 +85,68 @@ def canonical_names(pairs: DataFrame, frequency: DataFrame, key: str) -> DataFra
     return own.join(head, "component").select(F.col("node").alias(key), "canonical")
 
 
+def merged_in_order(pairs: list[tuple], frequency: dict) -> dict:
+    """Name to canonical name: names in order, each taking in the later ones that are like it and not taken yet.
+
+    Of two the more frequent is canonical, the earlier one if they are equally
+    so; a name that gave way goes on taking in others, and its own canonical
+    name is that of the last it gave way to.
+    """
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(min(a, b), set()).add(max(a, b))
+    alias: dict = {}
+    for a in sorted(near):
+        if a in alias:
+            continue
+        for b in sorted(near[a]):
+            if b not in alias:
+                keep, gone = (a, b) if frequency[a] >= frequency[b] else (b, a)
+                alias[gone] = keep
+
+    def final(name):
+        seen = set()
+        while name in alias and name not in seen:
+            seen.add(name)
+            name = alias[name]
+        return name
+
+    return {name: final(name) for name in alias}
+
+
+def fuzzy_names(pairs: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(name, canonical) of the names that another takes in, by :func:`merged_in_order`.
+
+    ``pairs``: a, b, names that are alike; ``frequency``: name, n.  Names that
+    no chain of pairs connects do not touch each other, so each connected group
+    of pairs is merged by itself.
+    """
+    parts = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).cast("long").alias("weight")))
+    counts = frequency.select("name", "n")
+    rows = pairs.join(parts.select(F.col("node").alias("a"), "component"), "a").join(counts.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
+    kind = dict(pairs.dtypes)["a"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        frequency = dict(zip(group["a"], group["na"], strict=True)) | dict(zip(group["b"], group["nb"], strict=True))
+        return pd.DataFrame(sorted(merged_in_order(list(zip(group["a"], group["b"], strict=True)), frequency).items()), columns=["name", "canonical"])
+
+    return rows.select("component", "a", "b", "na", "nb").groupBy("component").applyInPandas(run, f"name {kind}, canonical {kind}")
+
+
+def renamed_edges(edges: DataFrame, names: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Edges (source, target, ``keys``, ``sums``) between canonical names, added up; those whose ends have become one go."""
+    out = edges
+    for end in ("source", "target"):
+        out = out.join(names.select(F.col("name").alias(end), F.col("canonical").alias("__to")), end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
+    return out.where("source <> target").groupBy("source", "target", *keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def renamed_nodes(nodes: DataFrame, names: DataFrame, sums: list[str]) -> DataFrame:
+    """Nodes (name, ``sums``) added up by canonical name."""
+    out = nodes.join(names, "name", "left")
+    return out.groupBy(F.coalesce("canonical", "name").alias("name")).agg(*(F.sum(c).alias(c) for c in sums))
+
+
 @pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings; null counts as empty."""

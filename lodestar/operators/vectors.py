@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,28 +38,87 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
     return -F.aggregate(gaps, F.lit(0.0), lambda s, x: s + F.abs(x))
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """A list array as a matrix of ``dim`` columns; shorter vectors and null numbers are filled with zeros, longer vectors cut."""
+    rows = [v.as_py() or [] for v in column] if column.null_count else None
+    if rows is None:
+        flat, ends = column.flatten(), np.asarray(column.offsets)
+        sizes = np.diff(ends)
+        if not flat.null_count and len(sizes) and (sizes == dim).all():
+            return np.asarray(flat).astype("f8").reshape(len(sizes), dim)
+        rows = column.to_pylist()
+    out = np.zeros((len(rows), dim))
+    for k, row in enumerate(rows):
+        own = [0.0 if x is None else x for x in row[:dim]]
+        out[k, : len(own)] = own
+    return out
+
+
+def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(query, vector) scores; larger is nearer."""
+    if metric in ("cosine", "dot"):
+        out = q @ x.T
+        if metric == "cosine":
+            both = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+            out = np.divide(out, both, out=np.zeros_like(out), where=both > 0)
+        return out
+    out = np.empty((len(q), len(x)))
+    for k, own in enumerate(q):
+        gap = x - own
+        out[k] = -np.sqrt((gap * gap).sum(1)) if metric == "l2" else -np.abs(gap).sum(1)
+    return out
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch], queries, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """Of every batch the rows that may be among the ``k`` nearest of each query."""
+    ids, q = queries.value
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.asarray(batch.column(0))
+        scores = np.round(_scores(metric, q, _matrix(batch.column(1), q.shape[1])), 6)
+        scores[ids[:, None] == own] = -np.inf
+        if scores.shape[1] > k:
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            keep = (scores >= least[:, None]) & np.isfinite(scores)  # all that tie with the last one stay
+        else:
+            keep = np.isfinite(scores)
+        row, col = np.nonzero(keep)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[col]), pa.array(scores[row, col])], ["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest other vectors of each query, ties by vec_id.
 
     Queries are taken in blocks of at most ``block`` rows (by a hash of their
-    id, counted first), each a broadcast of that bound, against all vectors.
-    The rank filter is pushed into the window (WindowGroupLimit), so every task
-    keeps its own k best per query before anything is shuffled.
+    id, counted first), each a broadcast matrix of that bound, which every batch
+    of vectors is multiplied with.  A batch gives out its own k best per query,
+    so what is dealt by query and ranked does not grow with the vectors of a
+    batch.  Vectors shorter than the queries are filled with zeros, longer ones
+    cut.
     """
-    numbered = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    spark = vectors.sparkSession
+    numbered = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("q"))
     blocks, largest = 1, numbered.count()
     while largest > block:
         blocks = max(2 * blocks, -(-2 * largest // block))
         largest = numbered.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks))).count().agg(F.max("count")).first()[0]
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    schema = "query_id long, vec_id long, score double"
     out = None
-    for own in range(blocks):
-        # At most `block` vectors are broadcast: counted above.
-        part = F.broadcast(numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == own))
-        near = vectors.join(part, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(similarity(metric, F.col("embedding"), F.col("q")), 6).alias("score"))
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        best = near.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = best if out is None else out.union(best)
-    return out
+    for number in range(blocks):
+        rows = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()  # at most `block` vectors: counted above
+        if not rows:
+            continue
+        dim = max(len(r.q or []) for r in rows)
+        matrix = _matrix(pa.array([r.q for r in rows], pa.list_(pa.float64())), dim)
+        held = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], "i8"), matrix))
+        near = own.mapInArrow(lambda it, held=held: _near_batches(it, held, k, metric), schema)
+        out = near if out is None else out.union(near)
+    if out is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def blend(a: Column, b: Column, share: float = 0.7) -> Column:
@@ -71,15 +137,67 @@ def fused(left: DataFrame, right: DataFrame, k: int, constant: int = 60) -> Data
 
 
 def hashed(rows: DataFrame, key: str, tokens: str, dim: int = 384) -> DataFrame:
-    """(key, slot, value): signed feature hashing of a token array by MD5, scaled to unit length per key.
+    """(key, slot, value): signed feature hashing of a token array by MD5, scaled to unit length.
 
     The slot is the number of the first eight hexadecimal digits modulo
-    ``dim``; an odd ninth digit makes the sign negative.
+    ``dim``; an odd ninth digit makes the sign negative.  Each row is hashed by
+    itself, without a shuffle: its tokens become codes of slot and sign, which
+    are sorted and summed up by slot.  ``key`` tells the rows apart.
     """
-    token = rows.select(key, F.explode(tokens).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.md5("t")
-    slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim))
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, -1).otherwise(1)
-    sums = token.groupBy(key, slot.alias("slot")).agg(F.sum(F.col("n") * sign).alias("raw")).where("raw <> 0")
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
-    return sums.select(key, "slot", (F.col("raw") / length).alias("value"))
+    return _unit_slots(rows, key, tokens, dim, signed=True)
+
+
+def hashed_counts(rows: DataFrame, key: str, tokens: str, dim: int = 2048) -> DataFrame:
+    """(key, slot, value): unsigned counts by slot, scaled to unit length, otherwise as :func:`hashed`."""
+    return _unit_slots(rows, key, tokens, dim, signed=False)
+
+
+def _unit_slots(rows: DataFrame, key: str, tokens: str, dim: int, signed: bool) -> DataFrame:
+    def code(token: Column) -> Column:
+        digest = F.md5(token)
+        slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim))
+        odd = F.pmod(F.conv(F.substring(digest, 9, 1), 16, 10).cast("long"), F.lit(2)) if signed else F.lit(0).cast("long")
+        return slot * 2 + odd
+
+    codes = F.array_sort(F.transform(F.filter(tokens, lambda t: t.isNotNull()), code))
+    empty = F.struct(F.expr("CAST(array() AS array<struct<slot:bigint,raw:bigint>>)").alias("done"), F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("raw"))
+
+    def closed(state: Column) -> Column:
+        return F.when(state["raw"] != 0, F.concat(state["done"], F.array(F.struct(state["slot"].alias("slot"), state["raw"].alias("raw"))))).otherwise(state["done"])
+
+    def step(state: Column, x: Column) -> Column:
+        slot = F.shiftright(x, 1)
+        sign = F.lit(1).cast("long") - F.pmod(x, F.lit(2).cast("long")) * 2
+        same = state["slot"] == slot
+        return F.struct(F.when(same, state["done"]).otherwise(closed(state)).alias("done"), slot.alias("slot"), (F.when(same, state["raw"]).otherwise(F.lit(0)) + sign).alias("raw"))
+
+    sums = rows.select(key, F.aggregate(codes, empty, step, closed).alias("sums"))
+    length = F.sqrt(F.aggregate("sums", F.lit(0.0), lambda total, x: total + x["raw"].cast("double") * x["raw"]))
+    flat = sums.select(key, length.alias("length"), F.explode("sums").alias("s"))
+    return flat.select(key, "s.slot", (F.col("s.raw") / F.col("length")).alias("value"))
+
+
+def _blake_slots(texts: pd.Series, dim: int, signed: bool) -> pd.Series:
+    out = []
+    for words in texts:
+        sums = [0.0] * dim
+        for word in [] if words is None else words:
+            digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
+            if signed:
+                number = int.from_bytes(digest, "big")
+                sums[number % dim] += -1.0 if number & 1 else 1.0
+            else:
+                sums[int.from_bytes(digest, "little") % dim] += 1.0
+        length = math.sqrt(sum(x * x for x in sums)) or 1.0
+        out.append([x / length for x in sums])
+    return pd.Series(out)
+
+
+def blake_vectors(rows: DataFrame, key: str, tokens: str, dim: int = 384, signed: bool = True) -> DataFrame:
+    """(key, embedding): dense vectors of BLAKE2b hashes, which Spark has no expression for, in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def slots(words: pd.Series) -> pd.Series:
+        return _blake_slots(words, dim, signed)
+
+    return rows.select(key, slots(tokens).alias("embedding"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import datasets as D
+from lodestar.operators import evaluation as V
+from lodestar.operators import filters as Q
 from lodestar.plans.registry import query, table
 
 
@@ -14,9 +16,10 @@ def group_split(spark, sf_dir):
     return D.group_split(table(spark, sf_dir, "documents"), "source", 0.15, "7")
 
 
-@query("stratified_split", "SELECT doc_id, lang, CASE WHEN CAST(('0x' || substring(md5('5:' || doc_id), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2 THEN 'eval' ELSE 'train' END AS split FROM documents")
+@query("stratified_split", """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha1('5:' || doc_id)) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT doc_id, source, CASE WHEN n > 1 AND rn <= least(greatest(1, round_even(n * 0.2, 0)), n - 1) THEN 'eval' ELSE 'train' END AS split FROM r""")
 def stratified_split(spark, sf_dir):
-    return D.stratified_split(table(spark, sf_dir, "documents"), "lang", "doc_id", 0.2, "5")
+    return D.stratified_split(table(spark, sf_dir, "documents"), "source", "doc_id", 0.2, "5")
 
 
 @query("chat_rows", "SELECT conv_id, count(*) AS n_turns, arg_min(role, turn) AS first_role, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")
@@ -28,9 +31,9 @@ PAIRS_SQL = r"""w AS (SELECT conv_id, turn, role, text, lag(text) OVER o AS prom
 p AS (SELECT conv_id, turn, prompt, text AS chosen, rejected, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+')) AS a, list_distinct(regexp_extract_all(lower(rejected), '[\p{L}\p{N}_\-]+')) AS b FROM w WHERE role = 'assistant' AND asker = 'user' AND other = 'assistant')"""
 
 
-@query("preference_pairs", f"WITH {PAIRS_SQL} SELECT conv_id, turn, prompt, chosen, rejected, round(0.7 * CASE WHEN len(a) + len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END + 0.3 * CASE WHEN greatest(length(chosen), length(rejected)) > 0 THEN least(length(chosen), length(rejected)) / greatest(length(chosen), length(rejected)) ELSE 0 END, 6) AS hardness FROM p")
+@query("preference_pairs", f"WITH {PAIRS_SQL} SELECT conv_id, turn, prompt, chosen, rejected, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(0.7 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + 0.3 * least(len(a), len(b)) / greatest(len(a), len(b)), 4) ELSE 0 END AS hardness FROM p")
 def preference_pairs(spark, sf_dir):
-    return D.preference_pairs(table(spark, sf_dir, "conversations")).withColumn("hardness", F.round("hardness", 6))
+    return D.preference_pairs(table(spark, sf_dir, "conversations"))
 
 
 @query("content_dedup", "SELECT role, text, min(conv_id * 1000 + turn) AS first_pos, count(*) AS n FROM conversations GROUP BY role, text")
@@ -44,7 +47,7 @@ def previous_context(spark, sf_dir):
     return D.previous_context(table(spark, sf_dir, "conversations"))
 
 
-@query("budgeted_prefix", "WITH b AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) SELECT conv_id, turn, substring(text, 1, CAST(500 - before AS BIGINT)) AS text FROM b WHERE before < 500")
+@query("budgeted_prefix", "SELECT conv_id, turn, text FROM conversations QUALIFY sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) <= 500")
 def budgeted_prefix(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return D.within_budget(rows, "conv_id", "turn", "text", 500)
@@ -95,19 +98,17 @@ def best_in_order(spark, sf_dir):
     return D.best_images(rows, 2).select(F.col("key").alias("conv_id"), F.array_join("items", ",").alias("turns"))
 
 
-@query("reward_ready", "SELECT lang, count(*) AS n, count(quality) AS with_target, round(count(quality) / count(*), 6) AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+@query("reward_ready", "SELECT lang, count(*) AS n, count(quality) AS ready, count(quality) AS with_quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
 def reward_ready(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("with_target"), F.round(F.count("quality") / F.count(F.lit(1)), 6).alias("coverage"))
+    return Q.target_coverage(docs, "lang", ["quality"])
 
 
 @query("agreement", """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic = 1) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn, count(*) AS n FROM labels),
 k AS (SELECT *, (tp + tn) / n AS po, ((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n) AS pe FROM c)
 SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(po, 6) AS accuracy, round((po - pe) / (1 - pe), 6) AS kappa FROM k""")
 def agreement(spark, sf_dir):
-    """Confusion of "not toxic" as a prediction of quality."""
-    q, t = F.col("quality") == 1, F.col("toxic") == 0
-    c = table(spark, sf_dir, "labels").agg(F.count_if(q & t).alias("tp"), F.count_if(~q & t).alias("fp"), F.count_if(q & ~t).alias("fn"), F.count_if(~q & ~t).alias("tn"), F.count(F.lit(1)).alias("n"))
-    tp, fp, fn, tn, n = (F.col(x) for x in ("tp", "fp", "fn", "tn", "n"))
-    po, pe = (tp + tn) / n, ((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n)
-    return c.select("tp", "fp", "fn", "tn", F.round(tp / (tp + fp), 6).alias("precision"), F.round(tp / (tp + fn), 6).alias("recall"), F.round(2.0 * tp / (2 * tp + fp + fn), 6).alias("f1"), F.round(po, 6).alias("accuracy"), F.round((po - pe) / (1 - pe), 6).alias("kappa"))
+    """"Not toxic" as a prediction of quality."""
+    rows = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("good"), (F.col("toxic") == 0).alias("clean"))
+    out = V.agreement(rows, "clean", "good")
+    return out.select("tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "kappa")))

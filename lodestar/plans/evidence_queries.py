@@ -24,12 +24,12 @@ def assets_near_turns(spark, sf_dir):
     return V.assets_for(sources, assets)
 
 
-@query("edges_of_entities", f"""WITH {EDGES_SQL}, n AS (SELECT DISTINCT 'k' || json_extract_string(props, '$.k') AS entity FROM events WHERE event_type = 'purchase' AND value >= 99), e AS (SELECT unnest([subject, object]) AS entity, * FROM edges)
+@query("edges_of_entities", f"""WITH {EDGES_SQL}, n AS (SELECT DISTINCT 'k' || json_extract_string(props, '$.k') AS entity FROM events WHERE event_type = 'purchase'), e AS (SELECT unnest([subject, object]) AS entity, * FROM edges)
 SELECT entity, subject, predicate, object, CAST(rank AS INT) AS rank FROM (SELECT e.*, row_number() OVER (PARTITION BY e.entity ORDER BY total_count DESC, subject, predicate, object) AS rank FROM e JOIN n ON e.entity = n.entity) WHERE rank <= 5""")
 def edges_of_entities(spark, sf_dir):
     rows = E.triplets(table(spark, sf_dir, "events"))
     edges = E.edge_counts(rows).select("subject", "predicate", "object", F.col("total_count").alias("confidence"), F.lit("current").alias("status"))
-    entities = rows.where("predicate = 'purchase' AND value >= 99").select(F.col("object").alias("entity"))
+    entities = rows.where("predicate = 'purchase'").select(F.col("object").alias("entity"))
     return V.touching(edges, entities, 5).select("entity", "subject", "predicate", "object", "rank")
 
 
@@ -44,7 +44,7 @@ def triggered_vectors(spark, sf_dir):
 @query("hard_negatives", r"""WITH w AS (SELECT conv_id, turn, role, text, lag(text, 2) OVER o AS a, lag(text, 4) OVER o AS b FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 c AS (SELECT conv_id * 1000 + turn AS key, text AS chosen, unnest(['near', 'far']) AS kind, unnest([a, b]) AS rejected, unnest([0, 1]) AS pos FROM w WHERE role = 'assistant'),
 h AS (SELECT *, list_distinct(regexp_extract_all(lower(chosen), '[\p{L}\p{N}_\-]+')) AS x, list_distinct(regexp_extract_all(lower(rejected), '[\p{L}\p{N}_\-]+')) AS y FROM c WHERE rejected IS NOT NULL AND rejected <> chosen)
-SELECT key, kind, round(0.7 * CASE WHEN len(x) + len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END + 0.3 * least(length(chosen), length(rejected)) / greatest(length(chosen), length(rejected)), 6) AS hardness FROM h""")
+SELECT key, kind, CASE WHEN len(x) > 0 AND len(y) > 0 THEN round(0.7 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) + 0.3 * least(len(x), len(y)) / greatest(len(x), len(y)), 4) ELSE 0 END AS hardness FROM h""")
 def hard_negatives(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -52,4 +52,4 @@ def hard_negatives(spark, sf_dir):
     text = lambda k: F.lag("text", k).over(w)
     candidates = F.filter(F.array(F.struct(F.lit("near").alias("kind"), text(2).alias("text")), F.struct(F.lit("far").alias("kind"), text(4).alias("text"))), lambda c: c["text"].isNotNull())
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "role", F.col("text").alias("chosen"), candidates.alias("candidates")).where("role = 'assistant'")
-    return V.negatives(rows).select("key", "kind", F.round("hardness", 6).alias("hardness"))
+    return V.negatives(rows).select("key", "kind", "hardness")

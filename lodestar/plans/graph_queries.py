@@ -11,8 +11,27 @@ from lodestar.plans.registry import query, table
 
 # Parts of one order are linked; an order has at most seven lines, so its pairs are bounded.
 BASKET_SQL = "basket AS (SELECT least(a.l_partkey, b.l_partkey) AS src, greatest(a.l_partkey, b.l_partkey) AS dst, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2), both_ways AS (SELECT src, dst, weight FROM basket UNION ALL SELECT dst, src, weight FROM basket), deg AS (SELECT src AS node, count(*) AS degree, sum(weight) AS strength FROM both_ways GROUP BY src)"
-# A sparse graph of parts and suppliers with many components.
-SPARSE_SQL = "sparse AS (SELECT DISTINCT l_partkey AS src, -l_suppkey - 1 AS dst FROM lineitem WHERE l_discount >= 0.095 AND l_quantity >= 49)"
+# All parts and the suppliers that ship them; a search starts from the parts whose key is divisible by 20.
+SHIPPED_SQL = "shipped AS MATERIALIZED (SELECT DISTINCT l_partkey AS src, -l_suppkey - 1 AS dst FROM lineitem), ways AS MATERIALIZED (SELECT src, dst FROM shipped UNION ALL SELECT dst, src FROM shipped), sources AS (SELECT DISTINCT src FROM shipped WHERE src % 20 = 0)"
+#: Levels that the SQL of searches spells out; parts and suppliers are at most so far apart.
+LEVELS = 6
+
+
+def _level_sql(levels: int = LEVELS) -> str:
+    steps = ["l0 AS MATERIALIZED (SELECT src AS source, src AS node, CAST(1 AS DOUBLE) AS paths FROM sources)"]
+    for k in range(1, levels + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM l{j} s WHERE s.source = x.source AND s.node = x.node)" for j in range(max(0, k - 2), k))
+        steps.append(f"l{k} AS MATERIALIZED (SELECT * FROM (SELECT l.source, w.dst AS node, sum(l.paths) AS paths FROM l{k - 1} l JOIN ways w ON l.node = w.src GROUP BY 1, 2) x WHERE {seen})")
+    return ", ".join(steps)
+
+
+def _dependency_sql(levels: int = LEVELS) -> str:
+    steps = [f"s{levels} AS MATERIALIZED (SELECT source, node, paths, 0.0::DOUBLE AS share FROM l{levels})"]
+    for k in range(levels, 0, -1):
+        steps.append(f"h{k} AS MATERIALIZED (SELECT b.source, b.node AS v, a.node AS u, a.paths / b.paths * (1 + b.share) AS part FROM s{k} b JOIN ways w ON b.node = w.src JOIN l{k - 1} a ON a.source = b.source AND a.node = w.dst)")
+        steps.append(f"s{k - 1} AS MATERIALIZED (SELECT l.source, l.node, l.paths, coalesce(g.share, 0) AS share FROM l{k - 1} l LEFT JOIN (SELECT source, u, sum(part) AS share FROM h{k} GROUP BY 1, 2) g ON g.source = l.source AND g.u = l.node)")
+    ends = " UNION ALL ".join([f"SELECT least(u, v) AS u, greatest(u, v) AS v, part FROM h{k}" for k in range(1, levels + 1)] + [f"SELECT node, node, share FROM s{k}" for k in range(1, levels)])
+    return ", ".join(steps) + f", ends AS (SELECT u, v, sum(part) AS dependency FROM ({ends}) GROUP BY 1, 2), sizes AS (SELECT (SELECT count(DISTINCT src) FROM ways) AS n, (SELECT count(*) FROM sources) AS k)"
 
 
 def _basket(spark, sf_dir):
@@ -22,11 +41,6 @@ def _basket(spark, sf_dir):
     return G.undirected(a.join(b, "l_orderkey").where("na < nb").select("src", "dst"))
 
 
-def _sparse(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_discount >= 0.095 AND l_quantity >= 49")
-    return lines.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")).distinct().withColumn("weight", F.lit(1).cast("long"))
-
-
 def _shipped(spark, sf_dir):
     """All parts and the suppliers that ship them."""
     lines = table(spark, sf_dir, "lineitem")
@@ -57,14 +71,50 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("pagerank_10", _pagerank_sql(10))
 def pagerank_10(spark, sf_dir):
-    return G.pagerank(_basket(spark, sf_dir), rounds=10).select("node", (F.round("rank", 9) * 1000).alias("rank"))
+    return G.pagerank(_basket(spark, sf_dir), rounds=10, tolerance=0).select("node", (F.round("rank", 9) * 1000).alias("rank"))
+
+
+@query("pagerank_converged")
+def pagerank_converged(spark, sf_dir):
+    """Suppliers to parts, directed: parts give their rank to all nodes alike."""
+    return G.pagerank(_shipped(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), directed=True).select("node", (F.round("rank", 9) * 1000).alias("rank"))
+
+
+@query("directed_degrees", f"WITH {SHIPPED_SQL}, n AS (SELECT count(DISTINCT src) - 1 AS n FROM ways), o AS (SELECT src AS node, count(*) AS c FROM shipped GROUP BY 1), i AS (SELECT dst AS node, count(*) AS c FROM shipped GROUP BY 1) SELECT coalesce(o.node, i.node) AS node, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, round(coalesce(i.c, 0) / n, 6) AS in_centrality, round(coalesce(o.c, 0) / n, 6) AS out_centrality FROM o FULL JOIN i ON o.node = i.node, n")
+def directed_degrees(spark, sf_dir):
+    return G.directed_centrality(_shipped(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("in_centrality", "out_centrality")})
 
 
-@query("connected_components", f"""WITH RECURSIVE {SPARSE_SQL}, both_ways AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse),
-reach(node, seen) AS (SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.seen = b.src)
-SELECT node, min(seen) AS component FROM reach GROUP BY node""")
+@query("mixed_edges", """WITH r AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, l_quantity AS weight, l_returnflag <> 'R' AS directed, l_orderkey * 10 + l_linenumber AS pos FROM lineitem)
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, arg_max(weight, pos) AS weight, false AS directed FROM r GROUP BY 1, 2""")
+def mixed_edges(spark, sf_dir):
+    """Returned lines give undirected edges, so all become undirected; the last of parallel edges counts."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"), F.col("l_quantity").alias("weight"), (F.col("l_returnflag") != "R").alias("directed"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return G.simple(rows)
+
+
+def _successions(spark, sf_dir):
+    """Orders that follow each other of one customer: a path per customer."""
+    from pyspark.sql import Window as W
+
+    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
+    return G.undirected(rows)
+
+
+@query("connected_components", "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
 def connected_components(spark, sf_dir):
-    return G.components(_sparse(spark, sf_dir))
+    return G.components(_successions(spark, sf_dir))
+
+
+@query("graph_structure", f"""WITH {BASKET_SQL}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM basket a JOIN basket b ON a.dst = b.src JOIN basket c ON c.src = a.src AND c.dst = b.dst),
+n AS (SELECT node, count(*) AS triangles FROM (SELECT x AS node FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY node), loops AS (SELECT count(DISTINCT a.l_partkey) AS self_loops FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey = b.l_partkey)
+SELECT (SELECT count(*) FROM deg) AS n_nodes, (SELECT count(*) FROM basket) AS n_edges, self_loops, 1 AS n_components, (SELECT count(*) FROM deg) AS largest_component, (SELECT round(avg(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END), 6) FROM deg LEFT JOIN n ON deg.node = n.node) AS average_clustering FROM loops""")
+def graph_structure(spark, sf_dir):
+    """Parts bought together: all of them hang together."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    pairs = lines.toDF("o", "na", "src").join(lines.toDF("o", "nb", "dst"), "o").where("na < nb").select("src", "dst")
+    return G.structure(pairs).withColumn("average_clustering", F.round("average_clustering", 6))
 
 
 @query("triangles_and_clustering", f"""WITH {BASKET_SQL}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM basket a JOIN basket b ON a.dst = b.src JOIN basket c ON c.src = a.src AND c.dst = b.dst),
@@ -74,14 +124,28 @@ def triangles_and_clustering(spark, sf_dir):
     return G.triangles(_basket(spark, sf_dir)).select("node", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
 
 
-@query("core_numbers")
+def _core_sql(rounds: int) -> str:
+    steps = ["c0 AS MATERIALIZED (SELECT src AS node, count(*) AS core FROM ways GROUP BY 1)"]
+    for k in range(rounds):
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT node, max(least(value, reach)) AS core FROM (SELECT node, value, sum(n) OVER (PARTITION BY node ORDER BY value DESC) AS reach FROM (SELECT w.src AS node, least(a.core, b.core) AS value, count(*) AS n FROM ways w JOIN c{k} a ON a.node = w.src JOIN c{k} b ON b.node = w.dst GROUP BY 1, 2)) GROUP BY node)")
+    return f"WITH {SHIPPED_SQL}, {', '.join(steps)} SELECT node, CAST(core AS BIGINT) AS core FROM c{rounds}"
+
+
+@query("core_numbers", _core_sql(40))
 def core_numbers(spark, sf_dir):
     return G.core_numbers(_shipped(spark, sf_dir))
 
 
-@query("label_propagation_5")
+def _label_sql(rounds: int) -> str:
+    steps = ["p0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS community FROM both_ways)"]
+    for k in range(rounds):
+        steps.append(f"p{k + 1} AS MATERIALIZED (SELECT node, community FROM (SELECT b.src AS node, p.community, sum(b.weight) AS votes FROM both_ways b JOIN p{k} p ON b.dst = p.node GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY votes DESC, community) = 1)")
+    return ", ".join(steps)
+
+
+@query("label_propagation_5", f"WITH {BASKET_SQL}, {_label_sql(5)} SELECT node, community FROM p5")
 def label_propagation_5(spark, sf_dir):
-    return G.label_propagation(_shipped(spark, sf_dir), rounds=5)
+    return G.label_propagation(_basket(spark, sf_dir), rounds=5)
 
 
 @query("modularity_of_brands", f"""WITH {BASKET_SQL}, own AS (SELECT p_partkey AS node, p_brand AS community FROM part), m AS (SELECT sum(weight) AS m FROM basket),
@@ -93,29 +157,40 @@ def modularity_of_brands(spark, sf_dir):
     return G.modularity(_basket(spark, sf_dir), own).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query("hop_distances", f"""WITH RECURSIVE {SPARSE_SQL}, both_ways AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse),
-walk(source, node, distance) AS (SELECT DISTINCT src, src, 0 FROM both_ways WHERE src >= 0 AND src % 20 = 0 UNION SELECT w.source, b.dst, w.distance + 1 FROM walk w JOIN both_ways b ON w.node = b.src WHERE w.distance < 4)
-SELECT source, node, min(distance) AS distance FROM walk GROUP BY source, node""")
+def _sources(edges):
+    return edges.where("src >= 0 AND src % 20 = 0").select(F.col("src").alias("node")).distinct()
+
+
+@query("hop_distances", f"WITH {SHIPPED_SQL}, {_level_sql(3)} " + " UNION ALL ".join(f"SELECT source, node, {k} AS distance FROM l{k}" for k in range(4)))
 def hop_distances(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
-    sources = edges.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
-    return G.distances(edges, sources, hops=4)
+    edges = _shipped(spark, sf_dir)
+    return G.distances(edges, _sources(edges), hops=3)
+
+
+PRICED_SQL = "priced AS MATERIALIZED (SELECT l_partkey AS src, -l_suppkey - 1 AS dst, min(l_quantity) AS weight FROM lineitem GROUP BY 1, 2), pw AS MATERIALIZED (SELECT src, dst, weight FROM priced UNION ALL SELECT dst, src, weight FROM priced)"
+
+
+@query("weighted_distances", f"WITH {PRICED_SQL}, d0 AS (SELECT DISTINCT src AS source, src AS node, 0.0 AS distance FROM priced WHERE src % 20 = 0)" + "".join(f", d{k} AS MATERIALIZED (SELECT source, node, min(distance) AS distance FROM (SELECT * FROM d{k - 1} UNION ALL SELECT source, dst, distance + weight FROM d{k - 1} JOIN pw ON node = src) GROUP BY 1, 2)" for k in (1, 2, 3)) + " SELECT source, node, CAST(distance AS DOUBLE) AS distance FROM d3")
+def weighted_distances(spark, sf_dir):
+    """Cheapest ways of at most three shipments, a shipment weighing the least quantity of its pair."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")).agg(F.min(F.col("l_quantity").cast("double")).alias("weight"))
+    return G.weighted_distances(rows, _sources(rows), hops=3)
 
 
-@query("directed_paths", f"""WITH {SPARSE_SQL}, links AS (SELECT src, dst FROM sparse UNION ALL SELECT dst, src FROM sparse)
-SELECT a.src AS source, a.dst AS node, 1 AS hops, a.src || '>' || a.dst AS path FROM links a WHERE a.src >= 0 AND a.src % 20 = 0
-UNION ALL SELECT a.src, b.dst, 2, a.src || '>' || a.dst || '>' || b.dst FROM links a JOIN links b ON a.dst = b.src WHERE a.src >= 0 AND a.src % 20 = 0""")
+@query("directed_paths", f"""WITH {SHIPPED_SQL}, p AS (SELECT a.src AS source, b.dst AS target, 2 AS hops, a.src || '>' || a.dst || '>' || b.dst AS path, row_number() OVER (PARTITION BY a.src, b.dst ORDER BY a.dst) AS place FROM ways a JOIN ways b ON a.dst = b.src WHERE a.src >= 0 AND a.src % 20 = 0 AND b.dst >= 0 AND b.dst % 20 = 0 AND a.src <> b.dst)
+SELECT source, target, CAST(place AS INT) AS place, CAST(hops AS BIGINT) AS hops, path FROM p WHERE place <= 20""")
 def directed_paths(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
-    sources = edges.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
-    return G.paths(G.both_ways(edges), sources, hops=2).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+    """Between any two of the stated parts, over a supplier of both."""
+    edges = _shipped(spark, sf_dir)
+    out = G.paths(G.both_ways(edges), _sources(edges), _sources(edges), hops=2)
+    return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
-@query("betweenness")
+@query("betweenness", f"WITH {SHIPPED_SQL}, {_level_sql()}, {_dependency_sql()} SELECT u, v, round(dependency * n / k / CASE WHEN u = v THEN (n - 1.0) * (n - 2) ELSE n * (n - 1.0) END, 8) * 1000 AS betweenness FROM ends, sizes")
 def betweenness(spark, sf_dir):
+    """Of all parts, suppliers and shipments, from the stated parts."""
     edges = _shipped(spark, sf_dir)
-    nodes = G.degrees(edges).select("node")
-    return G.betweenness(edges, nodes).select("u", "v", F.round(F.col("dependency") / 2, 6).alias("betweenness"))
+    return G.betweenness(edges, _sources(edges)).select("u", "v", (F.round("betweenness", 8) * 1000).alias("betweenness"))
 
 
 @query("yearly_snapshots", """WITH e AS (SELECT a.l_partkey AS src, -a.l_suppkey - 1 AS dst, CAST(year(o_orderdate) AS INT) AS year FROM lineitem a JOIN orders ON l_orderkey = o_orderkey), y AS (SELECT src, dst, year, count(*) AS weight FROM e GROUP BY ALL)
@@ -127,63 +202,69 @@ def yearly_snapshots(spark, sf_dir):
     return G.yearly_snapshots(rows)
 
 
-@query("neighbour_link_prediction", f"""WITH {SPARSE_SQL}, b AS (SELECT src, dst FROM sparse UNION ALL SELECT dst, src FROM sparse), d AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY src),
-f AS (SELECT x.src AS u, y.dst AS v, count(*) AS common, sum(1 / ln(CAST(d.degree AS DOUBLE))) AS aa FROM b x JOIN b y ON x.dst = y.src JOIN d ON d.node = x.dst WHERE x.src >= 0 AND x.src % 20 = 0 AND x.src <> y.dst GROUP BY 1, 2)
-SELECT u, v, common, round(aa, 6) AS adamic_adar, round(common / (du.degree + dv.degree - common), 6) AS jaccard, du.degree * dv.degree AS preferential FROM f JOIN d du ON du.node = u JOIN d dv ON dv.node = v WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.src = u AND b.dst = v)""")
+@query("snapshot_features", """WITH e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey - 1 AS dst, CAST(year(l_shipdate) AS INT) AS year FROM lineitem), w AS MATERIALIZED (SELECT src AS node, dst AS other, year FROM e UNION ALL SELECT dst, src, year FROM e),
+y AS (SELECT DISTINCT year FROM w), g AS (SELECT * FROM (SELECT DISTINCT node FROM w), y)
+SELECT g.node, g.year, count(DISTINCT w.other) FILTER (w.year <= g.year) AS degree, count(DISTINCT w.other) FILTER (w.year <= g.year AND w.year > g.year - 3) AS recent_degree, count(DISTINCT w.other) FILTER (w.year = g.year) AS year_degree, g.year - max(w.year) FILTER (w.year <= g.year) AS gap FROM g JOIN w ON g.node = w.node GROUP BY 1, 2""")
+def snapshot_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.year("l_shipdate").alias("year"))
+    return G.snapshot_features(rows)
+
+
+@query("neighbour_link_prediction", f"""WITH {SHIPPED_SQL}, d AS (SELECT src AS node, count(*) AS degree FROM ways GROUP BY src),
+f AS (SELECT x.src AS u, y.dst AS v, count(*) AS common, sum(1 / ln(CAST(d.degree AS DOUBLE))) AS aa FROM ways x JOIN ways y ON x.dst = y.src JOIN d ON d.node = x.dst JOIN sources s ON s.src = x.src WHERE x.src <> y.dst GROUP BY 1, 2),
+r AS (SELECT u, v, common, round(aa, 6) AS adamic_adar, round(common / (du.degree + dv.degree - common), 6) AS jaccard, du.degree * dv.degree AS preferential, round(0.8 * common + 0.2 * (SELECT count(*) FROM d) / 2, 6) AS centrality FROM f JOIN d du ON du.node = u JOIN d dv ON dv.node = v WHERE NOT EXISTS (SELECT 1 FROM ways b WHERE b.src = u AND b.dst = v))
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY u ORDER BY adamic_adar DESC, v) <= 20""")
 def neighbour_link_prediction(spark, sf_dir):
-    """Query nodes are the parts whose key is divisible by 20, against all nodes."""
-    edges = _sparse(spark, sf_dir)
-    queries = edges.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
-    out = L.neighbour_scores(edges, queries)
-    return out.select("u", "v", "common", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("jaccard", 6).alias("jaccard"), "preferential")
+    """Query nodes are the parts whose key is divisible by 20, against all nodes; the best twenty of each."""
+    edges = _shipped(spark, sf_dir)
+    out = L.neighbour_scores(edges, _sources(edges)).withColumns({c: F.round(c, 6) for c in ("adamic_adar", "jaccard", "centrality")})
+    return L.best_of_each(out, "adamic_adar", 20)
 
 
 @query("greedy_modularity")
 def greedy_modularity(spark, sf_dir):
-    return C.greedy_modularity(_shipped(spark, sf_dir))
+    return C.greedy_modularity(_basket(spark, sf_dir))
+
 
+FREQUENT_SQL = BASKET_SQL + ", f AS MATERIALIZED (SELECT src, dst FROM basket WHERE weight >= 2), fw AS MATERIALIZED (SELECT src, dst FROM f UNION ALL SELECT dst, src FROM f), k2 AS (SELECT [src, dst] AS c FROM f)" + "".join(f", k{n + 1} AS (SELECT list_append(c, w1.dst) AS c FROM k{n} JOIN fw w1 ON w1.src = c[1] WHERE w1.dst > c[{n}] AND (SELECT count(*) FROM fw w2 WHERE w2.dst = w1.dst AND list_contains(c, w2.src)) = {n})" for n in (2, 3, 4))
 
-@query("maximal_cliques", f"WITH {SPARSE_SQL} SELECT 2 AS size, least(src, dst) || ',' || greatest(src, dst) AS members FROM sparse")
+
+@query("maximal_cliques", f"WITH {FREQUENT_SQL}, every AS (SELECT c FROM k2 UNION ALL SELECT c FROM k3 UNION ALL SELECT c FROM k4 UNION ALL SELECT c FROM k5) SELECT len(c) AS size, array_to_string(c, ',') AS members FROM every e WHERE NOT EXISTS (SELECT 1 FROM fw WHERE list_contains(e.c, fw.src) GROUP BY fw.dst HAVING count(*) = len(e.c))")
 def maximal_cliques(spark, sf_dir):
-    """Parts and suppliers form no triangles: every edge is a maximal clique."""
-    return C.cliques(_sparse(spark, sf_dir), least=2)
+    """Of the parts bought together twice or more, pairs that no third part joins included."""
+    return C.cliques(_basket(spark, sf_dir).where("weight >= 2"), least=2)
 
 
 @query("spectral_scores")
 def spectral_scores(spark, sf_dir):
-    return C.spectral_scores(_shipped(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return C.spectral_scores(_basket(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("closeness")
+@query("closeness", f"WITH {SHIPPED_SQL}, {_level_sql()}, a AS ({' UNION ALL '.join(f'SELECT source, {k} AS d FROM l{k}' for k in range(LEVELS + 1))}) SELECT source AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1.0) * (count(*) - 1) / (((SELECT count(DISTINCT src) FROM ways) - 1.0) * sum(d)) ELSE 0 END, 6) AS closeness FROM a GROUP BY 1")
 def closeness(spark, sf_dir):
+    """Of the stated parts among all nodes."""
     edges = _shipped(spark, sf_dir)
-    return C.closeness(edges, G.degrees(edges).select("node")).withColumn("closeness", F.round("closeness", 6))
+    return G.closeness(edges, _sources(edges)).withColumn("closeness", F.round("closeness", 6))
 
 
-@query("cross_community_bridges")
+@query("cross_community_bridges", f"""WITH {BASKET_SQL}, aa AS (SELECT x.src AS u, y.dst AS v, sum(1 / ln(CAST(d.degree AS DOUBLE))) AS aa FROM both_ways x JOIN both_ways y ON x.dst = y.src JOIN deg d ON d.node = x.dst WHERE x.src % 20 = 0 AND x.src <> y.dst GROUP BY 1, 2),
+r AS (SELECT u, v, round(aa, 6) AS score FROM aa WHERE NOT EXISTS (SELECT 1 FROM both_ways b WHERE b.src = u AND b.dst = v) ORDER BY score DESC, u, v LIMIT 200)
+SELECT u, v, score, pu.p_brand AS cu, pv.p_brand AS cv FROM r JOIN part pu ON pu.p_partkey = u JOIN part pv ON pv.p_partkey = v WHERE pu.p_brand <> pv.p_brand ORDER BY score DESC, u, v LIMIT 20""")
 def cross_community_bridges(spark, sf_dir):
-    """The twenty best Adamic-Adar pairs of the query parts between communities of label propagation."""
-    edges = _shipped(spark, sf_dir)
-    queries = edges.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
-    scores = L.neighbour_scores(edges, queries).select("u", "v", F.round("adamic_adar", 6).alias("score"))
-    return C.bridges_between(scores, G.label_propagation(edges, rounds=2), 20)
+    """Of the 200 best Adamic-Adar pairs of the query parts with parts not bought with them, the first twenty between brands."""
+    edges = _basket(spark, sf_dir)
+    scores = L.neighbour_scores(edges, _sources(edges)).select("u", "v", F.round("adamic_adar", 6).alias("score"))
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    return C.bridges_between(scores, own)
 
 
 @query("topology_importance")
 def topology_importance(spark, sf_dir):
-    """Edges by the weighted shares of betweenness, rank, core and support; it has no direction or time to weigh."""
-    edges = _shipped(spark, sf_dir)
-    nodes = G.degrees(edges).select("node")
-    between = G.betweenness(edges, nodes)
-    edge_b = between.where("u < v").select("u", "v", F.col("dependency").alias("edge_b"))
-    node_b = between.where("u = v").select(F.col("u").alias("node"), F.col("dependency").alias("node_b"))
-    facts = G.pagerank(edges).join(G.core_numbers(edges), "node").join(node_b, "node", "left").na.fill(0.0, ["node_b"])
-    both = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight").join(edge_b, ["u", "v"], "left").na.fill(0.0, ["edge_b"])
-    for end in ("u", "v"):
-        both = both.join(facts.select(F.col("node").alias(end), F.col("rank").alias(f"rank_{end}"), F.col("core").alias(f"core_{end}"), F.col("node_b").alias(f"node_b_{end}")), end)
-    parts = {"edge_b": F.col("edge_b"), "rank": F.col("rank_u") + F.col("rank_v"), "node_b": F.col("node_b_u") + F.col("node_b_v"), "core": F.col("core_u") + F.col("core_v"), "support": F.col("weight")}
-    rows = both.select("u", "v", *(p.cast("double").alias(k) for k, p in parts.items()))
-    most = rows.agg(*(F.max(k).alias(f"max_{k}") for k in parts))
-    share = lambda k: F.when(F.col(f"max_{k}") > 0, F.col(k) / F.col(f"max_{k}")).otherwise(0.0)
-    score = 0.28 * share("edge_b") + 0.18 * share("rank") + 0.14 * share("node_b") + 0.12 * share("core") + 0.10 * share("support")
-    return rows.crossJoin(F.broadcast(most)).select("u", "v", F.bround(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4).alias("importance"))
+    """All shipments as edges from supplier to part, by every term of the importance; betweenness from the stated parts, nations of suppliers and brands of parts as communities."""
+    lines = table(spark, sf_dir, "lineitem")
+    edges = lines.groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("total_count"), F.countDistinct("l_orderkey").alias("papers_count"), F.countDistinct("l_shipdate").alias("evidence_count"), F.array_sort(F.collect_set(F.year("l_shipdate"))).alias("years"))
+    edges = edges.select((-F.col("s") - 1).alias("src"), "dst", "total_count", "papers_count", "evidence_count", "years")
+    places = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("node"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("community"))
+    makers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    stated = edges.where("dst % 20 = 0").select(F.col("dst").alias("node")).distinct()
+    return G.importance(edges, stated, places.union(makers)).select("src", "dst", F.bround("importance", 4).alias("importance"))

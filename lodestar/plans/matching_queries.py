@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.operators import extraction as X
+from lodestar.operators import filters as Q
 from lodestar.operators import hypotheses as H
 from lodestar.operators import knowledge as G
 from lodestar.operators import matching as M
@@ -34,14 +35,6 @@ def rank_pairing(spark, sf_dir):
     return M.paired_by_rank(parts.where(side == 0), parts.where(side == 1), "g", "sig", "r")
 
 
-@query("case_match", """SELECT s_suppkey, arg_max(c_custkey, (100 + 6 / (1 + abs(round(s_acctbal - c_acctbal, 2))), -c_custkey)) AS c_custkey, round(max(100 + 6 / (1 + abs(round(s_acctbal - c_acctbal, 2)))), 6) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey""")
-def case_match(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").withColumn("nation", F.col("s_nationkey"))
-    c = table(spark, sf_dir, "customer").withColumn("nation", F.col("c_nationkey"))
-    score = 100 + 6 / (1 + F.abs(F.round(F.col("s_acctbal") - F.col("c_acctbal"), 2)))
-    return M.best_match(s, c, ["nation"], score, "s_suppkey", "c_custkey").withColumn("score", F.round("score", 6))
-
-
 TOK = r"list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[\p{L}\p{N}_#\-]+'))"
 
 
@@ -69,9 +62,8 @@ def title_ratio(spark, sf_dir):
 
 
 @query("hypothesis_candidates", f"""WITH {SCORED_SQL}, s AS (SELECT source, target, total_count, round(trend, 6) AS trend, round(log_count + 0.75 * pmi + 1.25 * trend + 0.2, 6) AS score FROM feat),
-e AS (SELECT source, target, score, trend, 'emerging' AS kind, 0 AS p FROM s WHERE total_count >= 2 AND trend > 0.05 ORDER BY score DESC, source, target LIMIT 10), t AS (SELECT source, target, score, trend, 'top_edge' AS kind, 1 AS p FROM s ORDER BY score DESC, source, target LIMIT 10),
-u AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY p) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM t))
-SELECT source, target, score, trend, kind, source || ' may shape ' || target AS title, CAST(least(greatest(round_even(5 + 10 * trend, 0), 3), 9) AS INT) AS confidence FROM u WHERE n = 1""")
+e AS (SELECT source, target, score, trend, 'emerging_edge' AS kind FROM s WHERE total_count >= 2 AND trend > 0.05 ORDER BY score DESC, source, target LIMIT 10), t AS (SELECT source, target, score, trend, 'top_edge' AS kind FROM s WHERE NOT EXISTS (SELECT 1 FROM e) ORDER BY score DESC, source, target LIMIT 10)
+SELECT source, target, score, trend, kind, source || ' may shape ' || target AS title, CAST(least(greatest(round_even(5 + 10 * trend, 0), 3), 9) AS INT) AS confidence FROM (SELECT * FROM e UNION ALL SELECT * FROM t)""")
 def hypothesis_candidates(spark, sf_dir):
     edges = G.scored_edges(*_found(spark, sf_dir)).select("source", "target", "total_count", F.round("trend", 6).alias("trend"), F.round("score", 6).alias("score"))
     return H.drafted(H.candidates(edges, 10))
@@ -95,15 +87,6 @@ def citations(spark, sf_dir):
     return H.citations(rows, "conv_id")
 
 
-@query("rule_triplets", """SELECT p_partkey, lower(p_brand) AS subject, CASE p_size % 3 WHEN 0 THEN 'leads_to' WHEN 1 THEN 'reduces' ELSE 'depends_on' END AS predicate, lower(p_type) AS object, CAST(0.62 AS DOUBLE) AS confidence, 1990 + p_size AS time FROM (SELECT p_partkey, replace(p_brand, '#', ' ') AS p_brand, p_type, p_size FROM part)""")
-def rule_triplets(spark, sf_dir):
-    """Sentences made of parts go in, the triplets that the rules find come out."""
-    verb = F.when(F.col("p_size") % 3 == 0, "leads to").when(F.col("p_size") % 3 == 1, "reduces").otherwise("depends on")
-    sentence = F.concat(F.lit("We looked again, "), F.regexp_replace("p_brand", "#", " "), F.lit(" "), verb, F.lit(" "), F.col("p_type"), F.lit(" in "), (F.col("p_size") + 1990).cast("string"), F.lit(". Nothing else was seen."))
-    rows = table(spark, sf_dir, "part").select("p_partkey", sentence.alias("text"))
-    return X.extract_triplets(rows, "p_partkey", "text").drop("quote")
-
-
 @query("json_repair", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def json_repair(spark, sf_dir):
     """Properties wrapped in a code fence and cut words come back as JSON."""
@@ -117,10 +100,12 @@ def modality_of_lines(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.modality("html").alias("modality"))
 
 
-@query("exclusion_split", r"SELECT doc_id, CASE WHEN 2015 + doc_id % 10 > 2022 OR source IN ('src1', 'src7') OR contains(lower(text), 'reserved') THEN 'excluded' ELSE 'kept' END AS part FROM documents")
+@query("exclusion_split", r"SELECT doc_id, CASE WHEN 2015 + doc_id % 10 > 2022 OR contains(source || ' ' || lower(text), 'src1') OR contains(source || ' ' || lower(text), 'src7') OR contains(lower(text), 'reserved') THEN 'excluded' ELSE 'kept' END AS part FROM documents")
 def exclusion_split(spark, sf_dir):
+    """Documents as papers: source as identifier, text as title, year by id."""
     docs = table(spark, sf_dir, "documents")
-    out = (F.lit(2015) + F.col("doc_id") % 10 > 2022) | F.col("source").isin("src1", "src7") | F.lower("text").contains("reserved")
+    rules = Q.exclusion_rules({"task2_exclusions": {"source_refs": ["src1", "src7"], "title_contains": ["reserved"], "max_year": 2022}})
+    out = Q.excluded(rules, F.array("source"), F.array("text"), F.array().cast("array<string>"), F.lit(2015) + F.col("doc_id") % 10)
     return docs.select("doc_id", F.when(out, "excluded").otherwise("kept").alias("part"))
 
 

@@ -24,7 +24,7 @@ def exclusion_spec(spark, sf_dir):
     return parts.select("p_partkey", out.alias("excluded"))
 
 
-@query("relation_families", "SELECT predicate, CASE WHEN regexp_matches(predicate, 'co-?occur|associated|related') THEN 'cooccurrence' WHEN regexp_matches(predicate, 'caus|lead|result|induce|trigger|drive|prevent|inhibit|promote|depend') THEN 'causal' WHEN regexp_matches(predicate, 'improve|reduce|increase|decrease|outperform|compare') THEN 'comparative' WHEN regexp_matches(predicate, 'precede|follow|before|after|during') THEN 'temporal' WHEN regexp_matches(predicate, 'is_a|type_of|part_of|consist') THEN 'taxonomic' ELSE 'other' END AS family, count(*) AS n FROM (SELECT CASE p_size % 7 WHEN 0 THEN 'causes' WHEN 1 THEN 'related_to' WHEN 2 THEN 'improves' WHEN 3 THEN 'precedes' WHEN 4 THEN 'is_a' WHEN 5 THEN 'cooccurs_with' ELSE 'mentions' END AS predicate FROM part) GROUP BY 1, 2")
+@query("relation_families", "SELECT predicate, CASE WHEN regexp_matches(predicate, 'co-?occur') THEN 'cooccurrence' WHEN regexp_matches(predicate, 'caus|lead|result|induce|trigger|drive|prevent|inhibit|promote|depend') THEN 'causal' WHEN regexp_matches(predicate, 'improve|reduce|increase|decrease|outperform|compare') THEN 'comparative' WHEN regexp_matches(predicate, 'precede|follow|before|after|during') THEN 'temporal' WHEN regexp_matches(predicate, 'is_a|type_of|part_of|consist') THEN 'taxonomic' ELSE 'other' END AS family, count(*) AS n FROM (SELECT CASE p_size % 7 WHEN 0 THEN 'causes' WHEN 1 THEN 'related_to' WHEN 2 THEN 'improves' WHEN 3 THEN 'precedes' WHEN 4 THEN 'is_a' WHEN 5 THEN 'cooccurs_with' ELSE 'mentions' END AS predicate FROM part) GROUP BY 1, 2")
 def relation_families(spark, sf_dir):
     names = ["causes", "related_to", "improves", "precedes", "is_a", "cooccurs_with", "mentions"]
     predicate = F.element_at(F.array(*map(F.lit, names)), (F.col("p_size") % 7 + 1).cast("int"))
@@ -87,3 +87,24 @@ def data_gates(spark, sf_dir):
 def sources_without_labels(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return V.without_output(docs, docs.join(table(spark, sf_dir, "labels"), "doc_id"), "source")
+
+
+# Edges as texts with what must become of them: in every mode, and if weak.
+EDGE_TEXTS = (
+    ("cooccurs_with", "alpha", True, True),
+    ("related_to", "alpha", False, False),
+    ("associated_with", "alpha", False, False),
+    ("co-occurs", "alpha causes beta", True, False),
+    ("causes", "text:cooccurrence", True, False),
+    ("mentions", "it triggers", False, False),
+)
+EDGE_TEXTS_SQL = ", ".join(f"({k}, {a}, {w})" for k, (_, _, a, w) in enumerate(EDGE_TEXTS))
+
+
+@query("hidden_edges", f"SELECT p_partkey, any_mode AS excluded, if_weak AND round(p_size / 50, 6) <= 0.45 AS hidden FROM part JOIN (VALUES {EDGE_TEXTS_SQL}) v(k, any_mode, if_weak) ON p_partkey % 6 = k")
+def hidden_edges(spark, sf_dir):
+    """Co-occurrences by any text of the edge; weak ones stay if a text is causal; the strength is the first field within 0 and 1."""
+    pick = lambda n: F.element_at(F.array(*(F.lit(e[n]) for e in EDGE_TEXTS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    texts = [pick(0), pick(1)]
+    strength = Q.strength_of(F.lit(7.5), F.lit(None).cast("double"), F.col("p_size") / 50, F.lit(0.1))
+    return table(spark, sf_dir, "part").select("p_partkey", Q.hidden(texts, strength, "exclude_all").alias("excluded"), Q.hidden(texts, strength, "hide_weak").alias("hidden"))

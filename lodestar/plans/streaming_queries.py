@@ -11,13 +11,13 @@ from lodestar.plans.registry import query, table
 from lodestar.streaming import events as S
 
 
+def _root(spark):
+    return tables.root(spark)
+
+
 def _run(df, spark, mode="append"):
     """The rows that a stream over all available input appends."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        tables.staged(spark.range(1), "root")
-        root = spark.conf.get("spark.checkpoint.dir")
-    path = f"{root.rstrip('/')}/lodestar-stream-{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/lodestar-stream-{uuid.uuid4().hex}"
     df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/data")
 
@@ -45,3 +45,24 @@ def streaming_windows(spark, sf_dir):
     """Windows that the watermark has closed when the input is used up."""
     rows = _run(S.windowed_counts(_stream(spark, sf_dir)).select("start", "event_type", "n"), spark)
     return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+def _state(spark, sf_dir, df, keys, order, mode):
+    """The last state of an upsert over all available input."""
+    path = f"{_root(spark)}/lodestar-state-{uuid.uuid4().hex}"
+    df.writeStream.outputMode(mode).foreachBatch(S.upsert_into(f"{path}/data", keys, order)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return S.state(spark, f"{path}/data")
+
+
+@query("streaming_edges", "SELECT user_id, json_extract_string(props, '$.k') AS k, count(*) AS weight, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1, 2")
+def streaming_edges(spark, sf_dir):
+    """Running weight and last contact of users and keys, upserted batch by batch."""
+    out = _state(spark, sf_dir, S.running_edges(_stream(spark, sf_dir)), ["user_id", "k"], "weight", "update")
+    return out.select("user_id", "k", "weight", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+@query("streaming_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def streaming_upsert(spark, sf_dir):
+    """The last event of each user, by batches that may be repeated."""
+    rows = _stream(spark, sf_dir).select("user_id", "event_id", "event_type")
+    return _state(spark, sf_dir, rows, ["user_id"], "event_id", "append").select("user_id", "event_id", "event_type")

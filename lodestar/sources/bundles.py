@@ -91,3 +91,126 @@ def tei_text(xml: Column) -> Column:
     """Titles, then abstracts, then paragraphs of a TEI document, blanks collapsed; empty if it cannot be read."""
     found = F.concat(F.xpath(xml, F.lit("//*[local-name()='title']/text()")), F.xpath(xml, F.lit("//*[local-name()='abstract']//text()")), F.xpath(xml, F.lit("//*[local-name()='p']/text()")))
     return F.trim(F.regexp_replace(F.array_join(found, " "), r"\s+", " "))
+
+
+#: A folder with one of these is a bundle, into which a mixed scan does not look.
+BUNDLE_MARKS = ("edge_reviews.json", "review_state_latest.json", "temporal_corrections.json", "task2_notebook_manifest.json")
+
+
+def review_inputs(files: DataFrame) -> DataFrame:
+    """(path, kind): trajectories (.yaml, .yml, .json) and bundles among listed files, a bundle once and nothing inside it.
+
+    ``files``: path.
+    """
+    rows = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    bundles = rows.where(F.col("name").isin(*BUNDLE_MARKS)).select("folder").distinct()
+    outer = bundles.select(F.col("folder").alias("above"))
+    # A bundle inside another one is a part of it.
+    tops = bundles.join(outer, F.col("folder").startswith(F.concat("above", F.lit("/"))), "left_anti")
+    loose = rows.join(F.broadcast(tops.select(F.col("folder").alias("top"))), (F.col("folder") == F.col("top")) | F.col("folder").startswith(F.concat("top", F.lit("/"))), "left_anti")
+    loose = loose.where(F.lower("name").rlike(r"\.(ya?ml|json)$")).select("path", F.lit("trajectory").alias("kind"))
+    archives = rows.where(F.lower("name").rlike(r"\.zip$")).select("path", F.lit("bundle").alias("kind"))
+    return loose.unionByName(tops.select(F.col("folder").alias("path"), F.lit("bundle").alias("kind"))).unionByName(archives).distinct()
+
+
+def archive_members(files: DataFrame) -> DataFrame:
+    """(path, member, content): the files in the ZIP archives of a binaryFile table; other files, and archives that cannot be read, give nothing."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        out += [(path, m.filename, archive.read(m)) for m in archive.infolist() if not m.is_dir()]
+                except zipfile.BadZipFile:
+                    continue
+            yield pd.DataFrame(out, columns=["path", "member", "content"])
+
+    return files.where(F.lower("path").endswith(".zip")).select("path", "content").mapInPandas(run, "path string, member string, content binary")
+
+
+def yaml_documents(files: DataFrame) -> DataFrame:
+    """(path, json): YAML or JSON documents of a table (path, content) as JSON; what cannot be read is null."""
+    import json
+
+    import pandas as pd
+
+    def run(batches):
+        try:
+            import yaml
+        except ImportError:
+            yaml = None
+
+        def read(content):
+            text = bytes(content).decode("utf-8", "replace")
+            try:
+                return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True)
+            except ValueError:
+                if yaml is None:
+                    return None
+            try:
+                return json.dumps(yaml.safe_load(text), ensure_ascii=False, sort_keys=True, default=str)
+            except yaml.YAMLError:
+                return None
+
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "json": [read(c) for c in batch["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, json string")
+
+
+def asset_aliases(records: DataFrame) -> DataFrame:
+    """(alias, record_id, pos): each name under which an asset may be asked for: its paper, its source and any further ones, canonical and once.
+
+    ``records``: record_id, pos, paper_id, source, aliases (an array).
+    """
+    from lodestar.functions import keys as K
+    from lodestar.functions import text as X
+
+    def key(x: Column) -> Column:
+        own = F.lower(F.trim(x))
+        return F.coalesce(F.nullif(F.concat(F.lit("doi:"), F.nullif(K.doi(own), F.lit(""))), F.lit("")), F.when(own.rlike("^https?://"), F.regexp_replace(K.url_canonical(own), r"\.pdf$", "")), F.nullif(X.norm(own), F.lit("")))
+
+    names = F.array_distinct(F.array_compact(F.transform(F.concat(F.array("paper_id", "source"), F.coalesce("aliases", F.array().cast("array<string>"))), key)))
+    return records.select(F.explode(names).alias("alias"), "record_id", "pos")
+
+
+def page_assets(pages: DataFrame) -> DataFrame:
+    """Pages (paper_id, page, text, image_path, vlm_caption, tables_md, equations_md) as assets with one summary line."""
+    part = lambda name, column: F.concat(F.lit(f"{name}="), F.nullif(F.trim(column), F.lit("")))
+    summary = F.concat_ws(" | ", part("caption", "vlm_caption"), part("text", "text"), part("tables", "tables_md"), part("equations", "equations_md"))
+    return pages.select(F.concat_ws(":", "paper_id", F.concat(F.lit("page"), F.col("page").cast("string"))).alias("record_id"), "paper_id", "page", F.lit("page").alias("modality"), F.col("image_path").isNotNull().alias("has_image"), summary.alias("summary"))
+
+
+def edge_review_assets(reviews: DataFrame) -> DataFrame:
+    """Reviewed edges (edge_id, paper_id, page, figure_or_table, snippet, image_path) as assets."""
+    modality = F.when(F.lower("figure_or_table").contains("tab"), "table").when(F.lower("figure_or_table").contains("fig"), "figure").otherwise("text")
+    return reviews.select(F.col("edge_id").alias("record_id"), "paper_id", F.col("page").cast("int").alias("page"), modality.alias("modality"), F.col("image_path").isNotNull().alias("has_image"), F.col("snippet").alias("summary"))
+
+
+def text_native(pages: DataFrame, probe: int = 4, letters: int = 400, share: float = 0.75) -> DataFrame:
+    """(path, native): whether a document's first ``probe`` pages have text, ``letters`` or more on a ``share`` of them, so that no recognition is needed."""
+    first = pages.where(F.col("page") <= probe).groupBy("path").agg((F.count_if(F.length(F.trim("text")) >= letters) / F.count(F.lit(1))).alias("covered"))
+    return first.select("path", (F.col("covered") >= share).alias("native"))
+
+
+def reference_graph(docs: DataFrame) -> dict[str, DataFrame]:
+    """nodes, edges and triplets of trajectories: steps, their sources and the links between steps, as (submission_id, ...).
+
+    Nodes: step:i and source:i:j; edges: links between steps (a two-way one
+    twice) and from steps to their sources; triplets: every link between steps.
+    """
+    steps, sources, links = trajectory_steps(docs), trajectory_sources(docs), trajectory_edges(docs)
+    name = lambda c: F.concat(F.lit("step:"), F.col(c).cast("string"))
+    place = F.concat(F.lit("source:"), F.col("step_id").cast("string"), F.lit(":"), (F.col("pos") + 1).cast("string"))
+    nodes = steps.select("submission_id", name("step_id").alias("node"), F.lit("trajectory_step").alias("type"), F.col("claim").alias("label")).unionByName(sources.select("submission_id", place.alias("node"), F.lit("source").alias("type"), F.trim(F.concat_ws(" ", "source", F.coalesce("locator", F.col("page").cast("string")))).alias("label")))
+    own = links.select("submission_id", name("source").alias("source"), name("target").alias("target"), "predicate")
+    cited = sources.select("submission_id", name("step_id").alias("source"), place.alias("target"), F.lit("supported_by").alias("predicate"))
+    said = steps.select("submission_id", name("step_id").alias("node"), "claim")
+    triplets = own.join(said.select("submission_id", F.col("node").alias("source"), F.col("claim").alias("subject")), ["submission_id", "source"]).join(said.select("submission_id", F.col("node").alias("target"), F.col("claim").alias("object")), ["submission_id", "target"])
+    return {"nodes": nodes, "edges": own.unionByName(cited), "triplets": triplets.select("submission_id", "subject", "predicate", "object")}

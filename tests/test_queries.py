@@ -12,6 +12,8 @@ import pytest
 from lodestar import catalogue
 
 SF = "/root/testdata/sf0.001"
+#: Queries that SQL cannot express; their operators are held against plain versions in test_operators.py.
+WITHOUT_SQL = {"greedy_modularity", "spectral_scores", "topology_importance", "pagerank_converged", "title_ratio", "scorer_training"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 
@@ -35,7 +37,7 @@ def test_same_rows(spark, duck, name):
     rows = df.collect()
     sql = catalogue.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert name in WITHOUT_SQL and rows and df.columns
         return
     cursor = duck.execute(sql)
     names = [c[0] for c in cursor.description]

@@ -26,10 +26,9 @@ def test_exclusion(spark):
 
 
 def test_weak_edges(spark):
-    rows = spark.createDataFrame([("related_to", 0.22), ("cooccurs_with", 0.71), ("causes", 0.18)], "p string, s double")
-    hide = [r.h for r in rows.select(filters.hidden(F.col("p"), F.col("s"), "hide_weak").alias("h")).collect()]
-    drop = [r.h for r in rows.select(filters.hidden(F.col("p"), F.col("s"), "exclude_all").alias("h")).collect()]
-    assert hide == [True, False, False] and drop == [True, True, False]
+    rows = spark.createDataFrame([("cooccurs_with", "", 0.22), ("cooccurs_with", "", 0.71), ("causes", "", 0.18), ("related_to", "", 0.1), ("co-occurs", "it leads to x", 0.1)], "p string, q string, s double")
+    ask = lambda mode: [r.h for r in rows.select(filters.hidden([F.col("p"), F.col("q")], F.col("s"), mode).alias("h")).collect()]
+    assert ask("hide_weak") == [True, False, False, False, False] and ask("exclude_all") == [True, True, False, False, True] and not any(ask("all"))
 
 
 def test_triage(spark):
@@ -81,6 +80,10 @@ def test_versions_and_overrides(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
     fixed = events.corrected(rows, spark.createDataFrame([(2, "c")], "id int, t string"), "id", ["t"])
     assert {tuple(r) for r in fixed.select("id", "t", "status", "version").collect()} == {(1, "a", "current", 1), (2, "b", "replaced", 1), (2, "c", "current", 2)}
+    two = spark.createDataFrame([(1, "a", "b"), (2, "c", "d"), (3, "e", "f")], "id int, t string, u string")
+    fixes = spark.createDataFrame([(1, None, "x", 1), (1, "y", None, 2), (2, None, None, 3), (9, "q", "q", 4)], "id int, t string, u string, seq int")
+    found = events.corrected(two, fixes, "id", ["t", "u"], "seq")
+    assert {tuple(r) for r in found.where("version = 2").select("id", "t", "u").collect()} == {(1, "y", "b")} and found.count() == 4
     edges = spark.createDataFrame([("s", 1.0), ("u", 2.0)], "k string, w double")
     votes = spark.createDataFrame([("s", 1.0), ("s", -0.25)], "k string, weight double")
     assert {r.k: r.expert_weight for r in events.apply_overrides(edges, votes, ["k"]).collect()} == {"s": 0.75, "u": 0.0}
