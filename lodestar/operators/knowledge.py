@@ -59,15 +59,17 @@ def rake_terms(papers: DataFrame, most: int = 25, language: str = "en", boost: t
     A word scores (degree + frequency) / frequency, a phrase the sum of its
     words; ties go to the phrase seen first.  A phrase of ``boost`` scores a
     quarter more, and one that a paper only has inside other words joins it with
-    0.8, after all others.  Everything is keyed by paper, so
-    the grouping, the join and the ranking share one partitioning.
+    0.8, after all others.  Phrases are dealt by paper once; every
+    grouping and ranking after that is within a paper and keeps that
+    partitioning, word scores being sums over windows in place of a join.
     """
-    found = papers.select("paper_id", F.posexplode(T.phrases("text", language=language)).alias("pos", "words"))
+    found = papers.select("paper_id", F.posexplode(T.phrases("text", language=language)).alias("pos", "words")).repartition("paper_id")
     firsts = found.groupBy("paper_id", F.array_join("words", " ").alias("term")).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
     parts = firsts.select("paper_id", "term", "first_pos", "n", F.split("term", " ").alias("words"))
     parts = parts.select("paper_id", "term", "first_pos", "n", (F.col("n") * (F.size("words") - 1)).alias("others"), F.explode("words").alias("word"))
-    word_score = parts.groupBy("paper_id", "word").agg(((F.sum("others") + F.sum("n")) / F.sum("n")).alias("word_score"))
-    scored = parts.join(word_score, ["paper_id", "word"]).groupBy("paper_id", "term", "first_pos").agg(F.sum("word_score").alias("raw"))
+    same = W.partitionBy("paper_id", "word")
+    word_score = (F.sum("others").over(same) + F.sum("n").over(same)) / F.sum("n").over(same)
+    scored = parts.select("paper_id", "term", "first_pos", word_score.alias("word_score")).groupBy("paper_id", "term", "first_pos").agg(F.sum("word_score").alias("raw"))
     scored = scored.withColumn("score", F.round(F.when(F.length("term") < 3, F.col("raw") * 0.5).otherwise(F.col("raw")), 6))
     if boost:
         named = F.array(*(F.lit(b.strip().lower()) for b in boost))

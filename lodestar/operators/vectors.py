@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -141,8 +142,9 @@ def hashed(rows: DataFrame, key: str, tokens: str, dim: int = 384) -> DataFrame:
 
     The slot is the number of the first eight hexadecimal digits modulo
     ``dim``; an odd ninth digit makes the sign negative.  Each row is hashed by
-    itself, without a shuffle: its tokens become codes of slot and sign, which
-    are sorted and summed up by slot.  ``key`` tells the rows apart.
+    itself, without a shuffle, in Arrow batches: array functions of Spark that
+    add up by slot within a row took five times as long as the three exchanges
+    that they were to save.  ``key`` tells the rows apart; nulls are no tokens.
     """
     return _unit_slots(rows, key, tokens, dim, signed=True)
 
@@ -152,29 +154,35 @@ def hashed_counts(rows: DataFrame, key: str, tokens: str, dim: int = 2048) -> Da
     return _unit_slots(rows, key, tokens, dim, signed=False)
 
 
+#: Numbers added up at once, rows times slots.
+SLOTS_AT_ONCE = 1 << 20
+
+
+def _slot_batches(batches: Iterator[pa.RecordBatch], dim: int, signed: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, SLOTS_AT_ONCE // dim)
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            lists = part.column(1)
+            owner, words = pc.list_parent_indices(lists), lists.flatten().dictionary_encode()
+            different = words.dictionary.to_pylist()
+            digests = [hashlib.md5(w.encode()).hexdigest() for w in different]
+            slot = np.array([int(d[:8], 16) % dim for d in digests], "i8")
+            sign = np.array([-1.0 if signed and int(d[8], 16) % 2 else 1.0 for d in digests])
+            known = np.asarray(words.indices.is_valid())
+            at = np.asarray(words.indices.fill_null(0)).astype("i8")[known]
+            place = np.asarray(owner).astype("i8")[known] * dim
+            if not len(at):
+                continue
+            sums = np.bincount(place + slot[at], sign[at], part.num_rows * dim).reshape(part.num_rows, dim)
+            length = np.sqrt((sums * sums).sum(1))
+            row, col = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(col), pa.array(sums[row, col] / length[row])], names)
+
+
 def _unit_slots(rows: DataFrame, key: str, tokens: str, dim: int, signed: bool) -> DataFrame:
-    def code(token: Column) -> Column:
-        digest = F.md5(token)
-        slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim))
-        odd = F.pmod(F.conv(F.substring(digest, 9, 1), 16, 10).cast("long"), F.lit(2)) if signed else F.lit(0).cast("long")
-        return slot * 2 + odd
-
-    codes = F.array_sort(F.transform(F.filter(tokens, lambda t: t.isNotNull()), code))
-    empty = F.struct(F.expr("CAST(array() AS array<struct<slot:bigint,raw:bigint>>)").alias("done"), F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("raw"))
-
-    def closed(state: Column) -> Column:
-        return F.when(state["raw"] != 0, F.concat(state["done"], F.array(F.struct(state["slot"].alias("slot"), state["raw"].alias("raw"))))).otherwise(state["done"])
-
-    def step(state: Column, x: Column) -> Column:
-        slot = F.shiftright(x, 1)
-        sign = F.lit(1).cast("long") - F.pmod(x, F.lit(2).cast("long")) * 2
-        same = state["slot"] == slot
-        return F.struct(F.when(same, state["done"]).otherwise(closed(state)).alias("done"), slot.alias("slot"), (F.when(same, state["raw"]).otherwise(F.lit(0)) + sign).alias("raw"))
-
-    sums = rows.select(key, F.aggregate(codes, empty, step, closed).alias("sums"))
-    length = F.sqrt(F.aggregate("sums", F.lit(0.0), lambda total, x: total + x["raw"].cast("double") * x["raw"]))
-    flat = sums.select(key, length.alias("length"), F.explode("sums").alias("s"))
-    return flat.select(key, "s.slot", (F.col("s.raw") / F.col("length")).alias("value"))
+    names = [key, "slot", "value"]
+    return rows.select(key, tokens).mapInArrow(lambda it: _slot_batches(it, dim, signed, names), f"{key} {dict(rows.dtypes)[key]}, slot long, value double")
 
 
 def _blake_slots(texts: pd.Series, dim: int, signed: bool) -> pd.Series:

@@ -74,10 +74,25 @@ def pagerank_10(spark, sf_dir):
     return G.pagerank(_basket(spark, sf_dir), rounds=10, tolerance=0).select("node", (F.round("rank", 9) * 1000).alias("rank"))
 
 
+def _directed_rank_sql(rounds: int) -> str:
+    steps = ["outs AS MATERIALIZED (SELECT dst AS node, count(*) AS n FROM shipped GROUP BY 1), nodes AS MATERIALIZED (SELECT DISTINCT src AS node FROM ways), size AS (SELECT count(*) AS n FROM nodes), q0 AS MATERIALIZED (SELECT node, 1.0 / n AS rank FROM nodes, size)"]
+    for k in range(rounds):
+        steps.append(f"z{k} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS lost FROM q{k} WHERE node NOT IN (SELECT node FROM outs)), g{k} AS (SELECT s.src AS node, sum(r.rank / o.n) AS got FROM shipped s JOIN outs o ON s.dst = o.node JOIN q{k} r ON r.node = s.dst GROUP BY 1)")
+        steps.append(f"q{k + 1} AS MATERIALIZED (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM nodes LEFT JOIN g{k} g ON nodes.node = g.node, z{k}, size)")
+    return f"WITH {SHIPPED_SQL}, {', '.join(steps)} SELECT node, round(rank, 9) * 1000 AS rank FROM q{rounds}"
+
+
+@query("pagerank_directed", _directed_rank_sql(20))
+def pagerank_directed(spark, sf_dir):
+    """Suppliers to parts, directed: parts give their rank to all nodes alike."""
+    rows = _shipped(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return G.pagerank(rows, rounds=20, directed=True, tolerance=0).select("node", (F.round("rank", 9) * 1000).alias("rank"))
+
+
 @query("pagerank_converged")
 def pagerank_converged(spark, sf_dir):
-    """Suppliers to parts, directed: parts give their rank to all nodes alike."""
-    return G.pagerank(_shipped(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), directed=True).select("node", (F.round("rank", 9) * 1000).alias("rank"))
+    """Parts bought together, until the ranks hardly change."""
+    return G.pagerank(_basket(spark, sf_dir)).select("node", (F.round("rank", 9) * 1000).alias("rank"))
 
 
 @query("directed_degrees", f"WITH {SHIPPED_SQL}, n AS (SELECT count(DISTINCT src) - 1 AS n FROM ways), o AS (SELECT src AS node, count(*) AS c FROM shipped GROUP BY 1), i AS (SELECT dst AS node, count(*) AS c FROM shipped GROUP BY 1) SELECT coalesce(o.node, i.node) AS node, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, round(coalesce(i.c, 0) / n, 6) AS in_centrality, round(coalesce(o.c, 0) / n, 6) AS out_centrality FROM o FULL JOIN i ON o.node = i.node, n")
