@@ -143,7 +143,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     """(doc_id, n_words, hits): one row per row of ``docs``.
 
     hits: label, whether it is an exact phrase, its first and last word (from
-    0) and its edits, by place.  Null and empty texts have no words.
+    0) and its edits, by place.  Null and empty texts have no words; rows
+    repeated, and extra columns, change nothing.  Of notices that overlap the
+    one with fewer edits for its length stays, of those that tie the longer, then
+    the earlier one; exact phrases stay whatever they overlap.
     """
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _scan_batches(it, phrases, notices), SCHEMA)

@@ -55,3 +55,12 @@ def test_search_finds_every_occurrence(words, passages, window):
     ids = {i for t in tables for _, own in t.search(decontaminate.words_of(text.encode())) for i in own}
     n, hit, n_items, _, _ = brute(text, items, window)
     assert (len(words), sum(b - a for a, b in decontaminate._merged(spans)), len(ids)) == (n, hit, n_items)
+
+
+def test_passes_over_many_blocks_hold_one_table_each(spark, tmp_path):
+    docs = cases.frame(spark, tmp_path / "d", [(k, cases.prose(k, 40)) for k in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, cases.prose(k, 40)) for k in range(0, 60, 2)], "item_id long, text string")
+    found = decontaminate.find_passages(docs, items, block_bytes=300)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # what earlier blocks gave is read from a written table
+    assert {r.doc_id: r.hit_items for r in found.collect()} == {k: [k] if k % 2 == 0 else [] for k in range(30)}

@@ -65,3 +65,28 @@ def brute_texts():
 def test_empty_table(spark, tmp_path):
     docs = cases.frame(spark, tmp_path / "d", rows=[])
     assert exact.duplicate_groups(docs).count() == 0 and exact.drop_duplicates(docs).count() == 0
+
+
+def test_rows_do_not_depend_on_how_scans_are_split(spark, tmp_path):
+    """Executors that come and go change the default parallelism, and with it the splits, between two scans of the same files."""
+    rows = [(k, f"text {k % 40}") for k in range(200)]
+    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string", parts=7)
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        kept = exact.drop_duplicates(docs)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "64")
+        spark.conf.set("spark.sql.files.minPartitionNum", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    finally:
+        for name in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+        if before:
+            spark.conf.set("spark.sql.files.minPartitionNum", before)
+
+
+def test_copies_count_against_the_budget():
+    records = [(k % 3, b"t%d" % (k % 3), k) for k in range(9000)]
+    found = [(table.contents[e], len(t)) for table, own in exact.grace(iter(records), budget=20_000) for e, t in enumerate(own)]
+    assert sorted(found) == [(b"t%d" % k, 3000) for k in range(3)]

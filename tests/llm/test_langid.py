@@ -88,3 +88,50 @@ def test_long_texts_are_labelled_in_parts(monkeypatch):
     monkeypatch.setattr(langid, "AT_ONCE", langid.CHAIN * 2)
     parts = langid.Labeller(chain).label([text, "x", None, " ".join(FRENCH)])
     assert [p[0] for p in parts] == [w[0] for w in whole] and np.allclose([p[1] for p in parts], [w[1] for w in whole])
+
+
+def plain_label(chain, text):
+    """Mean forward-backward probabilities of a text, block by block, with plain loops."""
+    words = langid.WORD.findall((text or "").lower())
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    k, total = len(chain.labels), [0.0] * len(chain.labels)
+    for first in range(0, len(words), langid.CHAIN):
+        block = words[first : first + langid.CHAIN]
+        gains = []
+        for word in block:
+            _, slots = langid.features([word], chain.lexicon)
+            scores = [float(sum(chain.weights[s, y] for s in slots)) for y in range(k)]
+            gains.append([np.exp(s - max(scores)) for s in scores])
+        ahead = []
+        for t, gain in enumerate(gains):
+            now = [gain[y] * (np.exp(chain.start[y]) if t == 0 else sum(ahead[-1][x] * np.exp(chain.moves[x, y]) for x in range(k))) for y in range(k)]
+            ahead.append([v / sum(now) for v in now])
+        back = [1.0] * k
+        for t in range(len(block) - 1, -1, -1):
+            both = [ahead[t][y] * back[y] for y in range(k)]
+            total = [a + b / sum(both) for a, b in zip(total, both, strict=True)]
+            if t:
+                back = [sum(np.exp(chain.moves[x, y]) * gains[t][y] * back[y] for y in range(k)) for x in range(k)]
+                back = [v / sum(back) for v in back]
+    mean = [v / len(words) for v in total]
+    best = int(np.argmax(mean))
+    return chain.labels[best], mean[best]
+
+
+def test_tables_are_labelled_as_by_plain_loops(spark, tmp_path):
+    chain = langid.train([(t, label) for _, t, label, *_ in corpus()])
+    assert chain.lexicon and set(chain.lexicon.values()) == {0, 1}
+    rows = [(k, " ".join(np.random.default_rng(k).choice(ENGLISH + FRENCH, 10 + 9 * k)), None, None, 0.0, None) for k in range(12)] + [(50, "été X1 y", None, None, 0.0, None), (51, "12 !", None, None, 0.0, None), (52, None, None, None, 0.0, None)]
+    for r in langid.identify(cases.frame(spark, tmp_path / "d", rows, SCHEMA), chain).collect():
+        label, score = plain_label(chain, r.text)
+        assert r.lang_pred == label and abs(r.score - score) < 1e-5
+
+
+def test_training_takes_whole_texts_and_one_row_per_id(spark, tmp_path):
+    late = " ".join(["zz"] * 300 + ["kwyjibo"] * 40)  # what tells the language comes late
+    rows = [(k, late if k % 2 else "zz " * 340, "xx" if k % 2 else "yy", "s", 0.0, "y") for k in range(60)]
+    once = langid.learn(cases.frame(spark, tmp_path / "a", rows, SCHEMA))
+    assert langid.Labeller(once).label(["kwyjibo kwyjibo"])[0][0] == "xx"
+    again = langid.learn(cases.frame(spark, tmp_path / "b", rows * 3, SCHEMA))
+    assert np.array_equal(once.weights, again.weights) and once.labels == again.labels

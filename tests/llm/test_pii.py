@@ -68,3 +68,81 @@ def test_very_many_matches_in_one_text(spark, tmp_path):
     docs = cases.frame(spark, tmp_path / "d", [(1, text)], "doc_id long, text string")
     row = pii.digests(pii.find(docs)).first()
     assert row.n_ip == 3000 and row.n_email == 3000 and row.base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+
+
+def plain_find(texts):
+    """Added spans of all texts by the same rules, with plain loops."""
+    found, graph = [], {}
+    for d, text in enumerate(texts):
+        base = [(int(s.split(":")[1]), pii.KINDS.index(s.split(":")[0]), int(s.split(":")[2])) for s in brute(text)]
+        base.sort(key=lambda b: (b[1], b[0]))
+        own = []
+        for m in re.finditer(r"(?<!\S)[^\s0-9]*[0-9]\S*", text):
+            before = re.sub(r"\s+", " ", text[: m.start()]).rstrip(" ").split(" ")[-2:]
+            before = "".join(w + " " for w in before if w).lower()
+            hits = [b for b in base if b[0] < m.end() and m.start() < b[2]]
+            if hits:
+                start, kind, end = hits[0]
+                if start < m.start():
+                    continue
+            else:
+                core = re.search(r"(?<![0-9A-Za-z_./+:@-])[A-Za-z_./+:@-]*[0-9][0-9A-Za-z_./+:@-]*", m[0])[0].strip("_./+:@-")
+                start = m.start() + m[0].index(core)
+                end = start + len(core)
+                kind = 4 if re.fullmatch(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}|AKIA[0-9A-Z]{16}", core) else None
+            lead = text[m.start() : start]
+            pattern = lead.lower() if any(c.isalpha() for c in lead) else before + lead
+            own.append((start, end, text[start:end], pattern, kind))
+            if pattern:
+                at = graph.setdefault((pattern, text[start:end]), None)
+                graph[pattern, text[start:end]] = kind if at is None else at if kind is None else max(at, kind)
+        found.append(own)
+    seeds = {}
+    for (_, value), kind in graph.items():
+        if kind is not None:
+            seeds[value] = max(kind, seeds.get(value, -1))
+    known, trusted = dict(seeds), {}
+    for turn in range(pii.ROUNDS):
+        after = {}
+        for pattern, value in graph:
+            after.setdefault(pattern, []).append(known.get(value))
+        trusted = {}
+        for pattern, kinds in after.items():
+            hits, kind = max((kinds.count(k), -k) for k in range(5))
+            if hits >= pii.SUPPORT and hits / len(kinds) >= pii.CONFIDENCE:
+                trusted[pattern] = (-kind, hits / len(kinds))
+        if turn + 1 < pii.ROUNDS:
+            scores = {}
+            for pattern, value in graph:
+                scores.setdefault(value, []).append(trusted.get(pattern))
+            known = {}
+            for value, marks in scores.items():
+                total, kind = max((sum(c for k0, c in filter(None, marks) if k0 == k), -k) for k in range(5))
+                if total / len(marks) >= pii.CONFIDENCE:
+                    known[value] = -kind
+            known |= seeds
+    out = []
+    for own in found:
+        spans = set()
+        for start, end, _, pattern, kind in own:
+            if kind is None and pattern in trusted:
+                spans.add((start, trusted[pattern][0], end))
+            elif kind == 4:
+                spans.add((start, 4, end))
+        out.append(sorted(spans))
+    return out
+
+
+def test_added_spans_match_plain_loops(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["red", "key", "id", "call", "at", "my", "code:", "12", "x9"])
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(18)) + "a1"
+    special = [lambda: f"token={secret()}", lambda: f'login "{secret()}"', lambda: f"ring me +1 (202) 555-{rng.randrange(1000, 9999)}", lambda: f"host is {rng.randrange(256)}.1.2.3", lambda: f"token=ZZ-{rng.randrange(99)}", lambda: f"ring me x{rng.randrange(9)}", lambda: f"AKIA{rng.randrange(10**15, 10**16)}"]
+    texts = [" ".join(rng.choice(special)() if rng.random() < 0.4 else word() for _ in range(14)) for _ in range(120)]
+    docs = cases.frame(spark, tmp_path / "d", list(enumerate(texts)), "doc_id long, text string")
+    want = plain_find(texts)
+    for r in pii.find(docs).collect():
+        assert sorted((x.start, x.kind, x.end) for x in r.found) == want[r.doc_id], texts[r.doc_id]
+    assert sum(map(len, want)) > 60

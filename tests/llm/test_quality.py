@@ -52,3 +52,48 @@ def test_lasso_reaches_the_optimum():
     slope = ((x - x.mean(0)) / scale).T @ (y - p) / len(y)
     assert all(abs(s) <= 0.02 + 1e-3 if abs(v) < 1e-8 else abs(abs(s) - 0.02) < 1e-3 for s, v in zip(slope, w, strict=True))
     assert w[0] > 1 and w[1] < -0.5
+
+
+def plain_statistics(text):
+    """The statistics of a text, letter by letter."""
+    import math
+    import unicodedata
+
+    text = text or ""
+    blanks = " \t\n\v\f\r"
+    words, word = [], ""
+    for c in text + " ":
+        if c in blanks:
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c
+    lines = [line for line in text.split("\n") if line]
+    n, n_words, n_lines = len(text), max(1, len(words)), max(1, len(lines))
+    count = lambda test: sum(map(test, text)) / max(1, n)
+    return {
+        "log_chars": math.log1p(n), "log_words": math.log1p(len(words)), "word_length": n / n_words, "distinct_words": len(set(words)) / n_words,
+        "letters": count(lambda c: unicodedata.category(c).startswith("L")), "capitals": count(lambda c: unicodedata.category(c) == "Lu"), "digits": count(lambda c: c in "0123456789"),
+        "marks": count(lambda c: c in "!#$%&*+<=>?@^_~\\"), "pipes": count(lambda c: c == "|"), "long_words": sum(len(w) > 15 for w in words) / n_words,
+        "repeated_pairs": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n_words, "lines": len(lines) / n_words, "distinct_lines": len(set(lines)) / n_lines,
+        "ended_lines": sum(line[-1] in ".!?" for line in lines) / n_lines, "closings": sum(c in ".,;:" for c in text) / n_words,
+    }
+
+
+def test_statistics_match_a_plain_count(spark, tmp_path):
+    extra = ["a a a b.\nb\n\nc!", "  \t x|y|| \n#tag <b> ~ ^ \\", "É漢字 ÜBER Straße a" + "b" * 20, "\n\n", "x. \ny.", "1 2 3,;: 4?"]
+    rows = [*cases.documents(), *((700 + k, t, "en", "s", 1, 0.0, "x", 1, "y", 0.0, 1) for k, t in enumerate(extra))]
+    docs = cases.frame(spark, tmp_path / "d", rows)
+    for r in quality.with_statistics(docs).select("text", "statistics").collect():
+        want = plain_statistics(r.text)
+        assert list(want) == list(quality.STATS)
+        for name, value in want.items():
+            assert abs(r.statistics[name] - value) < 1e-9, (name, (r.text or "")[:60])
+
+
+def test_repeated_rows_count_once(spark, tmp_path):
+    rows = [(k, cases.prose(k, 40) if k % 2 else "junk " * 40) for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    once = quality.learn(cases.frame(spark, tmp_path / "a", rows, "doc_id long, text string"), labels)
+    many = quality.learn(cases.frame(spark, tmp_path / "b", rows * 3 + rows[:40], "doc_id long, text string"), labels.union(labels))
+    assert (once.intercept, once.rules) == (many.intercept, many.rules)

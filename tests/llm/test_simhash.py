@@ -158,3 +158,18 @@ def test_isolated_pairs_of_eight_tenths_are_found(spark, tmp_path):
     docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_a_hub_with_low_and_high_neighbours(spark):
+    hub = 5000
+    links = [(hub, k) for k in range(1, 3000)] + [(hub, 6000 + k) for k in range(3000)] + [(100_000, 100_001)]
+    df = spark.createDataFrame(links, "a long, b long")
+    names = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, "-1" if name.endswith("Threshold") else "4k")
+        got = {r.node: r.component for r in connected_components(df, "a", "b").collect()}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert got == {n: 1 for pair in links[:-1] for n in pair} | {100_000: 100_000, 100_001: 100_000}

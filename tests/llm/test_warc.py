@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zipfile
 
@@ -83,3 +84,26 @@ def test_damage_is_reported(tmp_path):
     (tmp_path / "n").write_bytes(b"nothing")
     with pytest.raises(ValueError, match="end record"):
         list(warc.records(str(tmp_path / "n")))
+
+
+def test_payloads_longer_than_a_range(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 2000)
+    writer = warc.PackageWriter(f"file://{tmp_path}/x")
+    payloads = [random.Random(k).randbytes(n) for k, n in enumerate((10, 9000, 0, 1500, 700, 30_000))]
+    for k, payload in enumerate(payloads):
+        writer.add(warc.record(k, None, payload, None), {"id": k})
+    uri, _, _ = writer.close()
+    assert [r.payload for r in warc.records(uri)] == payloads
+
+
+def test_packages_are_read_one_per_task_and_removed(spark, tmp_path, monkeypatch):
+    pages = cases.frame(spark, tmp_path / "p", [(k, "u", f"page {k} " * 40, "s", 1) for k in range(60)], SCHEMA)
+    manifest = warc.write_packages(pages, f"file://{tmp_path}/w", package_bytes=300)
+    read = warc.read_packages(manifest)
+    assert manifest.count() > 10 and read.rdd.getNumPartitions() == manifest.count()
+    folders = []
+    path = warc.scratch_path
+    monkeypatch.setattr(warc, "scratch_path", lambda s, n: folders.append(path(s, n)) or folders[-1])
+    out = warc.round_trip(spark, pages, ("page_id", "record_type"))
+    assert out.columns == ["page_id", "record_type"] and out.count() == 60
+    assert len(folders) == 1 and not os.path.exists(folders[0].removeprefix("file://"))
