@@ -108,3 +108,22 @@ def test_queries_return_the_contract(spark, tmp_path, key):
     assert out.columns[: len(COLUMNS[key].split())] == COLUMNS[key].split()
     n = out.count()
     assert n == {"op6": 3}.get(key, len(rows)) if key != "op4" else n >= len(rows)
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, and columns that the operators name themselves."""
+    cases.frame(spark, tmp_path / "benchmark.parquet", [(1, cases.prose(3, 3)), (None, None)], "item_id long, text string", 1)
+    docs = cases.frame(spark, tmp_path / "d")
+    rows = cases.documents()
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {name: stages[name](spark, docs, f"file://{tmp_path}") for name in list(stages)[:-1]}
+    for name, out in kept.items():
+        assert out.schema == docs.schema, name
+        assert set(map(str, out.collect())) <= set(map(str, docs.collect()))
+    texts = [r.text for r in kept["language_id"].collect()]
+    assert all(any(c.isalpha() for c in t or "") for t in texts) and len(texts) == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
+    assert kept["exact_dedup"].count() == len({" ".join((r[1] or "").split()) + "|" * bool((r[1] or "") and not (r[1] or "").strip()) for r in rows})
+    near = [r.doc_id for r in kept["near_dedup"].collect()]
+    assert near.count(14) == 2 and near.count(None) == 2 and 10 not in near and 11 not in near and 9 in near
+    assert sorted(r.doc_id for r in kept["decontamination"].collect() if r.doc_id is not None) == sorted(r[0] for r in rows if r[0] is not None and not passages(r[1], [(1, cases.prose(3, 3))])[-1])
+    assert stages["packing"](spark, docs, f"file://{tmp_path}").agg({"length": "sum"}).first()[0] > 40_000
