@@ -6,7 +6,7 @@ import importlib
 
 from lodestar.plans import registry
 
-MODULES = ("text_queries", "knowledge_queries", "graph_queries", "event_queries", "vector_queries", "dataset_queries", "matching_queries", "relational_queries", "streaming_queries", "review_queries", "evidence_queries", "assertion_queries", "training_queries")
+MODULES = ("text_queries", "knowledge_queries", "graph_queries", "event_queries", "vector_queries", "dataset_queries", "matching_queries", "relational_queries", "streaming_queries", "review_queries", "evidence_queries", "assertion_queries", "training_queries", "pipeline_queries")
 
 
 def _load() -> None:

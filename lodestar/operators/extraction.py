@@ -49,6 +49,65 @@ def repair_json(texts: pd.Series) -> pd.Series:
     return pd.Series([repaired(t) for t in texts], dtype=object)
 
 
+def compacted(value):
+    """A JSON value without nulls, blank strings and what is empty after that, at any depth of its objects; lists lose their empty items."""
+    if isinstance(value, dict):
+        inner = {k: compacted(v) for k, v in value.items()}
+        return {k: v for k, v in inner.items() if v not in (None, "", [], {})}
+    if isinstance(value, list):
+        return [v for v in value if v not in (None, "", [], {})]
+    return value
+
+
+def as_text(value) -> str:
+    """A JSON value as text: strings stripped, lists joined by "; ", objects by their text-like field or as name: value."""
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return value.strip()
+    if isinstance(value, list):
+        return "; ".join(t for t in map(as_text, value) if t)
+    if isinstance(value, dict):
+        for name in ("text", "label", "name", "value", "title"):
+            if name in value:
+                return as_text(value[name])
+        return "; ".join(f"{k}: {t}" for k, v in value.items() if (t := as_text(v)))
+    return str(value)
+
+
+def _over_json(function):
+    @pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            try:
+                out.append(function(json.loads(text)) if text is not None else None)
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+#: JSON columns, in Arrow batches: nesting has no depth that an expression could follow.
+compact_json = _over_json(lambda value: json.dumps(compacted(value), ensure_ascii=False, sort_keys=True))
+text_of_json = _over_json(as_text)
+
+
+@pandas_udf(StringType())
+def ascii_slug(texts: pd.Series) -> pd.Series:
+    """Lower case, accents off, runs of other letters one hyphen; "item" if nothing is left."""
+    import unicodedata
+
+    def one(text: str | None) -> str:
+        plain = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
+        return re.sub(r"[^a-z0-9]+", "-", plain).strip("-") or "item"
+
+    return texts.map(one)
+
+
 def train_scorer(rows: DataFrame, features: list[str], label: str, epochs: int = 500, rate: float = 0.01, l2: float = 0.01, most: int = 100_000) -> tuple[float, list[float]]:
     """Bias and weights of a class-balanced logistic regression by full-batch gradient descent on the driver.
 

@@ -354,3 +354,27 @@ def importance(edges: DataFrame, sources: DataFrame, labels: DataFrame) -> DataF
     out = rows.crossJoin(F.broadcast(most)).select("src", "dst", *(t.alias(k) for k, t in terms.items()))
     score = reduce(lambda a, b: a + b, (w * F.col(k) for k, w in IMPORTANCE.items()))
     return out.withColumn("importance", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+
+
+def answer(question: str, labels: dict[str, DataFrame], edges: DataFrame, limit: int = 20) -> DataFrame:
+    """The few questions that a graph store without a query language answers: a count per label, or one of three analyses of ``edges``.
+
+    ``count <Label>``, ``pagerank``, ``degree`` and ``components``; anything else is an error.
+    """
+    words = question.strip().split()
+    if len(words) == 2 and words[0].lower() == "count" and words[1] in labels:
+        return labels[words[1]].agg(F.lit(words[1]).alias("name"), F.count(F.lit(1)).cast("double").alias("value"))
+    if [w.lower() for w in words] == ["pagerank"]:
+        return pagerank(edges).orderBy(F.desc("rank"), "node").limit(limit).select(F.col("node").cast("string").alias("name"), F.col("rank").alias("value"))
+    if [w.lower() for w in words] == ["degree"]:
+        return degree_centrality(edges).orderBy(F.desc("centrality"), "node").limit(limit).select(F.col("node").cast("string").alias("name"), F.col("centrality").alias("value"))
+    if [w.lower() for w in words] == ["components"]:
+        return components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(limit).select(F.col("component").cast("string").alias("name"), F.col("n").cast("double").alias("value"))
+    raise ValueError(f"unknown question: {question}")
+
+
+def top_nodes(scores: DataFrame, column: str, k: int = 20) -> DataFrame:
+    """(place, node, score): the k nodes of the largest value, ties to the smaller node."""
+    best = scores.orderBy(F.desc(column), "node").limit(k)
+    place = F.row_number().over(W.orderBy(F.desc("score"), "node"))  # over k rows
+    return best.select("node", F.col(column).alias("score")).withColumn("place", place).select("place", "node", "score")

@@ -161,3 +161,35 @@ def citations(rows: DataFrame, key: str, most: int = 6, letters: int = 220) -> D
     once = rows.groupBy(key, "source_id", "snippet").agg(F.min(F.struct("priority", "pos")).alias("at"))
     placed = once.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("at", "source_id"))).where(F.col("place") <= most)
     return placed.select(key, "place", "source_id", F.substring("snippet", 1, letters).alias("snippet"))
+
+
+def ranked_records(rows: DataFrame, neighbours: DataFrame, matches: DataFrame, analyses: DataFrame, evidence: DataFrame, overrides: DataFrame, k: int) -> DataFrame:
+    """The k candidates of the best final score, with its parts.
+
+    ``rows``: key, score, prediction (null without one), time_scope.
+    ``neighbours``: key, rank, strength; the mean of the first six counts.
+    ``matches`` and ``analyses``: key, a row per matched triplet and per look at
+    a picture; 0.2 and 0.15 each, 1 at most.  ``evidence``: key, place,
+    source_id; ``overrides``: source_id, pos, weight, the last of one id counts,
+    for the first ten citations whose id has a bar.
+    """
+    near = neighbours.where("rank <= 6").groupBy("key").agg(F.avg("strength").alias("retrieval"))
+    seen = matches.groupBy("key").agg(F.count(F.lit(1)).alias("n_matches")).join(analyses.groupBy("key").agg(F.count(F.lit(1)).alias("n_looks")), "key", "full_outer")
+    weights = overrides.groupBy("source_id").agg(F.max_by("weight", "pos").alias("weight"))
+    cited = evidence.join(weights, "source_id", "left")
+    counted = (F.col("place") <= 10) & F.contains(F.col("source_id"), F.lit("|"))
+    backed = cited.groupBy("key").agg(F.count(F.lit(1)).alias("n_evidence"), F.sum(F.when(counted, F.col("weight"))).alias("expert"))
+    out = rows.join(near, "key", "left").join(seen, "key", "left").join(backed, "key", "left").na.fill(0.0, ["retrieval", "prediction", "expert"]).na.fill(0, ["n_matches", "n_looks", "n_evidence"])
+    multimodal = F.least(F.lit(1.0), 0.2 * F.col("n_matches") + 0.15 * F.col("n_looks"))
+    has_time = F.coalesce(F.trim("time_scope") != "", F.lit(False))
+    out = out.withColumns({"multimodal": multimodal, "reward": reward(has_time, F.col("n_evidence"), F.col("expert"))})
+    total = final_score(F.col("score"), F.col("prediction"), F.col("multimodal"), F.col("retrieval"), F.col("reward"))
+    return out.withColumn("final_score", total).orderBy(F.desc("final_score"), "key").limit(k).select("key", "score", "prediction", "multimodal", "retrieval", "reward", "final_score")
+
+
+def first_answer(*predictions: DataFrame) -> DataFrame:
+    """The first of several prediction tables that has a row, with backend, its place: what a chain of fallbacks gives."""
+    for place, rows in enumerate(predictions):
+        if not rows.isEmpty():
+            return rows.withColumn("backend", F.lit(place))
+    return predictions[-1].withColumn("backend", F.lit(len(predictions) - 1))

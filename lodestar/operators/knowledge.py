@@ -175,3 +175,62 @@ def assertion_scores(edges: DataFrame, weights: tuple = SCORER_WEIGHTS, bias: fl
     for k, w in enumerate(weights):
         margin = margin + w * F.col(f"f{k}")
     return out.withColumn("quality_score", sigmoid(margin))
+
+
+def triplet_edges(triplets: DataFrame) -> DataFrame:
+    """One row per (subject, predicate, object): counts, confidence, polarity, papers, evidence and intervals.
+
+    ``triplets``: paper_id, seq, subject, predicate, object, confidence,
+    polarity, year, start, end, granularity, time_source, quote.  Names and
+    predicates are normalised.  A triplet without a year gives no edge; its
+    terms still count as nodes (:func:`triplet_terms`).
+
+    Years and polarities are counted before they are gathered, so that only
+    different ones of a hot edge reach its row.
+    """
+    keys = ["subject", "predicate", "object"]
+    own = triplets.where(F.col("year").isNotNull()).withColumns({k: T.norm(k) for k in keys})
+    yearly = own.groupBy(*keys, "year").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("total_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "n")))).alias("yearly_count"))
+    sums = own.groupBy(*keys).agg(F.avg("confidence").alias("mean_confidence"), *(F.count_if(F.coalesce("polarity", F.lit("unknown")) == p).alias(p) for p in ("supports", "contradicts", "unknown")), F.count_if(F.trim("quote") != "").alias("evidence_count"))
+    papers = own.select(*keys, "paper_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("papers"), F.min("paper_id").alias("first_paper"))
+    return yearly.join(sums, keys).join(papers, keys).withColumn("mean_confidence", F.coalesce("mean_confidence", F.lit(0.0)))
+
+
+def triplet_terms(triplets: DataFrame) -> DataFrame:
+    """(paper_id, term): the different ends of a paper's triplets."""
+    return triplets.select("paper_id", F.explode(F.array(T.norm("subject"), T.norm("object"))).alias("term")).where("term <> ''").distinct()
+
+
+def scored_triplet_edges(edges: DataFrame, terms: DataFrame, recent: int = 3) -> DataFrame:
+    """Edges of :func:`triplet_edges` with pmi, trend, log_count and the linear score, as :func:`scored_edges` gives co-occurrences."""
+    corpus = terms.agg(F.greatest(F.lit(1), F.countDistinct("paper_id")).alias("n_docs"))
+    years = edges.select(F.explode(F.map_keys("yearly_count")).alias("y")).agg(F.max("y").alias("max_year"), F.greatest(F.countDistinct("y"), F.lit(1)).alias("n_years"))
+    freq = node_frequency(terms)
+    out = edges.join(freq.select(F.col("term").alias("subject"), F.col("doc_freq").alias("du")), "subject").join(freq.select(F.col("term").alias("object"), F.col("doc_freq").alias("dv")), "object").crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(years))
+    late = F.aggregate(F.map_entries("yearly_count"), F.lit(0).cast("long"), lambda n, e: n + F.when(e["key"] > F.col("max_year") - recent, e["value"]).otherwise(0))
+    pmi = F.log(F.col("papers") * F.col("n_docs") / (F.col("du") * F.col("dv")) + 1e-9)
+    trend = late / F.greatest("total_count", F.lit(1)) - F.lit(float(recent)) / F.col("n_years")
+    out = out.withColumns({"pmi": pmi, "trend": trend, "log_count": F.log1p("total_count")}).drop("n_docs", "max_year", "n_years")
+    return out.withColumn("score", linear_score(F.col("log_count"), F.col("pmi"), F.col("trend"), F.col("mean_confidence"), F.lit(0.0)))
+
+
+def anchored(triplets: DataFrame, lift: float = 0.15) -> DataFrame:
+    """Triplets of a paper's summary with their confidence lifted, 1 at most."""
+    return triplets.withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + lift))
+
+
+def first_chunks(chunks: DataFrame, most: int = 16) -> DataFrame:
+    """The first ``most`` chunks (paper_id, pos) of each paper, those that triplets are drawn from."""
+    return chunks.withColumn("__k", F.row_number().over(W.partitionBy("paper_id").orderBy("pos"))).where(F.col("__k") <= most).drop("__k")
+
+
+def event_rows(edges: DataFrame) -> DataFrame:
+    """(subject, predicate, object, year, copy, weight, confidence, polarity, paper_id): each edge and year as many times as it was counted, weighing its count.
+
+    The polarity is the commonest, supports first; a confidence of 0 counts 0.6;
+    the paper is the first of the edge.
+    """
+    polarity = F.when((F.col("supports") >= F.col("contradicts")) & (F.col("supports") >= F.col("unknown")), "supports").when(F.col("contradicts") >= F.col("unknown"), "contradicts").otherwise("unknown")
+    confidence = F.when(F.col("mean_confidence") == 0, 0.6).otherwise(F.col("mean_confidence"))
+    years = edges.select("subject", "predicate", "object", confidence.alias("confidence"), polarity.alias("polarity"), F.col("first_paper").alias("paper_id"), F.explode(F.map_entries("yearly_count")).alias("y"))
+    return years.select("subject", "predicate", "object", F.col("y.key").alias("year"), F.explode(F.sequence(F.lit(1), F.col("y.value").cast("int"))).alias("copy"), F.col("y.value").cast("double").alias("weight"), "confidence", "polarity", "paper_id")

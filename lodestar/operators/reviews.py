@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.functions import text as T
 from lodestar.operators.events import bitemporal, verdict_weight
 from lodestar.operators.order import running
 
@@ -224,3 +225,34 @@ def hypothesis_demos(reviews: DataFrame) -> DataFrame:
     name = F.substring(F.sha1(F.concat_ws("|", F.lit("hypothesis_test"), *(F.coalesce(c, F.lit("")) for c in ("domain", "hypothesis_id", "path")))), 1, 16)
     summary = F.coalesce(_blank(F.col("suggested_revision")), _blank(major), F.lit("Needs revision"))
     return reviews.select(name.alias("id"), F.when(accept, "gold").otherwise("silver").alias("quality"), F.trim(F.concat_ws("\n", *parts)).alias("hypothesis_text"), F.when(accept, "supported").otherwise("needs_revision").alias("verdict"), summary.alias("summary"), F.when(accept, 6).otherwise(5).alias("confidence"))
+
+
+def review_variants(rows: DataFrame, system: str, label: str, most: int = 5) -> DataFrame:
+    """(rank, signature, variant): ranked hypotheses as one side of a review sees them.
+
+    ``rows``: rank, source, predicate, target, title, premise, mechanism,
+    time_scope, final_score, evidence (an array of source_id and snippet, of
+    which the first ``most`` different ones stay), first_seen, last_seen,
+    ordering.
+    """
+    signature = F.concat_ws("|", *(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " ")) for c in ("source", "predicate", "target")))
+    cited = F.slice(F.array_distinct(F.filter(F.coalesce("evidence", F.array().cast(dict(rows.dtypes)["evidence"])), lambda e: _blank(e["snippet"]).isNotNull())), 1, most)
+    seen = F.when(F.col("first_seen").isNotNull(), F.concat_ws(" ", F.col("ordering"), F.concat(F.col("first_seen").cast("string"), F.lit("-"), F.col("last_seen").cast("string")))).otherwise(F.coalesce("ordering", F.lit("")))
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
+    variant = F.struct(F.lit(system).alias("system_id"), F.lit(label).alias("display_label"), *map(text, ("title", "premise", "mechanism", "time_scope")), F.round("final_score", 4).alias("score"), cited.alias("supporting_evidence"), seen.alias("temporal_summary"))
+    return rows.select("rank", signature.alias("signature"), variant.alias("variant"))
+
+
+def payloads(rows: DataFrame, key: str) -> DataFrame:
+    """(key, payload): rows as JSON without what is null in them, and :func:`records` the other way."""
+    return rows.select(key, F.to_json(F.struct(*(c for c in rows.columns if c != key))).alias("payload"))
+
+
+def records(rows: DataFrame, key: str, schema: str) -> DataFrame:
+    """Payloads of :func:`payloads` as rows again."""
+    return rows.select(key, F.from_json("payload", schema).alias("r")).select(key, "r.*")
+
+
+def keywords(text: Column, k: int = 10) -> Column:
+    """The first ``k`` different tokens of a text."""
+    return F.slice(F.array_distinct(T.tokens(text)), 1, k)

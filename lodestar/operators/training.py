@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestar.functions import text as T
 from lodestar.operators.datasets import hardness
@@ -164,3 +165,112 @@ def cost_estimates(scenarios: DataFrame) -> DataFrame:
     cost = F.round(F.col("hours") * F.col("price"), 2)
     total = F.round(F.col("hours") * F.col("price") + F.col("reserve"), 2)
     return scenarios.withColumns({"compute_cost": cost, "total": total, "remaining": F.round(F.col("budget") - total, 2), "safe_hours": F.round(F.greatest(F.lit(0.0), F.col("budget") - F.col("reserve")) / F.col("price"), 2), "fits": total <= F.col("budget")})
+
+
+# -- records from corrections -------------------------------------------------------
+
+FIXED = ("subject", "predicate", "object", "start_date", "end_date")
+SYSTEM = {
+    "graph_repair": "Mend assertions of a scientific graph by an expert's review. Answer with JSON alone.",
+    "temporal_fix": "Mend the time of scientific assertions. Answer with JSON alone.",
+    "mm_caption_fix": "Revise what is said of scientific figures by an expert's review.",
+}
+
+
+def _corrected(assertions: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The fields of reviewed assertions as they were and as corrected."""
+    old = {k: F.coalesce(_blank(F.col(k)), F.lit("unknown") if k.endswith("_date") else F.lit(None)) for k in FIXED}
+    new = {k: F.coalesce(_blank(F.col(f"corrected_{k}")), _blank(F.col("corrected_time_interval")) if k == "start_date" else F.lit(None), old[k]) for k in FIXED}
+    return old, new
+
+
+def _chat(task: str, user: Column, answer: Column) -> Column:
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.array(said("system", F.lit(SYSTEM[task])), said("user", user), said("assistant", answer))
+
+
+def _numbered(rows: DataFrame, name: str) -> Column:
+    return F.concat_ws(":", F.lit(name), F.col("source_id").cast("string"), F.col("pos").cast("string"))
+
+
+def repair_records(assertions: DataFrame) -> DataFrame:
+    """(id, task_family, messages): a supervised record of every reviewed assertion with a field that is known after the review.
+
+    ``assertions``: source_id, pos, the five fields, their corrected_ forms,
+    corrected_time_interval, verdict, rationale, evidence (JSON).
+    """
+    old, new = _corrected(assertions)
+    given = F.lit(False)
+    for k in FIXED:
+        value = F.coalesce(_blank(F.col(f"corrected_{k}")), _blank(F.col("corrected_time_interval")) if k == "start_date" else F.lit(None), _blank(F.col(k)) if k.endswith("_date") else F.lit(None))
+        given = given | F.coalesce(value != "unknown", F.lit(False))
+    user = F.concat(F.lit("Assertion: "), _object(**old), F.lit("\nEvidence: "), F.coalesce("evidence", F.lit("{}")), F.lit("\nVerdict: "), F.coalesce("verdict", F.lit("")), F.lit("\nRationale: "), F.coalesce("rationale", F.lit("")))
+    return assertions.where(given).select(_numbered(assertions, "graph_repair").alias("id"), F.lit("graph_repair").alias("task_family"), _chat("graph_repair", user, _object(**new)).alias("messages"))
+
+
+def repair_pairs(assertions: DataFrame) -> DataFrame:
+    """(id, task_family, chosen, rejected): a preference pair of every reviewed assertion with a corrected field, corrected against given."""
+    old, new = _corrected(assertions)
+    fixed = F.coalesce(*(_blank(F.col(f"corrected_{k}")) for k in FIXED), _blank(F.col("corrected_time_interval"))).isNotNull()
+    return assertions.where(fixed).select(_numbered(assertions, "graph_pref").alias("id"), F.lit("graph_repair_preference").alias("task_family"), _object(**new).alias("chosen"), _object(**old).alias("rejected"))
+
+
+def time_records(corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Supervised records (id, task_family, messages) and preference pairs (id, task_family, chosen, rejected) of corrected times.
+
+    ``corrections``: source_id, pos, assertion_id, rationale, original and
+    corrected, JSON objects.  A pair needs both, a record the corrected one.
+    """
+    new, old = _blank(F.col("corrected")), _blank(F.col("original"))
+    user = F.concat(F.lit("Assertion: "), F.coalesce("assertion_id", F.lit("")), F.lit("\nTime: "), F.coalesce(old, F.lit('{"granularity":"unknown"}')), F.lit("\nRationale: "), F.coalesce("rationale", F.lit("")))
+    own = corrections.where(new.isNotNull())
+    records = own.select(_numbered(own, "temporal_fix").alias("id"), F.lit("temporal_fix").alias("task_family"), _chat("temporal_fix", user, new).alias("messages"))
+    pairs = own.where(old.isNotNull()).select(_numbered(own, "temporal_pref").alias("id"), F.lit("temporal_preference").alias("task_family"), new.alias("chosen"), old.alias("rejected"))
+    return records, pairs
+
+
+def caption_records(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Supervised records and preference pairs of revised captions, as :func:`time_records`.
+
+    ``items``: source_id, pos, page, verdict, rationale, original, corrected.  A
+    caption that did not change gives no pair.
+    """
+    new, old = _blank(F.col("corrected")), _blank(F.col("original"))
+    user = F.concat(F.lit("Page: "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("\nCaption: "), F.coalesce(old, F.lit("unknown")), F.lit("\nVerdict: "), F.coalesce("verdict", F.lit("")), F.lit("\nRationale: "), F.coalesce("rationale", F.lit("")))
+    own = items.where(new.isNotNull())
+    records = own.select(_numbered(own, "mm_review").alias("id"), F.lit("mm_caption_fix").alias("task_family"), _chat("mm_caption_fix", user, new).alias("messages"))
+    pairs = own.where(old.isNotNull() & (old != new)).select(_numbered(own, "mm_pref").alias("id"), F.lit("mm_caption_preference").alias("task_family"), new.alias("chosen"), old.alias("rejected"))
+    return records, pairs
+
+
+def step_samples(steps: DataFrame) -> DataFrame:
+    """(doc, pos, messages): a record of every step of a trajectory, with the steps before it as context and its inference as the answer.
+
+    ``steps``: doc, pos, claim, inference.  Steps without an inference are
+    context only.
+    """
+    before = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "claim")).over(before)), lambda x: F.concat(F.lit("- "), F.coalesce(x["claim"], F.lit("")))), "\n")
+    user = F.concat(F.lit("Earlier steps:\n"), context, F.lit("\nClaim: "), F.coalesce("claim", F.lit("")))
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    rows = steps.select("doc", "pos", F.array(said("user", user), said("assistant", F.col("inference"))).alias("messages"), _blank(F.col("inference")).isNotNull().alias("__ok"))
+    return rows.where("__ok").drop("__ok")
+
+
+def verdict_samples(assertions: DataFrame, verdicts: tuple[str, ...] = ("accepted", "rejected", "needs_time_fix", "needs_evidence_fix")) -> DataFrame:
+    """(doc, pos, prompt, expected_verdict): reinforcement rows of the assertions whose expert verdict is one of these."""
+    own = assertions.where(F.lower(F.trim("verdict")).isin(*verdicts))
+    return own.select("doc", "pos", F.to_json(F.struct("subject", "predicate", "object")).alias("prompt"), F.lower(F.trim("verdict")).alias("expected_verdict"))
+
+
+def mixed_images(messages: Column) -> Column:
+    """The images of chat messages (role, content blocks of type, text, image), in order, as one array."""
+    return F.filter(F.flatten(F.transform(messages, lambda m: F.transform(m["content"], lambda b: F.when(b["type"] == "image", b["image"])))), lambda x: x.isNotNull())
+
+
+def collected_refs(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, pos, ref): the references in several columns and arrays of a row, each once, in the order of the columns."""
+    kinds = dict(rows.dtypes)
+    parts = [F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("string")) for c in columns]
+    refs = F.array_distinct(F.filter(F.transform(F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts))), lambda r: F.trim(r)), lambda r: r != ""))
+    return rows.select(key, F.posexplode(refs).alias("pos", "ref"))

@@ -133,17 +133,25 @@ def time_of(sentence: Column, year: Column) -> Column:
 
 
 def _matches(sentence: Column) -> Column:
-    """(subject, verb, object, polarity, confidence) of every relation of a sentence, by rule, then place."""
+    """(subject, verb, object, polarity, confidence) of every relation of a sentence, by rule, then place.
+
+    A sentence is searched for a relation only if it has one of its verbs, and
+    the parts are taken from what was found.
+    """
     found = []
     for lead, verbs, polarity, confidence in RELATIONS:
-        pattern = F.lit(rf"(?i){SIDE}\s+{lead}({verbs})\s+{SIDE}(?:[.,;:]|$)")
-        sides = [F.regexp_extract_all(sentence, pattern, F.lit(k)) for k in (1, 2, 3)]
-        found.append(_tagged(F.arrays_zip(*sides), polarity, confidence))
+        pattern = rf"(?i){SIDE}\s+{lead}({verbs})\s+{SIDE}(?:[.,;:]|$)"
+        whole = F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
+        found.append(F.when(sentence.rlike(rf"(?i)\s(?:{verbs})\s"), _parts(whole, pattern, polarity, confidence)).otherwise(F.expr(f"CAST(array() AS array<{MATCH}>)")))
     return F.concat(*found)
 
 
-def _tagged(zipped: Column, polarity: str, confidence: float) -> Column:
-    return F.transform(zipped, lambda x: F.struct(x["0"].alias("subject"), x["1"].alias("verb"), x["2"].alias("object"), F.lit(polarity).alias("polarity"), F.lit(confidence).alias("confidence")))
+MATCH = "struct<subject:string,verb:string,object:string,polarity:string,confidence:double>"
+
+
+def _parts(whole: Column, pattern: str, polarity: str, confidence: float) -> Column:
+    part = lambda m, k: F.regexp_extract(m, pattern, k)
+    return F.transform(whole, lambda m: F.struct(part(m, 1).alias("subject"), part(m, 2).alias("verb"), part(m, 3).alias("object"), F.lit(polarity).alias("polarity"), F.lit(confidence).alias("confidence")))
 
 
 def chosen(found: DataFrame, key: str, most: int = KEPT) -> DataFrame:

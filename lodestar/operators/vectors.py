@@ -209,3 +209,27 @@ def blake_vectors(rows: DataFrame, key: str, tokens: str, dim: int = 384, signed
         return _blake_slots(words, dim, signed)
 
     return rows.select(key, slots(tokens).alias("embedding"))
+
+
+def write_index(vectors: DataFrame, path: str, metric: str = "cosine") -> None:
+    """An index of (vec_id, embedding, payload) below ``path``: the vectors, cut or filled to one length, and one row of metadata."""
+    spark = vectors.sparkSession
+    dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    own = vectors.withColumn("embedding", F.slice(F.concat(F.transform("embedding", lambda x: F.coalesce(x.cast("float"), F.lit(0.0).cast("float"))), F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, max(dim, 1)))
+    own.write.mode("overwrite").parquet(f"{path}/vectors")
+    spark.createDataFrame([(metric, dim, vectors.count())], "metric string, dim int, items long").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def search_index(spark, path: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank, payload): the k nearest items of an index for each query vector (vec_id, embedding)."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    vectors = spark.read.parquet(f"{path}/vectors")
+    found = nearest(vectors, queries, k, meta.metric)
+    return found.join(vectors.select("vec_id", "payload"), "vec_id").select("query_id", "vec_id", "score", "rank", "payload")
+
+
+def filtered_search(hits: DataFrame, kinds: DataFrame, kind: str, k: int) -> DataFrame:
+    """Of the 2k nearest of each query those of one kind, k at most, so that there may be fewer; ``kinds``: vec_id, kind."""
+    kept = hits.where(F.col("rank") <= 2 * k).join(kinds.where(F.col("kind") == kind).select("vec_id"), "vec_id", "left_semi")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    return kept.withColumn("place", place).where(F.col("place") <= k)

@@ -6,17 +6,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestar.functions import keys as K
-from lodestar.operators import datasets as D
 from lodestar.operators import resolution as S
 from lodestar.operators import rewards as W
 from lodestar.operators import training as N
 from lodestar.operators import validators as V
 from lodestar.plans.registry import query, table
 from lodestar.sources import papers as P
-from lodestar.sources import sinks as K2
+from lodestar.sources import sinks as K
 
 FAMILIES = ("assertion_review_rl", "mm_review_rl", "temporal_fix_rl", "trajectory_reasoning_rl", "image_label_rl")
 
@@ -351,18 +348,18 @@ def _triplets(spark, sf_dir):
 
 @query("strongest_edges", "SELECT 'u' || user_id AS subject, event_type AS predicate, 'k' || json_extract_string(props, '$.k') AS object, max(value) / 100 AS confidence FROM events GROUP BY 1, 2, 3")
 def strongest_edges(spark, sf_dir):
-    return K2.strongest(_triplets(spark, sf_dir))
+    return K.strongest(_triplets(spark, sf_dir))
 
 
 @query("entity_mentions", "SELECT DISTINCT 'p' || (event_id % 50) AS paper, e AS entity FROM (SELECT event_id, unnest(['u' || user_id, 'k' || json_extract_string(props, '$.k')]) AS e FROM events)")
 def entity_mentions(spark, sf_dir):
-    return K2.mentions(_triplets(spark, sf_dir), "paper")
+    return K.mentions(_triplets(spark, sf_dir), "paper")
 
 
 @query("property_graph", """WITH t AS (SELECT DISTINCT 'p' || (event_id % 50) AS paper, 'u' || user_id AS s, event_type AS p, 'k' || json_extract_string(props, '$.k') AS o FROM events) SELECT label, n FROM (SELECT 'Assertion' AS label, count(*) AS n FROM t UNION ALL SELECT 'Entity', (SELECT count(*) FROM (SELECT s FROM t UNION SELECT o FROM t)) UNION ALL SELECT 'Paper', (SELECT count(DISTINCT paper) FROM t) UNION ALL SELECT 'MENTIONS', (SELECT count(*) FROM (SELECT paper, s FROM t UNION SELECT paper, o FROM t)) UNION ALL SELECT 'SUBJECT', count(*) FROM t UNION ALL SELECT 'OBJECT', count(*) FROM t)""")
 def property_graph(spark, sf_dir):
     """Rows per label and relationship."""
-    tables = K2.property_graph(_triplets(spark, sf_dir), "paper")
+    tables = K.property_graph(_triplets(spark, sf_dir), "paper")
     return reduce(DataFrame.union, (t.agg(F.lit(name).alias("label"), F.count(F.lit(1)).alias("n")) for name, t in tables.items()))
 
 
@@ -371,12 +368,12 @@ def shown_edges(spark, sf_dir):
     """What a presentation shows of each user's events: fifty papers in order, ten quotes, twenty intervals."""
     paper = F.concat(F.lit("p"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"))
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(paper).alias("papers"), F.collect_list("event_type").alias("evidence_quotes"), F.collect_list(F.struct("ts")).alias("time_intervals"))
-    return K2.shown(rows).select("user_id", F.array_join("papers", ",").alias("papers"), F.size("evidence_quotes").alias("n_quotes"), F.size("time_intervals").alias("n_intervals"))
+    return K.shown(rows).select("user_id", F.array_join("papers", ",").alias("papers"), F.size("evidence_quotes").alias("n_quotes"), F.size("time_intervals").alias("n_intervals"))
 
 
 @query("safe_names", "SELECT page_id, CASE WHEN length(c) > 40 THEN substring(c, 1, 23) || '-' || substring(sha1(url), 1, 16) ELSE c END AS name FROM (SELECT page_id, url, regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g') AS c FROM pages)")
 def safe_names(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", K2.safe_name(F.col("url"), 40).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", K.safe_name(F.col("url"), 40).alias("name"))
 
 
 @query("review_rows", """SELECT event_id, 'u' || user_id AS subject, event_type AS predicate, CASE WHEN event_id % 2 = 0 THEN 'yes' END AS verdict FROM events""")
