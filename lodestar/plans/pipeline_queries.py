@@ -27,6 +27,7 @@ from lodestar.plans.registry import query, table
 from lodestar.plans.text_queries import STOP_SQL
 from lodestar.plans.vector_queries import _nearest_sql
 from lodestar.sources import papers as P
+from lodestar.sources import sinks as K
 
 # Lines as sentences: a brand, a verb by the line, a type; papers are orders, years those of shipment.
 SAID_SQL = "said AS MATERIALIZED (SELECT l_orderkey AS paper, lower(replace(p_brand, '#', 'x')) AS s, ['causes', 'leads_to', 'reduces'][l_linenumber % 3 + 1] AS p, lower(p_type) AS o, [0.9, 0.87, 0.84][l_linenumber % 3 + 1] AS c, CAST(year(l_shipdate) AS INT) AS y FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -240,3 +241,44 @@ def pdf_links(spark, sf_dir):
     html = F.concat(F.lit('<meta name="citation_pdf_url" content="p'), F.col("page_id").cast("string"), F.lit('.pdf">'), "html")
     found = P.pdf_links(html, F.lit("http://x.org/a/b"))
     return table(spark, sf_dir, "pages").select("page_id", (F.size(F.filter(found, lambda u: F.lower(u).contains("pdf"))) - 1).alias("n"), found[0].alias("first"))
+
+
+def _folders(spark, sf_dir):
+    """Conversations as paper folders of chunks and of pages."""
+    path = f"{tables.root(spark)}/lodestar-papers-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    chunks = turns.select(name.alias("paper_id"), F.concat_ws(":", name, F.col("turn").cast("string")).alias("chunk_id"), "text", F.lit("text").alias("modality"), F.col("turn").cast("int").alias("page"))
+    papers = turns.select(name.alias("paper_id"), F.lit("t").alias("title")).distinct()
+    K.write_papers(papers, path, "paper_id", chunks)
+    pages = turns.where("role = 'assistant'").select(name.alias("paper_id"), F.col("turn").cast("int").alias("page"), F.col("role").alias("text"), F.lit(" ").alias("vlm_caption"), F.lit("|a|").alias("tables_md"))
+    pages.withColumn("paper_dir", F.col("paper_id")).write.partitionBy("paper_dir").json(f"{path}/pages")
+    return path
+
+
+@query("paper_folders", "WITH b AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE trim(text) <> '') SELECT 'c' || conv_id AS paper_dir, 'c' || conv_id || ':' || turn AS chunk_id, substring(text, 1, CAST(900 - before AS BIGINT)) AS text FROM b WHERE before < 900")
+def paper_folders(spark, sf_dir):
+    """Chunks written into a folder per paper and read again, 900 letters of each paper."""
+    path = _folders(spark, sf_dir)
+    return P.processed_chunks(spark, f"{path}/chunks", 900, "paper_dir=*", "page").select("paper_dir", "chunk_id", "text")
+
+
+@query("chunk_registry", "SELECT 'c' || conv_id || ':' || turn AS chunk_id, 'text' AS modality FROM conversations WHERE trim(text) <> '' UNION ALL SELECT 'c' || conv_id || ':page' || turn || s, m FROM conversations, (VALUES ('', 'page'), (':table', 'table')) v(s, m) WHERE role = 'assistant'")
+def chunk_registry(spark, sf_dir):
+    path = _folders(spark, sf_dir)
+    return P.chunk_registry(spark, path, "chunks/paper_dir=*", "pages/paper_dir=*").select("chunk_id", "modality")
+
+
+@query("page_texts", "SELECT 'c' || conv_id AS paper_dir, CAST(turn AS INT) AS page, 'assistant' || chr(10) || 'Tables: |a|' AS text FROM conversations WHERE role = 'assistant'")
+def page_texts(spark, sf_dir):
+    path = _folders(spark, sf_dir)
+    return P.processed_pages(spark, f"{path}/pages", files="paper_dir=*").select("paper_dir", "page", "text")
+
+
+@query("text_records", "WITH r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations WHERE trim(text) <> '' GROUP BY 1) SELECT 'c' || conv_id AS paper_id, 't' AS title, t AS text FROM r")
+def text_records(spark, sf_dir):
+    """The whole text of each paper, its chunks in order."""
+    path = _folders(spark, sf_dir)
+    meta = spark.read.schema("paper_id string, title string, paper_dir string").json(f"{path}/meta").select(F.col("paper_id").alias("id"), "title", F.lit(None).cast("int").alias("year"), F.lit("").alias("abstract"), "paper_dir")
+    chunks = P.processed_chunks(spark, f"{path}/chunks", files="paper_dir=*", order="page").withColumn("line", F.col("page"))
+    return P.text_records(meta, chunks).select("paper_id", "title", "text")

@@ -282,3 +282,47 @@ def test_positions_do_not_depend_on_partitions(spark):
         for place, k in enumerate(range(1000), 1):
             assert got[k] == (place, before)
             before += value[k]
+
+
+def test_importance_matches_plain_loops(spark):
+    """Every metric of a small directed graph by its definition, over all nodes as sources."""
+    links = [("a", "b", 3, 2, 1, [2001, 2003]), ("b", "c", 1, 1, 4, [2002]), ("c", "a", 2, 1, 0, []), ("c", "d", 1, 1, 1, [2000, 2001, 2004]), ("d", "e", 5, 3, 2, [2001]), ("f", "d", 1, 1, 1, [1999])]
+    nodes = sorted({x for s, d, *_ in links for x in (s, d)})
+    community = {"a": 1, "b": 1, "c": 1, "d": 2, "e": 2}
+    n = len(nodes)
+    near = {v: {d for s, d, *_ in links if s == v} | {s for s, d, *_ in links if d == v} for v in nodes}
+    through = dict.fromkeys([*nodes, *(frozenset(x[:2]) for x in links)], 0.0)
+    for s in nodes:
+        for t in nodes:
+            paths = [[s]]
+            while paths and s != t and all(p[-1] != t for p in paths):
+                paths = [[*p, v] for p in paths for v in near[p[-1]] if v not in p]
+            paths = [p for p in paths if p[-1] == t and s != t]
+            for p in paths:
+                for v in p[1:-1]:
+                    through[v] += 1 / len(paths)
+                for x in itertools.pairwise(p):
+                    through[frozenset(x)] += 1 / len(paths)
+    rank = dict.fromkeys(nodes, 1 / n)
+    outs = {v: [d for s, d, *_ in links if s == v] for v in nodes}
+    for _ in range(300):
+        lost = sum(rank[v] for v in nodes if not outs[v])
+        rank = {v: 0.15 / n + 0.85 * (sum(rank[u] / len(outs[u]) for u in nodes if v in outs[u]) + lost / n) for v in nodes}
+    core = {"a": 2, "b": 2, "c": 2, "d": 1, "e": 1, "f": 1}
+    rows = {}
+    for s, d, total, papers_, evidence_, years in links:
+        span = max(years) - min(years) + 1 if years else 0
+        rows[s, d] = [
+            through[frozenset((s, d))] / (n * (n - 1)), (rank[s] + rank[d]) / 2, (through[s] + through[d]) / 2 / ((n - 1) * (n - 2)), (core[s] + core[d]) / 2,
+            (len(outs[s]) + sum(d in outs[u] for u in nodes)) / 2 / (n - 1), total, papers_, evidence_, len(years), span, len(years) / span if span else 0,
+        ]
+    most = [max(r[k] for r in rows.values()) for k in range(11)]
+    want = {}
+    for (s, d), r in rows.items():
+        x = [v / m if m else 0 for v, m in zip(r, most, strict=True)]
+        cross = s in community and d in community and community[s] != community[d]
+        want[s, d] = 0.28 * x[0] + 0.18 * x[1] + 0.14 * x[2] + 0.12 * x[3] + 0.10 * x[4] + 0.10 * sum(x[5:8]) / 3 + 0.05 * sum(x[8:]) / 3 + 0.03 * cross
+    df = spark.createDataFrame(links, "src string, dst string, total_count long, papers_count long, evidence_count long, years array<int>")
+    labels = spark.createDataFrame(list(community.items()), "node string, community long")
+    got = {(r.src, r.dst): r.importance for r in graph.importance(df, spark.createDataFrame([(v,) for v in nodes], "node string"), labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want), (got, want)
