@@ -44,8 +44,8 @@ GATHER = 1 << 16
 LEAF = 64
 #: Leaf pairs compared at once.
 PAIRS = 1 << 20
-#: Documents, and characters, of candidates that a task holds against each other; more are cut into chunk pairs.
-CHECKED = 512
+#: Documents, and characters, of candidates that a task holds against each other; more are cut into chunks.
+CHECKED = 256
 CHARS = 1 << 24
 
 
@@ -295,21 +295,24 @@ def near_links(nodes: DataFrame, words: int, budget: int, split: int = SPLIT) ->
 # -- exact similarity of candidates -------------------------------------------
 
 
-def similar_links(sets: list[np.ndarray], prints: np.ndarray, budget: int, similarity: float) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], prints: np.ndarray, budget: int, similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of rows that span the components of Jaccard similarity ``similarity`` or more.
 
     ``sets`` are sorted and without repeats; only pairs whose fingerprints are
     within ``budget`` bits are looked at, the nearest first, and none that are
-    linked already.
+    linked already, also not those that have one ``label`` from the beginning.
     """
     sizes = np.array([len(x) for x in sets], "i8")
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else np.unique(label, return_inverse=True)[1]
     links = []
     for i in range(1, len(sets)):
-        away = np.bitwise_count(prints[:i] ^ prints[i]).sum(1, dtype="i8")
-        fits = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])
+        apart = np.flatnonzero(label[:i] != label[i])
+        if not len(apart):
+            continue
+        away = np.bitwise_count(prints[apart] ^ prints[i]).sum(1, dtype="i8")
+        fits = np.minimum(sizes[apart], sizes[i]) >= similarity * np.maximum(sizes[apart], sizes[i])
         near = np.flatnonzero(fits & (away <= budget))
-        for j in near[np.argsort(away[near], kind="stable")]:
+        for j in apart[near[np.argsort(away[near], kind="stable")]]:
             if label[i] == label[j]:
                 continue
             small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
@@ -323,48 +326,107 @@ def similar_links(sets: list[np.ndarray], prints: np.ndarray, budget: int, simil
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, budget: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Batches (group, node, text, words) sorted by group: the links of each group."""
+    """Batches (group, node, label, text, words) sorted by group: the links of each group."""
     held: list[tuple] = []
 
     def links() -> pa.RecordBatch:
-        found = similar_links([h[2] for h in held], np.stack([h[3] for h in held]), budget, similarity)
+        found = similar_links([h[3] for h in held], np.stack([h[4] for h in held]), budget, similarity, np.array([h[2] for h in held], "i8"))
         return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i, _ in found], "int64"), pa.array([held[j][1] for _, j in found], "int64")], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        prints = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]], axis=1).view("u8")
-        texts = batch.column(2).cast(pa.binary())
-        for k, (group, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        prints = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]], axis=1).view("u8")
+        texts = batch.column(3).cast(pa.binary())
+        for k, (group, node, label) in enumerate(zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True)):
             if held and held[0][0] != group:
                 yield links()
                 held.clear()
-            held.append((group, node, np.unique(shingle_hashes(texts[k].as_py() or b"", shingle)), prints[k]))
+            held.append((group, node, label, np.unique(shingle_hashes(texts[k].as_py() or b"", shingle)), prints[k]))
     if held:
         yield links()
 
 
+def _portions(members: Column, letters: Column, split: int, chars: int) -> Column:
+    """Into how many chunks so many documents and characters are cut."""
+    return F.greatest(F.ceil(F.greatest(members / split, letters / chars)), F.lit(1)).cast("int")
+
+
+def _within(rows: DataFrame, split: int, chars: int, turn: int) -> DataFrame:
+    """(node, group): rows (component, node, letters) dealt to chunks of their component by a hash."""
+    sizes = rows.groupBy("component").agg(_portions(F.count(F.lit(1)), F.sum("letters"), split, chars).alias("chunks"))
+    return rows.join(sizes, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(turn)), "chunks"), F.lit(turn)).alias("group"))
+
+
+def _across(rows: DataFrame, split: int, chars: int) -> DataFrame:
+    """(node, group): rows (component, node, label, letters) dealt so that any two of a component with different labels meet.
+
+    Large labels have chunks of their own, two of which meet only if their
+    labels differ; small labels share chunks, which meet each other and those of
+    the large ones.  What is left to compare grows with what is not linked yet,
+    not with the square of a component.
+    """
+    sizes = staged(rows.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters")), "label-sizes")
+    several = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("component")
+    large = (2 * F.col("n") > split) | (2 * F.col("letters") > chars)
+    sizes = sizes.join(several, "component", "left_semi").withColumns({"large": large, "own": _portions(F.col("n"), F.col("letters"), split, chars)})
+    mixed = sizes.where("NOT large").groupBy("component").agg(_portions(F.sum("n"), F.sum("letters"), split, chars).alias("shared"))
+    dealt = rows.join(sizes.select("component", "label", "large", "own"), ["component", "label"]).join(mixed, "component", "left")
+    chunk = F.when(F.col("large"), F.xxhash64("component", "label", F.pmod(F.xxhash64("node"), "own"))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("label"), F.coalesce("shared", F.lit(1)))))
+    dealt = staged(dealt.select("component", "node", F.when(F.col("large"), F.col("label")).alias("only"), chunk.alias("chunk")), "label-chunks")
+    chunks = staged(dealt.select("component", "chunk", "only").distinct(), "chunks")
+    shared, owned = chunks.where("only IS NULL"), chunks.where("only IS NOT NULL")
+    other = lambda df, *names: df.select("component", *(F.col(c).alias(f"{c}_") for c in names))
+    meet = shared.select("component", "chunk").join(other(shared, "chunk"), "component").where("chunk <= chunk_")
+    meet = meet.union(shared.select("component", "chunk").join(other(owned, "chunk"), "component"))
+    labels = owned.select("component", "only").distinct()
+    pairs = labels.join(other(labels, "only"), "component").where("only < only_")
+    meet = meet.union(pairs.join(owned, ["component", "only"]).join(other(owned, "only", "chunk"), ["component", "only_"]).select("component", "chunk", "chunk_"))
+    groups = meet.select(F.xxhash64(F.least("chunk", "chunk_"), F.greatest("chunk", "chunk_")).alias("group"), F.explode(F.array_distinct(F.array("chunk", "chunk_"))).alias("chunk")).distinct()
+    return dealt.select("node", "chunk").join(groups, "chunk").select("node", "group").distinct()
+
+
 def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, shingle: int, words: int, budget: int, similarity: float, split: int = CHECKED, chars: int = CHARS) -> DataFrame:
     """(a, b): links that span the components of exact similarity within each component of ``candidates``.
 
     The texts of a component meet in one task, where each pair within
-    ``budget`` bits that is not linked yet is held against each other; a
+    ``budget`` bits that is not linked yet is held against each other.  A
     component of more than ``split`` documents or ``chars`` characters is cut
-    into salted chunks of which every pair is joined.
+    into chunks.  At first the documents of each chunk are compared, then, turn
+    by turn, the first of each group that this found, until that links little
+    more; at last all those that are still in different groups, chunk by chunk.
+    So no pair is left out, and a large group of copies costs its length.
     """
     cols = [f"w{k}" for k in range(words)]
     parts = connected_components(candidates, "a", "b")
     named = nodes.join(parts, "node").select("node", "component", *cols)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(named, "node").select("component", "node", "text", *cols)
     texts = staged(texts, "candidates")
-    sizes = texts.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("text")).alias("chars"))
-    chunks = F.ceil(F.greatest(F.col("members") / split, F.col("chars") / chars)).cast("int").alias("chunks")
-    crowded = staged(sizes.select("component", chunks).where("chunks > 1"), "crowded")
-    dealt = texts.join(crowded, "component", "left_anti").select(F.xxhash64("component").alias("group"), "node", "text", *cols)
-    again = texts.join(crowded, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    again = again.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.union(again.select(F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("group"), "node", "text", *cols))
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: _similar_batches(it, shingle, budget, similarity), "a long, b long")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select("group", "node", "label", "text", *cols).repartition("group").sortWithinPartitions("group")
+        return rows.mapInArrow(lambda it: _similar_batches(it, shingle, budget, similarity), "a long, b long")
+
+    letters = F.coalesce(F.length("text"), F.lit(0)).alias("letters")
+    sizes = texts.groupBy("component").agg(_portions(F.count(F.lit(1)), F.sum(F.length("text")), split, chars).alias("chunks"))
+    crowded = staged(sizes.where("chunks > 1").select("component"), "crowded")
+    whole = compared(texts.join(crowded, "component", "left_anti").select("*", F.xxhash64("component").alias("group"), F.col("node").alias("label")))
+    if crowded.isEmpty():
+        return whole
+    big = texts.join(crowded, "component", "left_semi")
+    members = staged(big.select("component", "node", letters), "members")
+    first, count, turn, found = members, members.count(), 0, None
+    while True:
+        new = staged(compared(big.join(_within(first, split, chars, turn), "node").withColumn("label", F.col("node"))), "similar")
+        found = new if found is None else found.union(new)
+        labels = staged(connected_components(found, "a", "b").select("node", F.col("component").alias("label")), "labels")
+        left = staged(first.join(labels.where("node <> label"), "node", "left_anti"), "firsts")
+        before, count, first, turn = count, left.count(), left, turn + 1
+        if 2 * count > before:
+            break
+    named = staged(members.join(labels, "node", "left").select("component", "node", F.coalesce("label", "node").alias("label"), "letters"), "labelled")
+    rest = compared(big.join(_across(named, split, chars), "node").join(named.select("node", "label"), "node"))
+    return whole.union(found).union(rest)
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, words: int = 16, budget: int = BITS, split: int = SPLIT, similarity: float = 0.8) -> DataFrame:

@@ -173,3 +173,22 @@ def test_a_hub_with_low_and_high_neighbours(spark):
         for name in names:
             spark.conf.unset(name)
     assert got == {n: 1 for pair in links[:-1] for n in pair} | {100_000: 100_000, 100_001: 100_000}
+
+
+def test_a_crowded_component_loses_no_link(spark, tmp_path):
+    """Two large groups of copies, small ones and single texts, all candidates of each other, in chunks of a few documents."""
+    rows = [(k, cases.near(cases.prose(40, 150), k, 1)) for k in range(60)] + [(100 + k, cases.near(cases.prose(41, 150), k, 1)) for k in range(40)]
+    rows += [(200 + 10 * g + k, cases.near(cases.prose(60 + g, 150), k, 2)) for g in range(6) for k in range(3)] + [(300 + k, cases.prose(500 + k, 150)) for k in range(9)]
+    rows += [(400, cases.near(cases.prose(40, 150), 77, 5))]
+    docs = cases.frame(spark, tmp_path / "d", rows, "doc_id long, text string")
+    prints = simhash.fingerprints(docs, 5, 16, distinct=True)
+    nodes = prints.select(F.col("doc_id").alias("node"), *(f"w{k}" for k in range(16)))
+    chain = spark.createDataFrame([(d, rows[0][0]) for d, _ in rows[1:]], "a long, b long")
+    union = cases.Union()
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if jaccard(x, y) >= 0.8:
+                union.link(a, b)
+    links = simhash.verified_links(docs, nodes, chain, 5, 16, 1024, 0.8, split=6)
+    got = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
+    assert {d: got.get(d, d) for d, _ in rows} == {d: union.root(d) for d, _ in rows}
