@@ -139,12 +139,16 @@ def all_candidates(spark, sf_dir):
 a AS (SELECT u, v, CASE WHEN n > 1 THEN 0.25 WHEN s % 2 = 0 THEN 0.1 ELSE 0.15 END AS boost, CASE WHEN n > 1 THEN 'cross_bridge' WHEN s % 2 = 0 THEN 'link_prediction' ELSE 'central_emergence' END AS kind, CAST(s AS DOUBLE) AS s FROM r)
 SELECT u AS source, v AS target, round(s + boost * coalesce(rank, 0), 6) AS score, kind FROM a LEFT JOIN k ON u = node ORDER BY s + boost * coalesce(rank, 0) DESC, u, v LIMIT 20""")
 def agent_candidates(spark, sf_dir):
-    """Pairs of parts and suppliers in three overlapping lists, some the other way round, lifted by the size of the part."""
-    pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 100000).alias("v")).agg(F.sum(F.col("l_linenumber").cast("double")).alias("score"), F.count(F.lit(1)).alias("n"))
+    """Pairs of parts and suppliers in three overlapping lists, some the other way round, lifted by the size of the part.
+
+    Ends are (kind, key), so no key of a supplier is taken for one of a part.
+    """
+    end = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"))
+    pairs = table(spark, sf_dir, "lineitem").groupBy(end(0, "l_partkey").alias("u"), end(1, "l_suppkey").alias("v")).agg(F.sum(F.col("l_linenumber").cast("double")).alias("score"), F.count(F.lit(1)).alias("n"))
     bridges = pairs.where("n > 1").select(F.col("v").alias("u"), F.col("u").alias("v"), "score")
-    ranks = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 50).alias("rank"))
+    ranks = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(end(0, "p_partkey").alias("node"), (F.col("p_size") / 50).alias("rank"))
     out = H.agent_candidates(bridges, pairs.where("n > 1 OR score % 2 = 0"), pairs.select("u", "v", "score"), ranks, 20)
-    return out.withColumn("score", F.round("score", 6))
+    return out.select(F.col("source.key").alias("source"), (F.col("target.key") + 100000).alias("target"), F.round("score", 6).alias("score"), "kind")
 
 
 @query("candidate_context", """WITH c AS (SELECT c_custkey AS source, c_nationkey AS target FROM customer), y AS (SELECT o_custkey AS source, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM orders GROUP BY 1, 2), e AS (SELECT source, min(year) AS a, max(year) AS b, arg_min(n, year) AS x, arg_max(n, year) AS z, count(*) AS k FROM y GROUP BY 1),
