@@ -276,7 +276,7 @@ def step_windows(spark, sf_dir):
     papers = parts.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("10.4321/p"), k).alias("id"), name.alias("title"), (F.col("p_size") + 1990).alias("year"))
     p = F.col("l_partkey").cast("string")
     ref = F.when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("10.4321/p"), p)).when(F.col("l_partkey") % 4 == 1, F.concat(F.lit("see https://doi.org/10.4321/P"), p)).when(F.col("l_partkey") % 4 == 2, F.concat(F.lit("Paper "), p, F.lit("!"))).otherwise("nowhere")
-    sources = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("source_id"), F.col("l_orderkey").alias("step_id"), ref.alias("ref")).distinct()
+    sources = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_partkey", "l_linenumber").alias("source_id"), F.col("l_orderkey").alias("step_id"), ref.alias("ref")).distinct()
     return S.step_windows(sources.select("step_id"), sources, S.source_years(sources, papers))
 
 

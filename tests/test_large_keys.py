@@ -24,3 +24,9 @@ def test_agent_candidates_tell_parts_from_suppliers(spark, tmp_path):
     lines = "SELECT * FROM (VALUES (110000, 500, 3), (110000, 500, 4), (100500, 10000, 6), (2, 7, 5)) t(l_partkey, l_suppkey, l_linenumber)"
     got, want = both(spark, tmp_path, "agent_candidates", lineitem=lines, part="SELECT * FROM (VALUES (110000, 40), (100500, 30), (100007, 50), (2, 1)) t(p_partkey, p_size)")
     assert got == want and len(got) == 3
+
+
+def test_step_windows_tell_sources_apart(spark, tmp_path):
+    lines = "SELECT * FROM (VALUES (1, 100004, 1), (2, 4, 1), (3, 8, 2)) t(l_orderkey, l_partkey, l_linenumber)"
+    got, want = both(spark, tmp_path, "step_windows", lineitem=lines, part="SELECT * FROM (VALUES (4, 5), (8, 6), (100004, 20)) t(p_partkey, p_size)")
+    assert got == want and len(got) == 3
