@@ -239,7 +239,7 @@ def other_review_errors(spark, sf_dir):
 SELECT p_partkey, CASE f WHEN 0 THEN 'doi:10.1234/p' || p_partkey WHEN 1 THEN 'arxiv:2001.' || printf('%05d', p_partkey) WHEN 2 THEN 'pmcid:pmc' || p_partkey WHEN 3 THEN 'pmid:' || (1000000 + p_partkey) WHEN 4 THEN 'https://x.org/p' || p_partkey || '.pdf,https://x.org/p' || p_partkey ELSE NULL END AS own, 'title:' || t AS title FROM r""")
 def identity_keys(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
-    ref = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("https://doi.org/10.1234/P"), k)).when(F.col("p_partkey") % 6 == 1, F.concat(F.lit("arXiv:2001."), F.lpad(k, 5, "0"))).when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("PMC"), k)).when(F.col("p_partkey") % 6 == 3, (F.col("p_partkey") + 1000000).cast("string")).when(F.col("p_partkey") % 6 == 4, F.concat(F.lit("HTTPS://X.org/p"), k, F.lit(".pdf?v=1#a")))
+    ref = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("https://doi.org/10.1234/P"), k)).when(F.col("p_partkey") % 6 == 1, F.concat(F.lit("arXiv:2001."), F.format_string("%05d", "p_partkey"))).when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("PMC"), k)).when(F.col("p_partkey") % 6 == 3, (F.col("p_partkey") + 1000000).cast("string")).when(F.col("p_partkey") % 6 == 4, F.concat(F.lit("HTTPS://X.org/p"), k, F.lit(".pdf?v=1#a")))
     keys = S.identity_keys(ref, F.concat("p_name", F.lit("!")))
     own = F.filter(keys, lambda x: ~x.startswith("title:") & ~(x.startswith("http") & F.lit(False)))
     # The address of a DOI is a key of its own; it is left out here.

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lodestar import catalogue
+from lodestar.functions import keys
 
 
 def both(spark, folder, name, **tables):
@@ -30,3 +32,10 @@ def test_step_windows_tell_sources_apart(spark, tmp_path):
     lines = "SELECT * FROM (VALUES (1, 100004, 1), (2, 4, 1), (3, 8, 2)) t(l_orderkey, l_partkey, l_linenumber)"
     got, want = both(spark, tmp_path, "step_windows", lineitem=lines, part="SELECT * FROM (VALUES (4, 5), (8, 6), (100004, 20)) t(p_partkey, p_size)")
     assert got == want and len(got) == 3
+
+
+def test_identity_keys_of_long_numbers(spark, tmp_path):
+    got, want = both(spark, tmp_path, "identity_keys", part="SELECT k AS p_partkey, 'a name' AS p_name FROM range(99997, 100009) t(k)")
+    assert got == want and len(got) == 12
+    one = lambda x: spark.range(1).select(keys.arxiv(F.lit(x))).first()[0]
+    assert [one(x) for x in ("arXiv:2001.100001v2", "https://arxiv.org/abs/2001.00001", "2001.00001", "2001.100001")] == ["2001.100001v2", "2001.00001", "2001.00001", ""]
