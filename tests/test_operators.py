@@ -7,10 +7,11 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates, keys, text
-from lodestar.operators import communities, datasets, extraction, graph, links, matching, order, vectors
+from lodestar.operators import communities, datasets, extraction, graph, links, matching, order, searches, vectors
 from lodestar.sources import bundles, papers, sinks
 from lodestar.streaming import events as streams
 
@@ -326,3 +327,45 @@ def test_importance_matches_plain_loops(spark):
     labels = spark.createDataFrame(list(community.items()), "node string, community long")
     got = {(r.src, r.dst): r.importance for r in graph.importance(df, spark.createDataFrame([(v,) for v in nodes], "node string"), labels).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want), (got, want)
+
+
+@pytest.fixture
+def held(monkeypatch):
+    """Components of at most 13 links in arrays, others by joins; and a few links or sources a piece."""
+    for name, value in {"HELD": 13, "SMALL": 3, "SOURCES": (2, 3), "STATE": 20, "PIECE": 4, "FOREST": 5, "ROWS": 7}.items():
+        monkeypatch.setattr(searches, name, value)
+
+
+def _odd_graph(spark):
+    """Components of 13 and of 14 links, a pair and a path; names are strings, so order is not that of numbers."""
+    pairs = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (5, 8), (8, 9), (9, 10), (10, 11), (2, 11), *itertools.combinations(range(20, 25), 2), (24, 25), (25, 26), (26, 27), (27, 20), (30, 31), (40, 41), (41, 42)]
+    pairs = [(min(str(a), str(b)), max(str(a), str(b)), 1.0 + (a * b) % 4) for a, b in pairs]
+    near = {}
+    for a, b, w in pairs:
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    return spark.createDataFrame(pairs, "src string, dst string, weight double").coalesce(1), near, ["1", "5", "10", "20", "26", "31", "41"]
+
+
+def _hops(near, s):
+    far, front = {s: 0}, [s]
+    while front:
+        front = [v for v in dict.fromkeys(v for u in front for v in near[u]) if v not in far and not far.update({v: far[u] + 1 for u in front if v in near[u]})]
+    return far
+
+
+def test_hop_distances_in_arrays_and_joins(spark, held):
+    g, near, sources = _odd_graph(spark)
+    starts = spark.createDataFrame([(s,) for s in [*sources, sources[0], "99"]], "node string")
+    want = sorted((s, v, d) for s in sources for v, d in _hops(near, s).items() if d <= 3)
+    assert sorted(tuple(r) for r in graph.distances(g, starts, 3).collect()) == want
+    null = graph.distances(g.union(spark.createDataFrame([("50", None, 1.0)], g.schema)), spark.createDataFrame([("50",), ("31",)], "node string"), 3)
+    assert sorted((tuple(r) for r in null.collect()), key=str) == [("31", "30", 1), ("31", "31", 0), ("50", "50", 0), ("50", None, 1)]
+
+
+def test_a_component_is_searched_without_a_row_per_source_and_node(spark, monkeypatch):
+    """Joins of levels made a row per source and node in every round, which a graph of some 600,000 links did not bear."""
+    monkeypatch.setattr(graph, "levels", None)
+    g, near, sources = _odd_graph(spark)
+    starts = spark.createDataFrame([(s,) for s in sources], "node string")
+    assert graph.distances(g, starts, 2).count() == sum(d <= 2 for s in sources for d in _hops(near, s).values())
