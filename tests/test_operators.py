@@ -369,3 +369,20 @@ def test_a_component_is_searched_without_a_row_per_source_and_node(spark, monkey
     g, near, sources = _odd_graph(spark)
     starts = spark.createDataFrame([(s,) for s in sources], "node string")
     assert graph.distances(g, starts, 2).count() == sum(d <= 2 for s in sources for d in _hops(near, s).values())
+
+
+def test_weighted_distances_in_arrays_and_joins(spark, held):
+    g, near, sources = _odd_graph(spark)
+    want = set()
+    for s in sources:
+        best = {s: 0.0}
+        for _ in range(3):
+            step = dict(best)
+            for u, d in best.items():
+                for v, w in near[u].items():
+                    step[v] = min(step.get(v, np.inf), d + w)
+            best = step
+        want |= {(s, v, d) for v, d in best.items()}
+    starts = spark.createDataFrame([(s,) for s in [*sources, "99"]], "node string")
+    got = graph.weighted_distances(g, starts, 3).collect()
+    assert {tuple(r) for r in got} == want | {("99", "99", 0.0)} and len(got) == len(want) + 1
