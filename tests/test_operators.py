@@ -386,3 +386,12 @@ def test_weighted_distances_in_arrays_and_joins(spark, held):
     starts = spark.createDataFrame([(s,) for s in [*sources, "99"]], "node string")
     got = graph.weighted_distances(g, starts, 3).collect()
     assert {tuple(r) for r in got} == want | {("99", "99", 0.0)} and len(got) == len(want) + 1
+
+
+def test_closeness_in_arrays_and_joins(spark, held):
+    g, near, sources = _odd_graph(spark)
+    got = {r.node: r.closeness for r in graph.closeness(g, spark.createDataFrame([(s,) for s in sources], "node string")).collect()}
+    for s in sources:
+        far = _hops(near, s)
+        assert abs(got.pop(s) - (len(far) - 1) ** 2 / ((len(near) - 1) * sum(far.values()))) < 1e-12
+    assert not got
