@@ -395,3 +395,24 @@ def test_closeness_in_arrays_and_joins(spark, held):
         far = _hops(near, s)
         assert abs(got.pop(s) - (len(far) - 1) ** 2 / ((len(near) - 1) * sum(far.values()))) < 1e-12
     assert not got
+
+
+def test_dependencies_in_arrays_and_joins(spark, held):
+    g, near, sources = _odd_graph(spark)
+    want = {}
+    for s in sources:
+        far = _hops(near, s)
+        paths, share = {s: 1.0}, dict.fromkeys(far, 0.0)
+        order_ = sorted(far, key=far.get)
+        for v in order_[1:]:
+            paths[v] = sum(paths[u] for u in near[v] if far[u] == far[v] - 1)
+        for v in reversed(order_[1:]):
+            for u in near[v]:
+                if far[u] == far[v] - 1:
+                    part = paths[u] / paths[v] * (1 + share[v])
+                    share[u] += part
+                    pair = min(u, v), max(u, v)
+                    want[pair] = want.get(pair, 0.0) + part
+            want[v, v] = want.get((v, v), 0.0) + share[v]
+    got = {(r.u, r.v): r.dependency for r in graph.dependencies(g, spark.createDataFrame([(s,) for s in sources], "node string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
