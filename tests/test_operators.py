@@ -416,3 +416,40 @@ def test_dependencies_in_arrays_and_joins(spark, held):
             want[v, v] = want.get((v, v), 0.0) + share[v]
     got = {(r.u, r.v): r.dependency for r in graph.dependencies(g, spark.createDataFrame([(s,) for s in sources], "node string")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def _plain_communities(pairs):
+    """The rounds of greedy_modularity by their definition."""
+    total = sum(pairs.values())
+    label = {v: v for p in pairs for v in p}
+    while True:
+        strength, between = {}, {}
+        for (u, v), w in pairs.items():
+            for x in (u, v):
+                strength[label[x]] = strength.get(label[x], 0.0) + w
+            pair = tuple(sorted((label[u], label[v])))
+            between[pair] = between.get(pair, 0.0) + w
+        best = {}
+        for (u, v), w in between.items():
+            gain = w / total - strength[u] * strength[v] / (2 * total * total)
+            if u != v and gain > 1e-12:
+                for x in (u, v):
+                    best[x] = min(best.get(x, (0.0,)), (-gain, u, v))
+        new = {v: u for _, u, v in best.values() if best[u] == best[v]}
+        if not new:
+            return label
+        label = {v: new.get(c, c) for v, c in label.items()}
+
+
+def test_communities_in_arrays_match_plain_rounds(spark, monkeypatch):
+    for seed in range(5):
+        rng = random.Random(seed)
+        pairs = {tuple(sorted(rng.sample(range(40), 2))): float(rng.randint(1, 3)) for _ in range(120)}
+        a, b = np.array(list(pairs)).T
+        names, codes = np.unique([a, b], return_inverse=True)
+        got = searches.communities(*codes.reshape(2, -1), np.array(list(pairs.values())), len(names), sum(pairs.values()), 1e-12)
+        assert {int(names[k]): int(names[c]) for k, c in enumerate(got)} == _plain_communities(pairs)
+    monkeypatch.setattr(communities, "_joined_modularity", None)
+    g, near, _ = _odd_graph(spark)
+    want = _plain_communities({(a, b): w for a in near for b, w in near[a].items() if a < b})
+    assert {r.node: r.community for r in communities.greedy_modularity(g).collect()} == want
